@@ -358,3 +358,12 @@ def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", column: str = "te
     b = members.select(F.col("id").alias("id_b"), F.col(key).alias("b"))
     pairs = classes.join(a, "id_a").join(b, "id_b").where("a <> b AND (id_a <> id_b OR a < b)")
     return pairs.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
+
+
+def class_links(found: NearDuplicates, key: str = "chunk_id") -> DataFrame:
+    """(key, class_id, copies, links): one row per record with the class of records of equal shingle sets, how
+    many records that class has, and to how many other classes it is linked."""
+    ends = found.links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    names = found.members.groupBy("id").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    named = names.join(ends, "id", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return found.members.join(named, "id").select(key, "class_id", "copies", "links")

@@ -64,6 +64,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finisher: spreads each bit of a 64-bit value over the whole word."""
+    x = np.atleast_1d(x)  # arrays wrap around silently, NumPy scalars warn
     x = (x ^ (x >> np.uint64(30))) * np.uint64(_SEEDS[0])
     x = (x ^ (x >> np.uint64(27))) * np.uint64(_SEEDS[1])
     return x ^ (x >> np.uint64(31))
