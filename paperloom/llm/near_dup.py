@@ -28,6 +28,8 @@ from .canonical import Canonicalizer
 from .keyfilter import KeyFilter, key_filter
 
 COORDINATES, BINS = 32, 128
+#: A filter that lets every key through.
+EVERY = KeyFilter(np.full(1, np.iinfo(np.uint64).max, np.uint64))
 _ROUNDS = 8  # one-permutation hashings of 16 bins each
 
 
@@ -39,7 +41,7 @@ class JoinSettings:
     threshold: float = 0.5
     trees: int = 5
     branches: int = 2
-    leaf_size: int = 32
+    leaf_size: int = 64
     max_depth: int = 7
     #: Share of the 128 sketch bits that must agree: that expected at the threshold, less two standard deviations.
     bits: int = 86
@@ -60,11 +62,12 @@ def _triple_sets(texts: pa.Array, width: int):
         starts, ends = offsets[short], offsets[short + 1]
         grams = np.concatenate([grams, V.span_hashes(codes, starts, ends) ^ np.uint64(1)])
         owner = np.concatenate([owner, short])
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    keep = np.ones(len(grams), bool)
-    keep[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    return grams[keep], owner[keep]
+    # one sort of whole numbers: the text's number above 44 bits of the hash
+    both = np.sort((owner.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20)))
+    keep = np.ones(len(both), bool)
+    keep[1:] = both[1:] != both[:-1]
+    both = both[keep]
+    return both & np.uint64((1 << 44) - 1), (both >> np.uint64(44)).astype(np.int64)
 
 
 def _sketches(grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,10 +79,7 @@ def _sketches(grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
     for r in range(_ROUNDS):
         h = V.mix(grams ^ np.uint64(0x9E37 * (r + 1)))
         flat = owner * BINS + r * per + (h & np.uint64(per - 1)).astype(np.int64)
-        order = np.argsort(flat, kind="stable")
-        cells, values = flat[order], (h >> np.uint64(4))[order]
-        begin = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
-        low.ravel()[cells[begin]] = np.minimum.reduceat(values, begin) if len(begin) else values
+        np.minimum.at(low.reshape(-1), flat, h >> np.uint64(4))
     empty = np.iinfo(np.uint64).max
     for r in range(_ROUNDS):  # an empty bin borrows from the next filled one of its round, re-mixed by the distance
         block = low[:, r * per : (r + 1) * per]
@@ -163,13 +163,17 @@ def _node_counts(sets: DataFrame, s: JoinSettings, large: list[KeyFilter]) -> Da
     return per_batch.groupBy("node").agg(F.sum("records").alias("records"))
 
 
-def _leaves(sets: DataFrame, s: JoinSettings, large: list[KeyFilter]) -> DataFrame:
-    """(node, id, bits_a, bits_b): each record at each of its leaves."""
+def _leaves(sets: DataFrame, s: JoinSettings, large: list[KeyFilter], shared: list[KeyFilter]) -> DataFrame:
+    """(node, id, bits_a, bits_b): each record at each of its leaves that other records may share."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 nodes, rows, _ = _paths(_matrix(batch.column(1), np.uint16, COORDINATES), s, large)
+                met = np.zeros(len(nodes), bool)
+                for level in shared:
+                    met |= level.maybe(nodes.view(np.int64))
+                nodes, rows = nodes[met], rows[met]
                 bits = _matrix(batch.column(2), np.int64, 2)
                 ids = np.asarray(batch.column(0))
                 pairs = np.unique(np.stack([nodes.view(np.int64), rows], axis=1), axis=0)
@@ -243,20 +247,24 @@ def _compare_blocks(bits: int):
 def candidate_pairs(sets: DataFrame, records: int, s: JoinSettings, block: int = 2048) -> DataFrame:
     """(id_a, id_b) of sets whose sketches agree, found through the trees; ``sets`` has id, coordinates, bits."""
     large: list[KeyFilter] = []
-    still = 0
-    while len(large) < s.max_depth - 1 and records > s.leaf_size:
-        big = _node_counts(sets, s, large).where(F.col("records") > s.leaf_size)
-        big = written(big, "nodes")
-        still = big.count()
-        if not still:
+    shared: list[KeyFilter] = []
+    if records > 64 * s.leaf_size:
+        large.append(EVERY)  # hardly a node of the first depth is small; not counting it saves a shuffle
+    while True:
+        # nodes of one record go no further: they are dropped here and never reach the shuffle of the leaves
+        counts = written(_node_counts(sets, s, large).where("records > 1"), "nodes")
+        last = len(large) >= s.max_depth - 1
+        ends = counts if last else counts.where(F.col("records") <= s.leaf_size)
+        sizes = counts.agg(F.count_if(F.col("records") > s.leaf_size).alias("big"), F.count(F.lit(1)).alias("all")).first()
+        shared.append(key_filter(ends.select("node"), "node", sizes["all"] if last else sizes["all"] - sizes["big"]))
+        if last or not sizes["big"]:
             break
-        large.append(key_filter(big.select("node"), "node", still))
-    leaves = _leaves(sets, s, large)
+        large.append(key_filter(counts.where(F.col("records") > s.leaf_size).select("node"), "node", sizes["big"]))
+    leaves = _leaves(sets, s, large, shared)
     small, hot = leaves, None
-    if still and len(large) == s.max_depth - 1:
+    if last:
         # leaves of the last depth that hold more than a block of records go through block against block
-        counts = _node_counts(sets, s, large).where(F.col("records") > block)
-        hot = written(counts, "hot")
+        hot = counts.where(F.col("records") > block)
         if hot.isEmpty():
             hot = None
     if hot is not None:
@@ -286,7 +294,6 @@ def _exact_sets(df: DataFrame, key: str, column: str, width: int, wanted: KeyFil
             batch = batch.filter(pa.array(keep))
             for a, b in V.slices(batch.column(1), V.SLICE_CHARS // 2):
                 grams, owner = _triple_sets(one_form(batch.column(1)[a:b]), width)
-                grams = (grams >> np.uint64(16)).astype(np.uint64)  # 48 bits: kept sorted, fewer bytes in the shuffle
                 raw = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :6]
                 at = np.searchsorted(owner, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([raw[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], [key, "grams"])
@@ -300,7 +307,7 @@ def _jaccard(batches):
 
     def grams(raw: bytes) -> np.ndarray:
         rows = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return np.pad(rows, ((0, 0), (0, 2))).view(np.uint64).ravel()
+        return np.pad(rows, ((0, 0), (0, 2))).view(np.uint64).reshape(-1)
 
     for batch in batches:
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
