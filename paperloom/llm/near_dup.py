@@ -1,6 +1,6 @@
 """Near-duplicate records with small edits (problem 1): chosen-path set similarity join.
 
-1. Each text becomes a set of word triples in the one form of problem 5, each set a *sketch*: 32 minwise
+1. Each text becomes a set of word triples in the one form of problem 5, each set a *sketch*: 64 minwise
    tokens of 16 bits for choosing paths, and 128 one-bit minwise values for comparing.  Equal sets are
    joined to one representative first, so copies cost nothing later.
 2. Independent trees are walked.  A node is a chosen path; the coordinates a node branches on follow from
@@ -27,7 +27,7 @@ from . import vectext as V
 from .canonical import Canonicalizer
 from .keyfilter import KeyFilter, key_filter
 
-COORDINATES, BINS = 32, 128
+COORDINATES, BINS = 64, 128
 #: A filter that lets every key through.
 EVERY = KeyFilter(np.full(1, np.iinfo(np.uint64).max, np.uint64))
 _ROUNDS = 8  # one-permutation hashings of 16 bins each
@@ -47,6 +47,8 @@ class JoinSettings:
     bits: int = 86
     #: Width of the word shingles.
     width: int = 3
+    #: Large nodes of one depth that a filter may hold; beyond, the walk goes by joins.
+    filter_nodes: int = 1 << 22
 
 
 def _triple_sets(texts: pa.Array, width: int):
@@ -71,7 +73,7 @@ def _triple_sets(texts: pa.Array, width: int):
 
 
 def _sketches(grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128-bit set digests, 32 coordinates of 16 bits and 128 sketch bits of n sets."""
+    """128-bit set digests, 64 coordinates of 16 bits and 128 sketch bits of n sets."""
     first = np.searchsorted(owner, np.arange(n))
     digest = np.stack([np.add.reduceat(V.mix(grams + np.uint64(k)), first) for k in (11, 12)], axis=1)
     per = BINS // _ROUNDS
@@ -113,6 +115,24 @@ def sketch_texts(df: DataFrame, key: str, column: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"`{key}` string, set_id binary, coordinates binary, bits binary")
 
 
+def _roots(s: JoinSettings) -> np.ndarray:
+    """The root nodes of the trees."""
+    return V.mix(np.arange(s.trees, dtype=np.uint64) + np.uint64(77))
+
+
+def _children(coordinates: np.ndarray, nodes: np.ndarray, rows: np.ndarray, depth: int, branches: int) -> np.ndarray:
+    """The nodes that records reach from their nodes, branch after branch; a node's hash chooses the coordinates."""
+    seed = V.mix(nodes + np.uint64(depth))
+    # distinct coordinates of a node: an odd step through all of them visits each once
+    at, step = seed & np.uint64(COORDINATES - 1), (seed >> np.uint64(8)) | np.uint64(1)
+    out = []
+    for branch in range(branches):
+        i = ((at + step * np.uint64(branch)) & np.uint64(COORDINATES - 1)).astype(np.int64)
+        value = coordinates[rows, i].astype(np.uint64) | (i.astype(np.uint64) << np.uint64(16))
+        out.append(V.mix(V.mix(nodes) ^ V.mix(value + np.uint64(1 << 40))))
+    return np.concatenate(out)
+
+
 def _paths(coordinates: np.ndarray, s: JoinSettings, large: list[KeyFilter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Walks all trees with the records of one batch: (nodes, records, is at last depth).
 
@@ -120,19 +140,10 @@ def _paths(coordinates: np.ndarray, s: JoinSettings, large: list[KeyFilter]) ->
     """
     n = len(coordinates)
     done_nodes, done_rows, done_last = [], [], []
-    nodes = np.repeat(V.mix(np.arange(s.trees, dtype=np.uint64) + np.uint64(77)), n)
+    nodes = np.repeat(_roots(s), n)
     rows = np.tile(np.arange(n), s.trees)
     for depth in range(len(large) + 1):
-        children, owners = [], []
-        seed = V.mix(nodes + np.uint64(depth))
-        # distinct coordinates of a node: an odd step through the 32 visits each once
-        at, step = seed & np.uint64(COORDINATES - 1), (seed >> np.uint64(8)) | np.uint64(1)
-        for branch in range(s.branches):
-            i = ((at + step * np.uint64(branch)) & np.uint64(COORDINATES - 1)).astype(np.int64)
-            value = coordinates[rows, i].astype(np.uint64) | (i.astype(np.uint64) << np.uint64(16))
-            children.append(V.mix(V.mix(nodes) ^ V.mix(value + np.uint64(1 << 40))))
-            owners.append(rows)
-        nodes, rows = np.concatenate(children), np.concatenate(owners)
+        nodes, rows = _children(coordinates, nodes, rows, depth, s.branches), np.tile(rows, s.branches)
         goes_on = large[depth].maybe(nodes.view(np.int64)) if depth < len(large) else np.zeros(len(nodes), bool)
         stop = ~goes_on
         done_nodes.append(nodes[stop])
@@ -231,7 +242,7 @@ def _compare_sorted(bits: int):
 def _compare_blocks(bits: int):
     """Compares two blocks of one large leaf; a group is a (node, block, block) of at most two blocks of rows."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids = table.column("id").to_numpy()
         sketch = np.stack([table.column("bits_a").to_numpy(), table.column("bits_b").to_numpy()], axis=1).view(np.uint64)
@@ -244,8 +255,8 @@ def _compare_blocks(bits: int):
     return run
 
 
-def candidate_pairs(sets: DataFrame, records: int, s: JoinSettings, block: int = 2048) -> DataFrame:
-    """(id_a, id_b) of sets whose sketches agree, found through the trees; ``sets`` has id, coordinates, bits."""
+def _counted(sets: DataFrame, records: int, s: JoinSettings) -> tuple[DataFrame, DataFrame | None] | None:
+    """(leaves, counts of the last depth or None); None if there are more large nodes than a filter can hold."""
     large: list[KeyFilter] = []
     shared: list[KeyFilter] = []
     if records > 64 * s.leaf_size:
@@ -256,13 +267,68 @@ def candidate_pairs(sets: DataFrame, records: int, s: JoinSettings, block: int =
         last = len(large) >= s.max_depth - 1
         ends = counts if last else counts.where(F.col("records") <= s.leaf_size)
         sizes = counts.agg(F.count_if(F.col("records") > s.leaf_size).alias("big"), F.count(F.lit(1)).alias("all")).first()
+        if sizes["big"] > s.filter_nodes and not last:
+            return None
+        # a full filter of the ends only lets more rows into the shuffle, where they meet nobody
         shared.append(key_filter(ends.select("node"), "node", sizes["all"] if last else sizes["all"] - sizes["big"]))
         if last or not sizes["big"]:
-            break
+            return _leaves(sets, s, large, shared), counts if last else None
         large.append(key_filter(counts.where(F.col("records") > s.leaf_size).select("node"), "node", sizes["big"]))
-    leaves = _leaves(sets, s, large, shared)
+
+
+def _walked(sets: DataFrame, records: int, s: JoinSettings) -> tuple[DataFrame, DataFrame | None]:
+    """The same leaves by joins: at each depth, records meet the size of their node in a shuffle.
+
+    For collections whose large nodes are too many for a filter.  A node of many records is a hot key of the
+    join's larger side only, which adaptive execution splits; its sizes are partial aggregates.
+    """
+
+    def step(depth: int):
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                coordinates = _matrix(batch.column(2), np.uint16, COORDINATES)
+                rows = np.arange(batch.num_rows)
+                if depth == 0:
+                    nodes, rows = np.repeat(_roots(s), len(rows)), np.tile(rows, s.trees)
+                else:
+                    nodes = np.asarray(batch.column(0)).view(np.uint64)
+                nodes, rows = _children(coordinates, nodes, rows, depth, s.branches), np.tile(rows, s.branches)
+                pairs = np.unique(np.stack([nodes.view(np.int64), rows], axis=1), axis=0)
+                at = pa.array(pairs[:, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), *(batch.column(k).take(at) for k in (1, 2, 3))], ["node", "id", "coordinates", "bits"])
+
+        return run
+
+    schema = "node bigint, id bigint, coordinates binary, bits binary"
+    now = sets.select(F.lit(0).cast("bigint").alias("node"), "id", "coordinates", "bits")
+    leaves, counts = None, None
+    for depth in range(s.max_depth):
+        now = written(now.mapInArrow(step(depth), schema), "walk")
+        last = depth == s.max_depth - 1
+        counts = now.groupBy("node").agg(F.count(F.lit(1)).alias("records")).where("records > 1")
+        met = now.join(counts, "node")
+        first = depth == 0 and records > 64 * s.leaf_size
+        ends = met if last else met.where(F.col("records") <= (0 if first else s.leaf_size))
+        ends = ends.mapInArrow(_unpacked, "node bigint, id bigint, bits_a bigint, bits_b bigint")
+        leaves = ends if leaves is None else leaves.unionByName(ends)
+        now = (now if first else met.where(F.col("records") > s.leaf_size)).select("node", "id", "coordinates", "bits")
+    return leaves, written(counts, "nodes")
+
+
+def _unpacked(batches):
+    for batch in batches:
+        if batch.num_rows:
+            bits = _matrix(batch.column(batch.schema.get_field_index("bits")), np.int64, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), batch.column(batch.schema.get_field_index("id")), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["node", "id", "bits_a", "bits_b"])
+
+
+def candidate_pairs(sets: DataFrame, records: int, s: JoinSettings, block: int = 2048) -> DataFrame:
+    """(id_a, id_b) of sets whose sketches agree, found through the trees; ``sets`` has id, coordinates, bits."""
+    leaves, counts = _counted(sets, records, s) or _walked(sets, records, s)
     small, hot = leaves, None
-    if last:
+    if counts is not None:
         # leaves of the last depth that hold more than a block of records go through block against block
         hot = counts.where(F.col("records") > block)
         if hot.isEmpty():

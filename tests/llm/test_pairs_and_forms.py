@@ -102,6 +102,21 @@ def test_large_leaves_go_by_blocks(spark):
     assert len(want - got) <= 0.01 * len(want)
 
 
+def test_walk_by_joins_finds_the_same(spark):
+    rows = documents(120, 8)
+    sets = near_dup.sketch_texts(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", 3).withColumn("id", F.xxhash64("chunk_id")).persist()
+    for leaf in (1, 64):
+        by_filter = near_dup.JoinSettings(leaf_size=leaf)
+        by_join = near_dup.JoinSettings(leaf_size=leaf, filter_nodes=0 if leaf == 1 else -1)
+        n = len(rows)
+        assert near_dup._counted(sets, n, by_join) is None or leaf == 64
+        a = {tuple(r) for r in near_dup.candidate_pairs(sets, n, by_filter).collect()}
+        leaves, _ = near_dup._walked(sets, n, by_join)
+        found = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(near_dup._compare_sorted(by_join.bits), "id_a bigint, id_b bigint")
+        b = {tuple(r) for r in found.distinct().collect()}
+        assert a and len(a ^ b) <= 0.01 * len(a)
+
+
 def test_words_and_hashes():
     texts = ["Ab c_d", None, "", "ab-C D 1é"]
     codes, offsets = vectext.code_points(pa.array(texts))
