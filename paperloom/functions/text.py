@@ -160,7 +160,7 @@ def finite(number: Column) -> Column:
 
 def shown(number: Column, digits: int, unit: str = "") -> Column:
     """A number with fixed decimals, a dash where there is none."""
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", finite(number)), F.lit(unit)), F.lit("—"))
+    return F.when(finite(number).isNotNull(), F.concat(F.format_string(f"%.{digits}f", number), F.lit(unit))).otherwise("—")
 
 
 def first_strong_direction(text: Column, fallback: str = "ltr") -> Column:

@@ -643,7 +643,7 @@ def short_questions(spark, sf_dir):
     return sessions.distinct_answers(read_table(spark, sf_dir, "answers")).where("question IS NOT NULL").select("answer_id", X.short_text(F.col("question")).alias("short"))
 
 
-@query(f"WITH {_LAST} SELECT answer_id, CASE WHEN isfinite(total_seconds) AND total_seconds >= 0 THEN printf('%.2f', total_seconds) || ' s' ELSE '—' END AS duration, CASE WHEN isfinite(evidence_score) AND evidence_score >= 0 THEN printf('%.4f', evidence_score) ELSE '—' END AS score FROM la")
+@query(f"WITH {_LAST} SELECT answer_id, CASE WHEN isfinite(total_seconds) AND total_seconds >= 0 THEN round(total_seconds::VARCHAR::DECIMAL(18, 8), 2)::DECIMAL(18, 2)::VARCHAR || ' s' ELSE '—' END AS duration, CASE WHEN isfinite(evidence_score) AND evidence_score >= 0 THEN round(evidence_score::VARCHAR::DECIMAL(18, 8), 4)::DECIMAL(18, 4)::VARCHAR ELSE '—' END AS score FROM la")
 def shown_figures(spark, sf_dir):
     """Times and scores as they are displayed."""
     return sessions.distinct_answers(read_table(spark, sf_dir, "answers")).select("answer_id", X.shown(F.col("total_seconds"), 2, " s").alias("duration"), X.shown(F.col("evidence_score"), 4).alias("score"))
@@ -660,11 +660,10 @@ def streamed_quality(spark, sf_dir):
     """Stored labels per day, counted by a stream over the page files."""
     import uuid
 
-    from ..streaming.pages import quality_by_day
+    from ..streaming.pages import page_stream, quality_by_day
 
     name = f"streamed_{uuid.uuid4().hex}"
-    pages = read_table(spark, sf_dir, "pages")
-    stream = quality_by_day(spark.readStream.schema(pages.schema).parquet(f"{sf_dir}/pages.parquet"))
+    stream = quality_by_day(page_stream(spark, f"{sf_dir}/pages.parquet"))
     run = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.col("day").cast("timestamp_ntz").alias("day"), "quality", "pages")

@@ -28,10 +28,10 @@ class ChunkStore:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _version(self) -> str | None:
-        pointer = self._at("_current")
+        pointer = self._at("CURRENT")
         if not self._fs.exists(pointer):
             return None
-        return self.spark.read.text(f"{self.path}/_current").first()["value"]
+        return self.spark.read.text(f"{self.path}/CURRENT").first()["value"]
 
     def exists(self) -> bool:
         """Whether the store has been written."""
@@ -70,13 +70,13 @@ class ChunkStore:
     def _commit(self, rows: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
         rows.withColumn(PART, self._part(F.col("source"))).write.partitionBy(PART).parquet(f"{self.path}/{version}")
-        out = self._fs.create(self._at("_next"), True)
+        out = self._fs.create(self._at("NEXT"), True)
         out.write(bytearray(version.encode()))
         out.close()
-        pointer = self._at("_current")
+        pointer = self._at("CURRENT")
         if self._fs.exists(pointer):
             self._fs.delete(pointer, False)
-        self._fs.rename(self._at("_next"), pointer)
+        self._fs.rename(self._at("NEXT"), pointer)
 
     def _checked(self, rows: DataFrame) -> DataFrame:
         """Rows in the store's schema; raises on blank text, source or id and on repeated ids."""

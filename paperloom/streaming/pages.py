@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.quality import text_quality
 
 
-def page_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """Pages of a growing folder of Parquet files; the schema is that of the files already there."""
-    schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Pages of a growing folder of Parquet files, or of one file; the schema is that of what is already there."""
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
 
 
 def scored_stream(pages: DataFrame, late: str = "7 days") -> DataFrame:

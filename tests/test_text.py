@@ -33,7 +33,7 @@ def test_quality_boundaries(spark):
         # one long token among two is above a twentieth of the tokens
         assert tuple(quality(spark, "word " + "x" * n))[::2] == (points, reasons)
     assert quality(spark, "мир " * 20)["quality"] == "rejected"
-    assert quality(spark, "\n".join("abcdefghij"))["reasons"] == ["single_char_lines"]
+    assert quality(spark, "\n".join("abcdefghijkl"))["reasons"] == ["single_char_lines"]
     assert quality(spark, "x" * 130)["reasons"] == ["low_whitespace", "very_long_token"]
 
 
