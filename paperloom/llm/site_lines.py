@@ -185,10 +185,6 @@ def _piece_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)))], ["k"])
 
 
-def _line_key(source: str, line: str) -> F.Column:
-    return F.xxhash64(F.col(source), F.col(line))
-
-
 def comparable_line(line: F.Column) -> F.Column:
     """The comparable form of one line, as a Spark expression."""
     flat = F.regexp_replace(F.regexp_replace(F.lower(line), r"[ \t\r]+", " "), r"^ | $", "")
@@ -202,9 +198,12 @@ def remove_repeated_lines(df: DataFrame, lines: DataFrame, key: str = "chunk_id"
     breaks at its ends.  Texts without such lines, nulls among them, come back as they were with removed = 0.
     """
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(column).alias("text")).distinct()
-    rows = rows.withColumn("line", F.explode_outer(F.array_distinct(F.transform(F.split("text", "\n"), comparable_line))))
-    known = lines.select(F.col("source"), F.col("line"), F.lit(True).alias("repeated"))
-    cut = rows.join(known, ["source", "line"], "left").groupBy("key", "source", "text").agg(F.collect_set(F.when(F.col("repeated"), F.col("line"))).alias("gone"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # lines go through the join without their texts; each text is shuffled once, with the lines to be cut from it
+    parts = rows.where("source IS NOT NULL").select("key", "source", "h", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), comparable_line))).alias("line"))
+    hit = parts.join(lines.select("source", "line").distinct(), ["source", "line"]).groupBy("key", "source", "h").agg(F.collect_set("line").alias("gone"))
+    same = F.col("r.key").eqNullSafe(F.col("x.key")) & F.col("r.source").eqNullSafe(F.col("x.source")) & F.col("r.h").eqNullSafe(F.col("x.h"))
+    cut = rows.alias("r").join(hit.alias("x"), same, "left").select("r.key", "r.source", "r.text", F.coalesce("x.gone", F.array().cast("array<string>")).alias("gone"))
     kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("gone"), comparable_line(x)))
     cleaned = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", ""))
     removed = F.when(F.size("gone") == 0, 0).otherwise(F.size(F.split("text", "\n")) - F.size(kept))
