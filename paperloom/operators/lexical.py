@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..functions.stemming import stem
+from ..session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -92,11 +93,6 @@ def postings(tokens: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def query_terms(text: Column) -> Column:
-    """Terms of a query, repeats kept."""
-    return plain_tokens(text)
-
-
 def bm25_scores(tokens: DataFrame, key: str, terms: list[str], k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """(key, bm25_score) of every row that holds at least one of ``terms``, repeats of a term counting again.
 
@@ -122,6 +118,50 @@ def bm25_scores(tokens: DataFrame, key: str, terms: list[str], k1: float = K1, b
     return hits.join(F.broadcast(idf), "term").groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score"))
 
 
+@dataclass
+class LexicalIndex:
+    """Postings sorted by term with their idf, and the mean length of a row."""
+
+    postings: DataFrame  # term, idf, key, dl, tf
+    mean_length: float
+
+
+def build_index(tokens: DataFrame, key: str, strict: bool = False, epsilon: float = EPSILON) -> LexicalIndex:
+    """Writes the postings of a corpus, range-partitioned and sorted by term: a search reads only the row groups
+    that may hold its terms.  Rows without terms are left out; ``strict`` raises on them instead."""
+    if strict:
+        bad = tokenless(tokens).limit(3).collect()
+        if bad:
+            raise ValueError(f"rows without any term: {[r[key] for r in bad]}")
+    rows = tokens.where(F.size("terms") > 0)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms").cast("double")).alias("avgdl")).first()
+    found = written(postings(tokens, key).withColumnRenamed("doc_len", "dl"), "postings")
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = written(df.select("term", (F.log(F.lit(size["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "idf")
+    mean = idf.agg(F.avg("idf").alias("m")).first()["m"] or 0.0
+    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
+    ordered = found.join(idf, "term").select("term", "idf", key, "dl", "tf").repartitionByRange("term", key).sortWithinPartitions("term", key)
+    return LexicalIndex(written(ordered, "lexical-index"), size["avgdl"] or 1.0)
+
+
+def search_index(index: LexicalIndex, key: str, terms: list[str], k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
+    """(rank, key, bm25_score): the best k rows for some terms, repeats counting again; the terms reach the scan."""
+    times: dict[str, int] = {}
+    for t in terms:
+        times[t] = times.get(t, 0) + 1
+    weight = F.coalesce(*(F.when(F.col("term") == t, n) for t, n in times.items()), F.lit(0)) if times else F.lit(0)
+    hits = index.postings.where(F.col("term").isin(*times)) if times else index.postings.limit(0)
+    part = F.col("idf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length)))
+    return top_k(hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score")), "bm25_score", key, k).select("rank", key, "bm25_score")
+
+
+def terms_of(spark: SparkSession, query: str, exact: bool = False) -> list[str]:
+    """The terms of a query, as the index has them."""
+    if exact:
+        return [stem(t) if t.isascii() and t.isalpha() else t for t in exact_tokens(query)]
+    return spark.range(1).select(plain_tokens(F.lit(query)).alias("t")).first()["t"]
+
+
 def top_k(scored: DataFrame, score: str, key: str, k: int, ascending: bool = False) -> DataFrame:
     """The first k rows by score, ties by key, with a rank from one.
 
@@ -139,12 +179,7 @@ def bm25_search(corpus: DataFrame, query: str, key: str = "chunk_id", column: st
     ``where`` filters hits after scoring; the statistics stay those of the whole corpus.  A query without terms
     finds nothing.
     """
-    spark = corpus.sparkSession
-    if exact:
-        terms = [stem(t) if t.isascii() and t.isalpha() else t for t in exact_tokens(query)]
-    else:
-        terms = spark.range(1).select(plain_tokens(F.lit(query)).alias("t")).first()["t"]
-    scored = bm25_scores(tokenized(corpus, key, column, exact), key, terms)
+    scored = bm25_scores(tokenized(corpus, key, column, exact), key, terms_of(corpus.sparkSession, query, exact))
     if where is not None:
         scored = scored.join(corpus.where(where).select(key).distinct(), key, "left_semi")
     return top_k(scored, "bm25_score", key, k).select("rank", key, "bm25_score")

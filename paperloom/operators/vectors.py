@@ -33,12 +33,15 @@ def nearest_for_all(queries: DataFrame, vectors: DataFrame, key: str = "vec_id",
     """
     import numpy as np
 
-    wanted = queries.where(F.col(column).isNotNull()).select(F.col(key).alias("q"), F.col(column).alias("v")).orderBy("q").toArrow()
-    ids = wanted.column("q").to_numpy()
+    asked = queries.where(F.col(column).isNotNull()).select(F.col(key).cast("bigint").alias("q"), F.col(column).alias("v"))
+    blocks = -(-asked.count() // block)
     found = None
-    for first in range(0, len(ids), block):
-        part = np.array(wanted.column("v").slice(first, block).to_pylist(), np.float64)
-        sent = vectors.sparkSession.sparkContext.broadcast((ids[first : first + block], part))
+    for n in range(blocks):  # one block of queries at a time visits the driver
+        wanted = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n).toArrow()
+        if not wanted.num_rows:
+            continue
+        ids, part = wanted.column("q").to_numpy(), np.array(wanted.column("v").to_pylist(), np.float64)
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, part))
 
         def near(batches, sent=sent):
             names, points = sent.value

@@ -67,8 +67,7 @@ def synchronise(pages: DataFrame, present: DataFrame, store: ChunkStore, setting
     work = plan.where("action IN ('ADD', 'REPLACE', 'REPROCESS')")
     rows = written(chunk_rows(pages.join(work.select("source"), "source", "left_semi"), settings), "new-chunks")
     if not rows.isEmpty():
-        kept = stored.join(work.select("source"), "source", "left_anti")
-        store._commit(kept.unionByName(store._checked(rows)))
+        store.replace_sources(rows)
     gone = plan.where("action = 'DELETE'")
     if not gone.isEmpty():
         store.delete_sources(gone)

@@ -90,12 +90,15 @@ def chunk_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ scans
 
 
-@query("SELECT source, sha256(coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY page, ingested_at, text), '')) AS source_hash FROM pages WHERE source IS NOT NULL GROUP BY source")
+@query("SELECT source, sha256(sum(('0x' || substr(sha256(page || '|' || coalesce(text, '')), 1, 15))::BIGINT)::VARCHAR) AS source_hash FROM (SELECT DISTINCT source, page, text FROM pages WHERE source IS NOT NULL AND page IS NOT NULL) GROUP BY source")
 def content_hashes(spark, sf_dir):
-    """(source, source_hash): a hash of each source's stored page texts, which stand in for its bytes."""
-    rows = read_table(spark, sf_dir, "pages").where("source IS NOT NULL")
-    texts = F.sort_array(F.collect_list(F.struct(F.coalesce("page", F.lit(2**31 - 1)).alias("p"), F.col("ingested_at").isNull().alias("n"), "ingested_at", F.coalesce("text", F.lit("")).alias("t"))))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(texts, lambda x: x["t"]), "\n"), 256).alias("source_hash"))
+    """(source, source_hash): a hash of each source's distinct page texts, which stand in for its bytes.
+
+    Page hashes are summed, so no task ever holds a whole source.
+    """
+    rows = read_table(spark, sf_dir, "pages").where("source IS NOT NULL AND page IS NOT NULL").select("source", "page", "text").distinct()
+    page = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("page").cast("string"), F.coalesce("text", F.lit(""))), 256), 1, 15), 16, 10)
+    return rows.groupBy("source").agg(F.sha2(F.sum(page.cast("decimal(20,0)")).cast("string"), 256).alias("source_hash"))
 
 
 @query("SELECT source, source_hash, pipeline_version, count(*) AS rows FROM chunk GROUP BY ALL")
@@ -452,6 +455,13 @@ def bm25_topk(spark, sf_dir):
     return lexical.bm25_search(read_table(spark, sf_dir, "documents"), QUESTION, "doc_id")
 
 
+@query(ORACLE["bm25_topk"])
+def bm25_indexed(spark, sf_dir):
+    """The best five documents for a question, by an index written once and read by term."""
+    index = lexical.build_index(lexical.tokenized(read_table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    return lexical.search_index(index, "doc_id", lexical.terms_of(spark, QUESTION))
+
+
 @query(
     f"WITH {_CHUNK_ONCE}, {_bm25('chunk_once', 'chunk_id', chr(39) + QUESTION + chr(39))} SELECT row_number() OVER (ORDER BY score DESC, k) AS rank, k AS chunk_id, score AS bm25_score FROM scored WHERE k IN (SELECT chunk_id FROM chunk_once WHERE source = '{SOURCE}') ORDER BY score DESC, k LIMIT 5"
 )

@@ -1,57 +1,60 @@
-"""Chunk store on partitioned Parquet: keyed reads, insert-if-absent, replace and delete by source.
+"""Chunk store on Parquet: keyed reads, upsert, insert-if-absent, replace and delete by source.
 
-A write stages its rows next to the table and is visible only when the new version directory is named in the
-table's pointer file, so a failed write leaves the old rows in place.  Every version holds whole sources in
-partitions, and an unchanged source is carried over without being rewritten by a hash or sort.
+Rows lie in parts by a hash of their source.  A write makes new files only for the parts it touches and then
+names them in the manifest, a small file that is swapped whole: a failed write leaves the old rows in place, and
+the parts of other sources are neither read nor written.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sync import require
 
-PART = "source_part"
+PART = "part"
 
 
 class ChunkStore:
-    """A table of rows keyed by chunk_id, partitioned by a hash of the source."""
+    """A table of rows keyed by chunk_id.  A chunk id belongs to one source, whose rows share a part."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, parts: int = 64) -> None:
         self.spark, self.path, self.schema, self.parts = spark, path.rstrip("/"), schema, parts
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._at("MANIFEST").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _version(self) -> str | None:
-        pointer = self._at("CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()["value"]
+    def _manifest(self) -> dict[int, str]:
+        """Folder of each part that has rows."""
+        if not self._fs.exists(self._at("MANIFEST")):
+            return {}
+        return {int(k): v for k, v in json.loads(self.spark.read.text(f"{self.path}/MANIFEST").first()["value"]).items()}
+
+    def _part(self, source: Column) -> Column:
+        return F.pmod(F.xxhash64(source), F.lit(self.parts)).cast("int")
+
+    def _parts_of(self, sources: DataFrame) -> set[int]:
+        return {r["p"] for r in sources.select(self._part(F.col("source")).alias("p")).distinct().collect()}
 
     def exists(self) -> bool:
         """Whether the store has been written."""
-        return self._version() is not None
+        return self._fs.exists(self._at("MANIFEST"))
 
-    def read(self) -> DataFrame:
-        """All rows; an empty typed DataFrame where nothing was written."""
-        version = self._version()
-        if version is None:
+    def read(self, parts: set[int] | None = None) -> DataFrame:
+        """All rows, or those of some parts; an empty typed DataFrame where there are none."""
+        folders = [f"{self.path}/{v}" for k, v in sorted(self._manifest().items()) if parts is None or k in parts]
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(f"{self.schema}, {PART} int").parquet(f"{self.path}/{version}").drop(PART)
+        return self.spark.read.schema(self.schema).parquet(*folders)
 
     def of_source(self, source: str) -> DataFrame:
-        """Rows of one source; the partition filter prunes the others' files."""
-        version = self._version()
-        if version is None:
-            return self.read()
-        part = self.spark.range(1).select(self._part(F.lit(source)).alias("p")).first()["p"]
-        rows = self.spark.read.schema(f"{self.schema}, {PART} int").parquet(f"{self.path}/{version}")
-        return rows.where((F.col(PART) == part) & (F.col("source") == source)).drop(PART)
+        """Rows of one source: reads the files of its part only."""
+        parts = self._parts_of(self.spark.createDataFrame([(source,)], "source string"))
+        return self.read(parts).where(F.col("source") == source)
 
     def by_ids(self, ids: DataFrame) -> DataFrame:
         """Rows whose chunk_id is among ``ids``."""
@@ -64,21 +67,20 @@ class ChunkStore:
         if self.read().isEmpty():
             raise ValueError("the chunk store is empty")
 
-    def _part(self, source) -> F.Column:
-        return F.pmod(F.xxhash64(source), F.lit(self.parts)).cast("int")
-
-    def _commit(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.withColumn(PART, self._part(F.col("source"))).write.partitionBy(PART).parquet(f"{self.path}/{version}")
+    def _commit(self, rows: DataFrame, parts: set[int]) -> None:
+        """Makes ``rows`` the whole content of some parts."""
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.withColumn(PART, self._part(F.col("source"))).write.partitionBy(PART).parquet(f"{self.path}/{folder}")
+        manifest = {k: v for k, v in self._manifest().items() if k not in parts}
+        manifest |= {k: f"{folder}/{PART}={k}" for k in parts if self._fs.exists(self._at(f"{folder}/{PART}={k}"))}
         out = self._fs.create(self._at("NEXT"), True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        pointer = self._at("CURRENT")
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(self._at("NEXT"), pointer)
+        if self._fs.exists(self._at("MANIFEST")):
+            self._fs.delete(self._at("MANIFEST"), False)
+        self._fs.rename(self._at("NEXT"), self._at("MANIFEST"))
 
-    def _checked(self, rows: DataFrame) -> DataFrame:
+    def checked(self, rows: DataFrame) -> DataFrame:
         """Rows in the store's schema; raises on blank text, source or id and on repeated ids."""
         fields = self.spark.createDataFrame([], self.schema).schema
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
@@ -89,30 +91,42 @@ class ChunkStore:
 
     def upsert(self, rows: DataFrame) -> None:
         """Adds rows and replaces those of equal chunk_id."""
-        rows = self._checked(rows)
-        self._commit(self.read().join(rows.select("chunk_id"), "chunk_id", "left_anti").unionByName(rows))
+        rows = self.checked(rows)
+        parts = self._parts_of(rows)
+        if parts:
+            self._commit(self.read(parts).join(rows.select("chunk_id"), "chunk_id", "left_anti").unionByName(rows), parts)
 
     def insert_absent(self, rows: DataFrame, embed=None) -> int:
         """Adds the rows whose chunk_id is not stored, embedding only these; returns how many there are."""
-        rows = self._checked(rows)
-        new = rows.join(self.read().select("chunk_id"), "chunk_id", "left_anti")
+        rows = self.checked(rows)
+        parts = self._parts_of(rows)
+        new = rows.join(self.read(parts).select("chunk_id"), "chunk_id", "left_anti")
         count = new.count()
         if count:
-            self._commit(self.read().unionByName(embed(new) if embed else new, allowMissingColumns=True))
+            self._commit(self.read(parts).unionByName(embed(new) if embed else new), parts)
         return count
 
-    def replace_source(self, source: str, rows: DataFrame, embed=None) -> None:
-        """Puts ``rows`` in place of all rows of a source.  They are embedded first, so a failure changes nothing."""
-        rows = self._checked(rows)
-        if rows.isEmpty():
+    def replace_sources(self, rows: DataFrame, embed=None) -> None:
+        """Puts ``rows`` in place of all rows of their sources.  They are embedded first, so a failure changes nothing."""
+        rows = self.checked(rows)
+        parts = self._parts_of(rows)
+        if not parts:
             raise ValueError("a source cannot be replaced by nothing")
-        require(rows.where(F.col("source") != source).select("chunk_id", "source"), "rows of another source")
         rows = embed(rows) if embed else rows
-        self._commit(self.read().where(F.col("source") != source).unionByName(rows, allowMissingColumns=True))
+        kept = self.read(parts).join(rows.select("source").distinct(), "source", "left_anti")
+        self._commit(kept.unionByName(rows), parts)
+
+    def replace_source(self, source: str, rows: DataFrame, embed=None) -> None:
+        """``replace_sources`` for rows that must all be of one source."""
+        require(rows.where(~F.col("source").eqNullSafe(F.lit(source))).select("chunk_id", "source"), "rows of another source")
+        self.replace_sources(rows, embed)
 
     def delete_sources(self, sources: DataFrame) -> int:
         """Removes all rows of the given sources; returns how many went.  Raises if any is left."""
-        gone = self.read().join(sources.select("source").distinct(), "source", "left_semi").count()
-        self._commit(self.read().join(sources.select("source").distinct(), "source", "left_anti"))
-        require(self.read().join(sources.select("source").distinct(), "source", "left_semi").select("source"), "rows left after a delete")
+        sources = sources.select("source").distinct()
+        parts = self._parts_of(sources) & set(self._manifest())
+        gone = self.read(parts).join(sources, "source", "left_semi").count() if parts else 0
+        if gone:
+            self._commit(self.read(parts).join(sources, "source", "left_anti"), parts)
+            require(self.read(parts).join(sources, "source", "left_semi").select("source"), "rows left after a delete")
         return gone
