@@ -19,8 +19,8 @@ SCRIPT, SEVERE_SCRIPT, HARD_SCRIPT = 0.08, 0.20, 0.50
 def with_metrics(df: DataFrame, column: str = "text", language: str = "eng") -> DataFrame:
     """Adds ``cleaned`` and the figures the score needs.  Columns of these names are replaced."""
     cleaned = F.col("cleaned")
-    out = df.withColumn("cleaned", X.clean_text(F.col(column)))
-    scripts = X.script_counts(cleaned)
+    out = df.withColumn("cleaned", X.clean_text(F.col(column))).withColumn("letters_", X.letters_only(cleaned))
+    scripts = X.script_counts(F.col("letters_"))
     out = out.withColumns(
         {
             "char_count": F.length(cleaned),
@@ -55,7 +55,7 @@ def with_metrics(df: DataFrame, column: str = "text", language: str = "eng") ->
             "unexpected_ratio": F.when(letters > 0, F.round(1 - expected / letters, 4)).otherwise(0.0),
         }
     )
-    return out.drop("tokens_", "lines_")
+    return out.drop("tokens_", "lines_", "letters_")
 
 
 def score_columns() -> dict[str, Column]:

@@ -38,8 +38,8 @@ def clean_text(text: Column) -> Column:
 
 
 def count_of(text: Column, pattern: str) -> Column:
-    """How many characters of the text the class in ``pattern`` matches."""
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("int")
+    """How many characters of the text the class in ``pattern`` matches; runs of them are taken out at once."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))).cast("int")
 
 
 def filled_lines(text: Column) -> Column:
@@ -54,18 +54,23 @@ def token_lengths(text: Column) -> Column:
 
 # scripts by the order in which the reference tests them; Han, kana and Hangul count as one
 SCRIPTS = {
-    "latin": r"[\p{IsLatin}&&\p{L}]",
-    "arabic": r"[\p{IsArabic}&&\p{L}]",
-    "cyrillic": r"[\p{IsCyrillic}&&\p{L}]",
-    "cjk": r"[[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]&&\p{L}]",
-    "greek": r"[\p{IsGreek}&&\p{L}]",
+    "latin": r"[\p{IsLatin}]",
+    "arabic": r"[\p{IsArabic}]",
+    "cyrillic": r"[\p{IsCyrillic}]",
+    "cjk": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]",
+    "greek": r"[\p{IsGreek}]",
 }
 
 
-def script_counts(text: Column) -> dict[str, Column]:
-    """Letters of each script, ``letters`` and the rest as ``other``."""
-    counts = {name: count_of(text, pattern) for name, pattern in SCRIPTS.items()}
-    counts["letters"] = count_of(text, r"\p{L}")
+def letters_only(text: Column) -> Column:
+    """The letters of a text."""
+    return F.regexp_replace(text, r"\P{L}+", "")
+
+
+def script_counts(letters: Column) -> dict[str, Column]:
+    """Letters of each script among ``letters_only`` of a text, ``letters`` of them all and the rest as ``other``."""
+    counts = {name: count_of(letters, pattern) for name, pattern in SCRIPTS.items()}
+    counts["letters"] = F.length(letters)
     known = sum((counts[n] for n in SCRIPTS), F.lit(0))
     return counts | {"other": counts["letters"] - known}
 
@@ -87,7 +92,7 @@ def is_arabic(text: Column) -> Column:
 
 def has_arabic_letter(text: Column) -> Column:
     """Whether a text has an Arabic letter, presentation forms included, digits not."""
-    return text.rlike(SCRIPTS["arabic"])
+    return text.rlike(r"[\p{IsArabic}&&\p{L}]")
 
 
 # fixed values: decimal digits of the scripts met in queries, each list from zero to nine

@@ -113,7 +113,8 @@ def chunk_documents(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
     if size < 1 or overlap < 0 or overlap >= size:
         raise ValueError("chunk size must be positive and the overlap smaller than it")
     rows = pages.where("source IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL").select("source", "page", "text").distinct()
-    rows = without_noise(rows).where("denoised <> ''").select("source", "page", "denoised", "noise_lines_removed")
+    # empty texts have no pieces; a filter here would make Catalyst evaluate the whole expression twice
+    rows = without_noise(rows).select("source", "page", "denoised", "noise_lines_removed")
 
     def cut(batches):
         for batch in batches:

@@ -68,6 +68,14 @@ def nearest_for_all(queries: DataFrame, vectors: DataFrame, key: str = "vec_id",
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query", "rank", F.col("key").alias(key), "distance")
 
 
+def require_one_model(vectors: DataFrame, model: str, dimensions: int, column: str = "embedding") -> None:
+    """Raises if any row has another model or another number of dimensions than the query's."""
+    from .sync import require
+
+    wrong = vectors.where(~F.col("embedding_model").eqNullSafe(F.lit(model)) | ~F.size(column).eqNullSafe(F.lit(dimensions)))
+    require(wrong.select("embedding_model", F.size(column).alias("dimensions")), "vectors of another model")
+
+
 def dimension_report(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """(dimensions, n): rows by number of dimensions, over all rows; null vectors count as null dimensions."""
     return vectors.groupBy(F.when(F.col(column).isNotNull(), F.size(column)).alias("dimensions")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunking, extraction, sync
+from ..operators.cascade import extract_pages
 from ..session import written
+from ..sources.files import changed_files, source_files
 from ..sources.store import ChunkStore
 
 
@@ -26,19 +28,6 @@ class IngestSettings:
         return f"{self.version}/{self.size}/{self.overlap}" if self.compare_parameters else self.version
 
 
-def extracted_pages(candidates: DataFrame, blank: DataFrame | None = None) -> DataFrame:
-    """Accepted pages of candidate rows (source, source_hash, page, stage_ord, loader, text) with their quality.
-
-    Candidates are scored here, so that gate and score always agree.
-    """
-    from ..functions.quality import text_quality
-
-    scored = text_quality(candidates).select("source", "source_hash", "page", "stage_ord", "loader", F.col("cleaned").alias("text"), "score", "quality", "reasons", F.lit(None).cast("string").alias("error"))
-    scored = written(scored, "scored")
-    status = extraction.page_status(scored, blank).where("status = 'accepted'").select("source", "page", "loader", "score")
-    return status.join(scored.select("source", "source_hash", "page", "loader", "score", "text", "quality"), ["source", "page", "loader", "score"]).where("quality = 'good'").dropDuplicates(["source", "page"])
-
-
 def chunk_rows(pages: DataFrame, settings: IngestSettings) -> DataFrame:
     """Store rows of accepted pages."""
     chunks = chunking.chunk_documents(pages, settings.size, settings.overlap)
@@ -46,12 +35,34 @@ def chunk_rows(pages: DataFrame, settings: IngestSettings) -> DataFrame:
     return chunks.join(hashes, "source").withColumn("pipeline_version", F.lit(settings.stored_version))
 
 
+def accepted_pages(attempts: DataFrame, blank: DataFrame | None = None) -> DataFrame:
+    """(source, source_hash, page, loader, text): the chosen text of each accepted page."""
+    status = extraction.page_status(attempts, blank).where("status = 'accepted'").select("source", "page", "loader", "score")
+    texts = attempts.where("quality = 'good'").select("source", "source_hash", "page", "loader", "score", "text")
+    return texts.join(status, ["source", "page", "loader", "score"]).dropDuplicates(["source", "page"])
+
+
+def ingest(spark, folder: str, extractors: list, store: ChunkStore, settings: IngestSettings = IngestSettings(), dry_run: bool = False, allow_delete_all: bool = False) -> DataFrame:
+    """Synchronises a store with a folder of files and returns the plan.
+
+    Hashes come first: files whose hash and version are stored are not extracted again.
+    """
+    files = source_files(spark, folder)
+    present = files.select("source")
+    states = sync.source_states(store.read())
+    fresh = changed_files(files, states, settings.stored_version)
+    pages = written(accepted_pages(extract_pages(fresh, extractors)), "accepted")
+    same = files.join(fresh.select("source"), "source", "left_anti").select("source", "source_hash")
+    return synchronise(pages, present, store, settings, dry_run, allow_delete_all, same)
+
+
 STORE_SCHEMA = "chunk_id string, source string, page int, chunk_index int, text string, char_count int, chunk_size int, chunk_overlap int, noise_lines_removed int, source_hash string, pipeline_version string"
 
 
-def synchronise(pages: DataFrame, present: DataFrame, store: ChunkStore, settings: IngestSettings = IngestSettings(), dry_run: bool = False, allow_delete_all: bool = False) -> DataFrame:
+def synchronise(pages: DataFrame, present: DataFrame, store: ChunkStore, settings: IngestSettings = IngestSettings(), dry_run: bool = False, allow_delete_all: bool = False, unchanged: DataFrame | None = None) -> DataFrame:
     """Brings the store in step with ``pages`` and returns the plan (source, action).
 
+    ``unchanged`` (source, source_hash) names files that were not read again because nothing changed.
     ``present`` (source) lists the files that exist; pages may hold fewer of them.  With nothing present and rows
     stored it raises before any work unless ``allow_delete_all``.  Additions and replacements come before
     deletions; afterwards no stored source may be absent from ``present``.
@@ -61,6 +72,8 @@ def synchronise(pages: DataFrame, present: DataFrame, store: ChunkStore, setting
         raise RuntimeError("no source is present but chunks are stored; deleting all needs allow_delete_all")
     known = written(sync.source_states(stored), "stored-states")
     new_hashes = pages.groupBy("source").agg(F.min("source_hash").alias("source_hash")).withColumn("pipeline_version", F.lit(settings.stored_version))
+    if unchanged is not None:
+        new_hashes = new_hashes.unionByName(unchanged.withColumn("pipeline_version", F.lit(settings.stored_version)))
     plan = written(sync.sync_plan(new_hashes, known, present), "plan")
     if dry_run:
         return plan

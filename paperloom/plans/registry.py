@@ -161,7 +161,8 @@ _SCRIPTS = {"latin": r"\p{Latin}", "arabic": r"\p{Arabic}", "cyrillic": r"\p{Cyr
 def script_ratios(spark, sf_dir):
     """Shares of scripts among the letters of each document."""
     rows = read_table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    counts = X.script_counts(F.col("text"))
+    rows = rows.select("doc_id", X.letters_only(F.col("text")).alias("l"))
+    counts = X.script_counts(F.col("l"))
     rows = rows.select("doc_id", *(v.alias(k) for k, v in counts.items()))
     return rows.select("doc_id", "letters", *(F.when(F.col("letters") > 0, F.round(F.col(n) / F.col("letters"), 4)).otherwise(0.0).alias(f"{n}_ratio") for n in ("latin", "arabic", "cyrillic", "greek")))
 

@@ -33,6 +33,7 @@ class HybridSearcher:
         query = query.strip()
         if not query:
             raise ValueError("the query is blank")
+        vectors.require_one_model(self.corpus, self.embedder.name, self.embedder.dimensions)
         words = checked_translation(query, self.translator.translate) if self.translator else query
         lexical_hits = lexical.bm25_search(self.corpus, words, k=candidates, exact=self.exact)
         near = vectors.vector_search(self.corpus, self.embedder.query(query), "chunk_id", k=candidates)

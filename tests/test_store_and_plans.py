@@ -58,6 +58,39 @@ def test_source_files(spark, tmp_path):
     assert changed_files(files, states, "2").count() == 0 and changed_files(files, states, "3").count() == 1
 
 
+def test_ingest_folder(spark, tmp_path):
+    from paperloom.operators.cascade import FormFeedText, extract_pages
+
+    class Fallback(FormFeedText):
+        def page_text(self, content, page):
+            return "The second reader found the audit plan of the site on this page."
+
+    good = "The audit plan is kept by the lead of the site. " * 4
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.pdf").write_text(f"{good}\f\f{good}")
+    (tmp_path / "docs" / "b.pdf").write_bytes(b"\xff\xfe")
+    readers = [FormFeedText(), Fallback("pymupdf")]
+    attempts = extract_pages(source_files(spark, str(tmp_path / "docs")), readers).collect()
+    assert sorted((r["page"], r["loader"]) for r in attempts) == [(1, "pypdf"), (2, "pymupdf"), (2, "pypdf"), (3, "pypdf")]
+    store = ChunkStore(spark, str(tmp_path / "store"), pipeline.STORE_SCHEMA, parts=2)
+    actions = lambda df: {r["source"]: r["action"] for r in df.collect()}
+    assert actions(pipeline.ingest(spark, str(tmp_path / "docs"), readers, store)) == {"a.pdf": "ADD"}
+    assert store.read().select("page").distinct().count() == 3
+    assert actions(pipeline.ingest(spark, str(tmp_path / "docs"), readers, store)) == {"a.pdf": "SKIP"}
+    (tmp_path / "docs" / "a.pdf").write_text(good)
+    assert actions(pipeline.ingest(spark, str(tmp_path / "docs"), readers, store)) == {"a.pdf": "REPLACE"}
+    assert {r["page"] for r in store.read().collect()} == {1}
+
+
+def test_blank_pages(spark):
+    from paperloom.operators.cascade import blank_pages
+
+    white, dark = bytes([255] * 10000), bytes([255] * 9000 + [0] * 1000)
+    rows = [("a", 1, 100, 100, bytearray(white)), ("a", 2, 100, 100, bytearray(dark)), ("a", 3, 100, 99, bytearray(white)), ("a", 4, None, None, None)]
+    images = spark.createDataFrame(rows, "source string, page int, width int, height int, pixels binary")
+    assert [tuple(r) for r in blank_pages(images).collect()] == [("a", 1)]
+
+
 def test_answer(spark):
     rows = spark.createDataFrame([(f"c{i}", "s", i, t) for i, t in enumerate(["The audit plan is kept by the lead.", "Calibration takes ten days.", "Other words stand here."])], "chunk_id string, source string, page int, text string")
     corpus = embed_rows(rows, HashEmbedder(32)).cache()
