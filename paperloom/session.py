@@ -31,5 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables in a data folder."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the tables in a data folder.
+
+    A table of one or two files, which a scan could only read in as many tasks, is spread over the cores; filters
+    and column pruning go below the exchange.  Tables of more files are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in SPREAD and df.rdd.getNumPartitions() * 4 <= spark.sparkContext.defaultParallelism:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
+#: Tables with long texts, whose work per row is worth an exchange of a small table.
+SPREAD = ("pages", "chunk", "documents")
