@@ -169,15 +169,22 @@ def text_keys(df: DataFrame, key: str = "chunk_id", column: str = "text") -> Dat
     return rows.mapInArrow(run, f"`{key}` string, form binary, stored binary")
 
 
-def look_alike_pairs(df: DataFrame, key: str = "chunk_id", column: str = "text") -> DataFrame:
+#: Records stored alike take part in all pairs up to this number; of more, the first speaks for them.
+EXPANDED = 200
+
+
+def look_alike_pairs(df: DataFrame, key: str = "chunk_id", column: str = "text", expanded: int = EXPANDED) -> DataFrame:
     """(key_a, key_b): records whose texts differ as stored and look the same in print; the smaller key first.
 
     Only forms that were stored in at least two ways reach the self-join, so its work is that of its result.
-    Repeated rows count once; null keys and null texts take part in no pair.
+    Repeated rows count once; null keys and null texts take part in no pair.  Where more than ``expanded`` records
+    hold one text as stored, the first of them speaks for all (``form_classes`` lists the members).
     """
     rows = text_keys(df, key, column).distinct()
     several = rows.groupBy("form").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low < high").select("form")
     kept = rows.join(several, "form", "left_semi")
+    sizes = kept.groupBy("form", "stored").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("head"))
+    kept = kept.join(sizes, ["form", "stored"]).where((F.col("n") <= expanded) | (F.col(key) == F.col("head")))
     a, b = (kept.select("form", F.col(key).alias(f"{key}_{x}"), F.col("stored").alias(f"stored_{x}")) for x in "ab")
     return a.join(b, "form").where(f"`{key}_a` < `{key}_b` AND stored_a <> stored_b").select(f"{key}_a", f"{key}_b").distinct()
 

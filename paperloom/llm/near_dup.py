@@ -421,22 +421,69 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", column: str = "text",
     return NearDuplicates(members, links.where(F.col("similarity") >= s.threshold))
 
 
-def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", column: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """(key_a, key_b): all pairs of records at or above the threshold, the smaller key first; copies included."""
+#: Copies of one text are paired with each other up to this number; more are paired with the first of them only.
+EXPANDED = 200
+
+
+def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", column: str = "text", settings: JoinSettings = JoinSettings(), expanded: int = EXPANDED) -> DataFrame:
+    """(key_a, key_b): pairs of records at or above the threshold, the smaller key first.
+
+    Every link between different texts is there.  Records of one class (equal shingle sets) are paired with each
+    other and with all records of linked classes; a class of more than ``expanded`` records is spoken for by its
+    first record, which is paired with each of the others, so that copies never multiply.
+    """
     found = near_duplicates(df, key, column, settings)
-    members = found.members
-    several = members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.col("id").alias("id_b"))
-    classes = found.links.select("id_a", "id_b").unionByName(several.select(F.col("id").alias("id_a"), "id_b"))
-    a = members.select(F.col("id").alias("id_a"), F.col(key).alias("a"))
-    b = members.select(F.col("id").alias("id_b"), F.col(key).alias("b"))
-    pairs = classes.join(a, "id_a").join(b, "id_b").where("a <> b AND (id_a <> id_b OR a < b)")
+    classes = found.members.groupBy("id").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes, "classes")
+    small = classes.where(F.col("n") <= expanded).select("id")
+    speaking = found.members.join(small, "id", "left_semi").unionByName(classes.where(F.col("n") > expanded).select("id", F.col("head").alias(key)))
+    speaking = written(speaking.select("id", F.col(key).alias("k")), "speaking")
+    a, b = (speaking.select(F.col("id").alias(f"id_{x}"), F.col("k").alias(x)) for x in "ab")
+    between = found.links.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").select("a", "b")
+    several = classes.where((F.col("n") > 1) & (F.col("n") <= expanded)).select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))
+    within = several.join(a, "id_a").join(b, "id_b").where("a < b").select("a", "b")
+    many = classes.where(F.col("n") > expanded).select("id", F.col("head").alias("a"))
+    spokes = found.members.join(many, "id").where(F.col("a") != F.col(key)).select("a", F.col(key).alias("b"))
+    pairs = between.unionByName(within).unionByName(spokes).where("a <> b")
     return pairs.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(id, group): the smallest id that each end of the links (id_a, id_b) is connected with.
+
+    Alternating large-star and small-star steps: neighbours are moved to the smallest neighbour until nothing
+    changes, in about the logarithm of the longest path.  Each step is a grouped minimum and a join; no list of
+    neighbours is ever built, and every step is written so that lineages stay short.
+    """
+    edges = written(links.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).where("u <> v").distinct(), "edges")
+    mark = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == mark:
+            break
+        mark = now
+    ends = edges.select(F.col("u").alias("id"), F.col("v").alias("group"))
+    return ends.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group"))).groupBy("id").agg(F.min("group").alias("group"))
+
+
 def class_links(found: NearDuplicates, key: str = "chunk_id") -> DataFrame:
-    """(key, class_id, copies, links): one row per record with the class of records of equal shingle sets, how
-    many records that class has, and to how many other classes it is linked."""
-    ends = found.links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    """(key, class_id, copies, links, group_id, group_size): one row per record.
+
+    The class holds the records of equal shingle sets, links counts the other classes it is linked to, and the
+    group holds all records that links connect; ids are the smallest keys in them.
+    """
+    links = written(found.links.select("id_a", "id_b"), "links")
+    ends = links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     names = found.members.groupBy("id").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    named = names.join(ends, "id", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return found.members.join(named, "id").select(key, "class_id", "copies", "links")
+    named = names.join(ends, "id", "left").join(connected(links), "id", "left")
+    named = written(named.select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "id").alias("group")), "classes")
+    groups = named.groupBy("group").agg(F.min("class_id").alias("group_id"), F.sum("copies").alias("group_size"))
+    out = found.members.join(named.join(groups, "group"), "id")
+    return out.select(key, "class_id", "copies", "links", "group_id", "group_size")

@@ -83,6 +83,23 @@ def test_join_against_brute_force(spark):
     assert near_dup.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_many_copies_do_not_multiply(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(f"c{i}", text) for i in range(9)] + [("near", text + " w30"), ("x1", "ａ b"), ("x2", "a b"), ("x3", "a b"), ("x4", "a b")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = pairs(near_dup.near_duplicate_pairs(df, expanded=4))
+    assert {p for p in got if p[0][0] == "c"} == {("c0", f"c{i}") for i in range(1, 9)} | {("c0", "near")}
+    assert pairs(look_alike_pairs(df, expanded=2)) == {("x1", "x2")} and len(pairs(look_alike_pairs(df))) == 3
+    groups = {r["chunk_id"]: (r["group_id"], r["group_size"]) for r in near_dup.class_links(near_dup.near_duplicates(df)).collect()}
+    assert groups["near"] == groups["c5"] == ("c0", 10) and groups["x2"][1] == 4
+
+
+def test_connected_chain(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)]
+    got = {r["id"]: r["group"] for r in near_dup.connected(spark.createDataFrame(chain, "id_a bigint, id_b bigint")).collect()}
+    assert set(got) == {*range(41), 100, 101, 102} and {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
+
+
 def test_large_leaves_go_by_blocks(spark):
     """Many records that are all alike: leaves stay large to the last depth."""
     base = [f"w{i}" for i in range(40)]
