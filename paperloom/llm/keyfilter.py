@@ -38,7 +38,7 @@ def key_filter(keys: DataFrame, column: str, count: int, max_bits: int = 1 << 26
     Bits are or-ed together by a Spark aggregate, whose result has at most max_bits / 64 rows.
     """
     size = 1 << 16
-    while size < min(max_bits, 24 * count):
+    while size < min(max_bits, 12 * count):
         size *= 2
     probes = F.explode(F.array(*(F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(size - 1)) for s in (0, 32))))
     words = (

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, class_id, links): one row per chunk of a class of copies and its links to other classes."""
+    """One row per chunk: its class of copies, its links to other classes, and the group that links connect."""
     found = near_dup.near_duplicates(read_table(spark, sf_dir, "chunk"))
     return near_dup.class_links(found)
 
