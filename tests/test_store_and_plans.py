@@ -111,6 +111,14 @@ def test_adapters():
         settings_in_range(10, 5)
 
 
+def test_drop_written(spark):
+    from paperloom.session import drop_written, written
+
+    drop_written(spark)
+    df = written(spark.range(3), "t")
+    assert df.count() == 3 and drop_written(spark) == 1 and drop_written(spark) == 0
+
+
 def test_registry(spark, data):
     import __spark_entry__ as entry
 
