@@ -72,10 +72,15 @@ def _triple_sets(texts: pa.Array, width: int):
     return both & np.uint64((1 << 44) - 1), (both >> np.uint64(44)).astype(np.int64)
 
 
+def _digests(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """128-bit digests of n sets, the same whatever the order of their tokens."""
+    first = np.searchsorted(owner, np.arange(n))
+    return np.stack([np.add.reduceat(V.mix(grams + np.uint64(k)), first) for k in (11, 12)], axis=1)
+
+
 def _sketches(grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """128-bit set digests, 64 coordinates of 16 bits and 128 sketch bits of n sets."""
-    first = np.searchsorted(owner, np.arange(n))
-    digest = np.stack([np.add.reduceat(V.mix(grams + np.uint64(k)), first) for k in (11, 12)], axis=1)
+    digest = _digests(grams, owner, n)
     per = BINS // _ROUNDS
     low = np.full((n, BINS), np.iinfo(np.uint64).max, np.uint64)
     for r in range(_ROUNDS):
@@ -349,7 +354,7 @@ def candidate_pairs(sets: DataFrame, records: int, s: JoinSettings, block: int =
 
 
 def _exact_sets(df: DataFrame, key: str, column: str, width: int, wanted: KeyFilter) -> DataFrame:
-    """(key, grams): sorted shingle hashes of the records that the filter lets through."""
+    """(set_id, grams): sorted shingle hashes of the records whose key the filter lets through."""
 
     def run(batches):
         one_form = Canonicalizer()
@@ -359,21 +364,22 @@ def _exact_sets(df: DataFrame, key: str, column: str, width: int, wanted: KeyFil
                 continue
             batch = batch.filter(pa.array(keep))
             for a, b in V.slices(batch.column(1), V.SLICE_CHARS // 2):
-                grams, owner = _triple_sets(one_form(batch.column(1)[a:b]), width)
-                raw = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :6]
+                found, owner = _triple_sets(one_form(batch.column(1)[a:b]), width)
+                raw = np.ascontiguousarray(found).view(np.uint8).reshape(-1, 8)[:, 1:6]
                 at = np.searchsorted(owner, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([raw[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], [key, "grams"])
+                ids = pa.array([row.tobytes() for row in _digests(found, owner, b - a)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array([raw[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["set_id", "grams"])
 
     rows = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(column).cast("string").alias("text"))
-    return rows.withColumn("h", F.xxhash64(key)).mapInArrow(run, f"`{key}` string, grams binary")
+    return rows.withColumn("h", F.xxhash64(key)).mapInArrow(run, "set_id binary, grams binary")
 
 
 def _jaccard(batches):
     """Adds the exact similarity of two gram columns."""
 
     def grams(raw: bytes) -> np.ndarray:
-        rows = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return np.pad(rows, ((0, 0), (0, 2))).view(np.uint64).reshape(-1)
+        rows = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        return np.pad(rows, ((0, 0), (0, 3))).view(np.uint64).reshape(-1)
 
     for batch in batches:
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -387,11 +393,22 @@ def _jaccard(batches):
 
 @dataclass
 class NearDuplicates:
-    """``members`` (key, id): the class representative of each record; ``links`` (id_a, id_b, similarity): all
-    pairs of representatives, that is of different shingle sets, at or above the threshold."""
+    """``heads`` (id, head, rows): each class of equal shingle sets with its smallest key and its stored rows;
+    ``several`` (key, id): the records of the classes of more than one stored row; ``links`` (id_a, id_b,
+    similarity): all pairs of classes at or above the threshold; ``linked`` (id, head, rows): the classes that may
+    have a link."""
 
-    members: DataFrame
+    heads: DataFrame
+    several: DataFrame
     links: DataFrame
+    linked: DataFrame
+    key: str
+
+    @property
+    def members(self) -> DataFrame:
+        """(key, id): the class of each record.  A class of one stored row is its head, which needs no join."""
+        alone = self.heads.where("rows = 1").select(F.col("head").alias(self.key), "id")
+        return alone.unionByName(self.several)
 
 
 def near_duplicates(df: DataFrame, key: str = "chunk_id", column: str = "text", settings: JoinSettings = JoinSettings()) -> NearDuplicates:
@@ -403,22 +420,23 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", column: str = "text",
     """
     s = settings
     sketched = written(sketch_texts(df, key, column, s.width), "sketches")
-    sets = sketched.groupBy("set_id").agg(F.min(key).alias("head"), F.first("coordinates").alias("coordinates"), F.first("bits").alias("bits"))
+    sets = sketched.groupBy("set_id").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("rows"), F.first("coordinates").alias("coordinates"), F.first("bits").alias("bits"))
     sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     records = sets.count()
     candidates = written(candidate_pairs(sets, records, s), "candidates")
-    heads = sets.select("id", "head", "set_id")
+    heads = sets.select("id", "head", "rows", "set_id")
     involved = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    wanted = written(heads.join(involved, "id"), "wanted")
-    chosen = key_filter(wanted.select(F.xxhash64("head").alias("h")), "h", wanted.count())
-    grams = _exact_sets(df, key, column, s.width, chosen).withColumnRenamed(key, "head")
-    grams = grams.join(wanted.select("head", "id"), "head").groupBy("id").agg(F.first("grams").alias("grams"))
-    grams = written(grams, "grams")
+    linked = written(heads.join(involved, "id"), "linked")
+    chosen = key_filter(linked.select(F.xxhash64("head").alias("h")), "h", linked.count())
+    # one exchange by set serves the removal of repeats and the join
+    grams = _exact_sets(df, key, column, s.width, chosen).groupBy("set_id").agg(F.first("grams").alias("grams"))
+    grams = written(grams.join(linked.select("set_id", "id"), "set_id").select("id", "grams"), "grams")
     both = candidates.join(grams.select(F.col("id").alias("id_a"), F.col("grams").alias("grams_a")), "id_a")
     both = both.join(grams.select(F.col("id").alias("id_b"), F.col("grams").alias("grams_b")), "id_b")
     links = both.select("id_a", "id_b", "grams_a", "grams_b").mapInArrow(_jaccard, "id_a bigint, id_b bigint, similarity double")
-    members = sketched.select(key, "set_id").distinct().join(heads.select("set_id", "id"), "set_id").select(key, "id")
-    return NearDuplicates(members, links.where(F.col("similarity") >= s.threshold))
+    links = written(links.where(F.col("similarity") >= s.threshold), "links")
+    several = sketched.select(key, "set_id").join(sets.where("rows > 1").select("set_id", "id"), "set_id").select(key, "id").distinct()
+    return NearDuplicates(heads, written(several, "several"), links, linked, key)
 
 
 #: Copies of one text are paired with each other up to this number; more are paired with the first of them only.
@@ -433,17 +451,15 @@ def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", column: str = "te
     first record, which is paired with each of the others, so that copies never multiply.
     """
     found = near_duplicates(df, key, column, settings)
-    classes = found.members.groupBy("id").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("n"))
-    classes = written(classes, "classes")
-    small = classes.where(F.col("n") <= expanded).select("id")
-    speaking = found.members.join(small, "id", "left_semi").unionByName(classes.where(F.col("n") > expanded).select("id", F.col("head").alias(key)))
-    speaking = written(speaking.select("id", F.col(key).alias("k")), "speaking")
+    classes = written(found.several.groupBy("id").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("n")), "classes")
+    small = found.several.join(classes.where(F.col("n") <= expanded).select("id"), "id", "left_semi").select("id", F.col(key).alias("k"))
+    many = classes.where(F.col("n") > expanded).select("id", F.col("head").alias("k"))
+    alone = found.linked.where("rows = 1").select("id", F.col("head").alias("k"))
+    speaking = written(alone.unionByName(small).unionByName(many), "speaking")
     a, b = (speaking.select(F.col("id").alias(f"id_{x}"), F.col("k").alias(x)) for x in "ab")
     between = found.links.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").select("a", "b")
-    several = classes.where((F.col("n") > 1) & (F.col("n") <= expanded)).select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))
-    within = several.join(a, "id_a").join(b, "id_b").where("a < b").select("a", "b")
-    many = classes.where(F.col("n") > expanded).select("id", F.col("head").alias("a"))
-    spokes = found.members.join(many, "id").where(F.col("a") != F.col(key)).select("a", F.col(key).alias("b"))
+    within = small.select("id", F.col("k").alias("a")).join(small.select("id", F.col("k").alias("b")), "id").where("a < b").select("a", "b")
+    spokes = found.several.join(many, "id").select(F.col("k").alias("a"), F.col(key).alias("b"))
     pairs = between.unionByName(within).unionByName(spokes).where("a <> b")
     return pairs.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
 
@@ -479,7 +495,7 @@ def class_links(found: NearDuplicates, key: str = "chunk_id") -> DataFrame:
     The class holds the records of equal shingle sets, links counts the other classes it is linked to, and the
     group holds all records that links connect; ids are the smallest keys in them.
     """
-    links = written(found.links.select("id_a", "id_b"), "links")
+    links = found.links.select("id_a", "id_b")
     ends = links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     names = found.members.groupBy("id").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("copies"))
     named = names.join(ends, "id", "left").join(connected(links), "id", "left")
