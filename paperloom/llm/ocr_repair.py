@@ -14,6 +14,10 @@ Words are counted over all prose pages by Spark.  A rare word is set against the
 *skeleton* (the form in which characters that are mistaken for each other are equal), a join within Spark; the
 editor then decides whether the one is a misreading of the other.  Line joins are decided by the corpus counts of
 the two possible words, and by the editor where the corpus knows neither.
+
+The findings go back to their pages: furniture is dropped, misread words are replaced, broken words are joined, and
+the lines of a paragraph become one line.  Whether a line end closes a paragraph follows from blank lines, the
+width of the page, full stops and the kinds of the two lines.
 """
 
 from __future__ import annotations
@@ -501,19 +505,23 @@ def _pages(batches, common, model):
 @dataclass
 class PageRepair:
     """What was found in the pages: ``lines`` (source, page, item), ``mended`` (source, page, item) and
-    ``misread`` (word, right): each misread word with its right spelling."""
+    ``misread`` (word, right): each misread word with its right spelling; ``fixes`` (id, a, b, item): for each
+    stored page its misread words a and broken words a, b, with what is right; ``texts`` (id, source, page, text,
+    ends): the pages to be mended, null where they were not asked for."""
 
     lines: DataFrame
     mended: DataFrame
     misread: DataFrame
+    fixes: DataFrame
+    texts: DataFrame | None = None
 
 
 def _prepared(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("source").cast("string").alias("source"), F.col("page").cast("int").alias("page"), F.col("text").cast("string").alias("text"))
 
 
-def repair_pages(pages: DataFrame, common_words: DataFrame, train_pages: int = TRAIN_PAGES, train_words: int = TRAIN_WORDS) -> PageRepair:
-    """Finds furniture lines and words to be mended.
+def repair_pages(pages: DataFrame, common_words: DataFrame, train_pages: int = TRAIN_PAGES, train_words: int = TRAIN_WORDS, texts: bool = False) -> PageRepair:
+    """Finds furniture lines and words to be mended; with ``texts`` also keeps the pages without their furniture.
 
     Null and blank texts have neither; a page stored twice gives its findings once; null source or page is kept.
     Nothing is mended on list, table and unreadable pages, and unreadable pages have no furniture.
@@ -523,7 +531,7 @@ def repair_pages(pages: DataFrame, common_words: DataFrame, train_pages: int = T
     spark = pages.sparkSession
     furniture = spark.sparkContext.broadcast(train_furniture(_prepared(pages), common, train_pages))
     shared = spark.sparkContext.broadcast(common)
-    found = written(rows.mapInArrow(_findings(shared, furniture), FINDINGS), "page-findings")
+    found = written(rows.mapInArrow(_findings(shared, furniture, texts), FINDINGS), "page-findings")
     lines = found.where("kind = 'line'").select("source", "page", F.col("a").alias("item")).distinct()
     words = found.where("kind = 'word'").select(F.col("a").alias("word"), "id", "at", "n")
     vocabulary = written(words.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
@@ -531,21 +539,23 @@ def repair_pages(pages: DataFrame, common_words: DataFrame, train_pages: int = T
     editor = train_editor(list(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist())), train_words)
     sent = spark.sparkContext.broadcast(editor)
     misread = written(_misread(vocabulary, sent), "misread")
-    seen = words.select("word", "id", "at").join(misread, "word").select("id", F.explode("at").alias("far"), F.col("right").alias("item"))
-    seen = seen.select((F.col("id") + F.col("far")).alias("id"), "item").distinct()
+    seen = words.select("word", "id", "at").join(misread, "word").select("word", "id", F.explode("at").alias("far"), F.col("right").alias("item"))
+    seen = seen.select((F.col("id") + F.col("far")).alias("id"), "word", "item")
     named = found.where("kind = 'page'").select("id", "source", "page")
-    mended = seen.join(named, "id").select("source", "page", "item")
-    joined = _joined(found.where("kind = 'broken'").select("source", "page", "a", "b"), vocabulary, misread, sent)
-    return PageRepair(lines, mended.unionByName(joined).distinct(), misread)
+    mended = seen.select("id", "item").distinct().join(named, "id").select("source", "page", "item")
+    joined = _joined(found.where("kind = 'broken'").select("source", "page", "a", "b", "id"), vocabulary, misread, sent)
+    fixes = seen.select("id", F.col("word").alias("a"), F.lit(None).cast("string").alias("b"), "item").unionByName(joined.select("id", "a", "b", "item"))
+    kept = found.where("kind = 'text'").select("id", "source", "page", F.col("a").alias("text"), F.col("b").alias("ends")) if texts else None
+    return PageRepair(lines, mended.unionByName(joined.select("source", "page", "item")).distinct(), misread, fixes, kept)
 
 
 #: One row per line, broken word and page that has words; words come once per slice with the pages they are on,
-#: as distances from the id of its first page.
+#: as distances from the id of its first page.  Texts have what follows each of their lines in ``b``.
 FINDINGS = "kind string, source string, page int, a string, b string, n int, id bigint, at array<int>"
 
 
-def _findings(common, furniture):
-    """The rows of FINDINGS, made in one pass over the pages."""
+def _findings(common, furniture, texts: bool = False):
+    """The rows of FINDINGS, made in one pass over the pages; 'text' rows only if asked for."""
     names = [x.split()[0] for x in FINDINGS.split(", ")]
 
     def rows_of(kind: str, batch, at, a, b, n=None, ids=None, lists=None):
@@ -565,10 +575,17 @@ def _findings(common, furniture):
             at = np.flatnonzero(out)
             yield rows_of("line", batch, (lines.pages[at] + a).tolist(), [lines.text(i) for i in at], None)
             words = page_words(lines, kinds, out)
-            yield rows_of("broken", batch, [a + p for p, _, _ in words.broken], [x for _, x, _ in words.broken], [y for _, _, y in words.broken])
+            ids = np.asarray(batch.column(3))
+            yield rows_of("broken", batch, [a + p for p, _, _ in words.broken], [x for _, x, _ in words.broken], [y for _, _, y in words.broken], None, ids[[a + p for p, _, _ in words.broken]])
+            if texts:
+                size = len(kinds)
+                kept, ends = kept_lines(lines, kinds, out)
+                # an unreadable page stays as it is stored
+                for p in np.flatnonzero(kinds == 4):
+                    kept[p], ends[p] = batch.column(2)[a + int(p)].as_py(), None
+                yield rows_of("text", batch, np.arange(a, a + size), kept, ends, None, ids[a : a + size])
             if not len(words.hashes):
                 continue
-            ids = np.asarray(batch.column(3))
             _, first, group, n = np.unique(words.hashes, return_index=True, return_inverse=True, return_counts=True)
             text = [clean_word(_text(words.low, words.starts[i], words.ends[i])) for i in first]
             pairs = np.unique(group.astype(np.int64) << 32 | words.pages)
@@ -586,6 +603,208 @@ def _findings(common, furniture):
     return run
 
 
+#: What follows a line: a blank, as its paragraph goes on; a line end; the end of a paragraph.
+GOES_ON, LINE_END, PARAGRAPH_END = 0, 1, 2
+#: Lines longer than this are whole paragraphs and say nothing of the width of the page.
+WIDEST = 200
+
+
+def line_ends(lines: Lines, kinds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What follows each of the lines ``at``, those that stay of the pages of a slice; the last of a page has PARAGRAPH_END.
+
+    A blank line ends a paragraph, unless furniture stood there and the sentence goes on after it.  Without one, a
+    paragraph ends after a heading or caption, and where a sentence ends although the next word would have had room
+    in the line.  Entries of lists and tables keep their line ends.
+    """
+    out = np.full(len(at), PARAGRAPH_END)
+    if len(at) < 2:
+        return out
+    codes, n = lines.codes, len(lines.codes)
+    breaks = (codes == 10) | (codes == 0x85) | (codes == 0x2028) | (codes == 13)
+    breaks[:-1] &= ~((codes[:-1] == 13) & (codes[1:] == 10))
+    total = np.r_[0, np.cumsum(breaks)]
+    i, j = at[:-1], at[1:]
+    same = lines.pages[i] == lines.pages[j]
+    dropped = j - i - 1
+    blank = total[lines.starts[j]] - total[lines.ends[i]] > dropped + 1
+    size = lines.ends - lines.starts
+    ordinary = np.where(size <= WIDEST, size, 0)
+    width = np.zeros(len(kinds), np.int64)
+    np.maximum.at(width, lines.pages[at], ordinary[at])
+    space = np.flatnonzero(V.look_up(V.space_table(), codes))
+    word_end = np.r_[space, n][np.searchsorted(space, lines.starts[j])]
+    word = np.minimum(word_end, lines.ends[j]) - lines.starts[j]
+    had_room = (size[i] + 1 + word <= width[lines.pages[i]]) | (size[i] > WIDEST)
+    first, last, before = codes[lines.starts[j]], codes[lines.ends[i] - 1], codes[np.maximum(lines.ends[i] - 2, 0)]
+    goes_on = V.look_up(_lower_case(), first)
+    stop = _closes(lines, i)
+    apart = np.zeros(len(size), bool)  # headings and captions
+    for k in np.flatnonzero(~lines.full_stop & (size <= 80) & (lines.chars[:, 6] > 0)):
+        line = lines.text(k)
+        apart[k] = bool(_SECTION.match(line) or _CAPTION.match(line))
+    short = (2 * size[i] < width[lines.pages[i]]) & ~goes_on & ~stop & had_room
+    ends = np.where(blank & ~((dropped > 0) & ~stop & goes_on), PARAGRAPH_END, GOES_ON)
+    inside = ends == GOES_ON
+    ends[inside & (apart[i] & ~goes_on | apart[j] & (stop | had_room) | short | stop & had_room)] = PARAGRAPH_END
+    structured = (lines.kinds[i] != 0) | (lines.kinds[j] != 0)
+    ends[inside & structured] = LINE_END
+    hyphen = np.isin(last, [ord(c) for c in HYPHENS]) & V.look_up(V.alnum_table(), before) & V.look_up(V.alnum_table(), first)
+    ends[hyphen & ~(blank & ~goes_on)] = GOES_ON
+    listed = np.isin(kinds[lines.pages[i]], (1, 2, 3))
+    ends[listed] = np.where(blank[listed], PARAGRAPH_END, LINE_END)
+    out[:-1] = np.where(same, ends, PARAGRAPH_END)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _lower_case() -> np.ndarray:
+    """Whether a sentence may go on with a character: small letters and letters without case."""
+    return np.array([(c := chr(i)).islower() or c.isalpha() and not c.isupper() and not c.istitle() for i in range(V._TABLE)], dtype=bool)
+
+
+def _closes(lines: Lines, at: np.ndarray) -> np.ndarray:
+    """Whether lines end a sentence, closing quotes and brackets aside."""
+    last = lines.codes[lines.ends[at] - 1]
+    before = lines.codes[np.maximum(lines.ends[at] - 2, lines.starts[at])]
+    stops, closing = [ord(c) for c in ".!?؟。:"], [ord(c) for c in "\"')]»”’"]
+    return np.isin(last, stops) | np.isin(last, closing) & np.isin(before, stops)
+
+
+def kept_lines(lines: Lines, kinds: np.ndarray, furniture: np.ndarray) -> tuple[list[str], list[str]]:
+    """The lines of each page without its furniture, one under the other, and a digit for what follows each of them."""
+    at = np.flatnonzero(~furniture)
+    if not len(at):
+        return [""] * len(kinds), [""] * len(kinds)
+    ends = (line_ends(lines, kinds, at) + 48).astype(np.uint8).tobytes().decode()
+    size = lines.ends[at] - lines.starts[at] + 1
+    to = np.cumsum(size)
+    from_ = np.repeat(lines.starts[at] - (to - size), size) + np.arange(to[-1])
+    codes = lines.codes.take(from_, mode="clip")
+    codes[to - 1] = 10
+    whole = codes.tobytes().decode("utf-32-le", "replace")
+    cut = np.searchsorted(lines.pages[at], np.arange(len(kinds) + 1))
+    begin = np.r_[0, to][cut].tolist()
+    return [whole[a : max(a, b - 1)] for a, b in zip(begin[:-1], begin[1:])], [ends[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
+_TOKEN = re.compile(r"\S+")
+
+
+def _core(token: str) -> tuple[int, int]:
+    """Where the word that ``clean_word`` sees stands in a token."""
+    begin, end = 0, len(token)
+    solid = [k for k, c in enumerate(token) if c.isalnum() or c in _SYMBOLS]
+    if not solid:
+        return 0, 0
+    begin, end = solid[0], solid[-1] + 1
+    word = token[begin:end]
+    begin += len(word) - len(word.lstrip(_STRIP + HYPHENS))
+    end = begin + len(token[begin:end].rstrip(_STRIP + HYPHENS).rstrip("!|"))
+    return begin, end
+
+
+def _cased(seen: str, right: str) -> str:
+    """The right spelling in the case of what was seen."""
+    letters = [c for c in seen if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return right.upper()
+    return right[:1].upper() + right[1:] if seen[:1].isupper() else right
+
+
+def _replaced(token: str, right: str) -> str:
+    a, b = _core(token)
+    return token[:a] + _cased(token[a:b], right) + token[b:]
+
+
+def _joined_word(left: str, right: str, item: str | None) -> str:
+    """One word of the two parts of a broken one, ``left`` with its hyphen; ``item`` is its right spelling, lower case."""
+    stem = left.rstrip(HYPHENS)
+    if item is None:  # names, codes and numbers keep their hyphen
+        return f"{stem}-{right}"
+    for whole in (stem + right, f"{stem}-{right}"):
+        if clean_word(whole) == item:
+            return whole
+    return _replaced(stem + right, item)
+
+
+def _mended(text: str, misread: dict[str, str], broken: dict[tuple[str, str], str]) -> str:
+    """The text with its misread words replaced, those aside that stand broken over two lines."""
+    low = text.lower()
+    if len(low) != len(text):  # capitals of several small characters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    places = {}
+    for word, right in misread.items():
+        k = low.find(word)
+        while k >= 0:
+            begin, end = k, k + len(word)
+            while begin and not text[begin - 1].isspace():
+                begin -= 1
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            a, b = _core(text[begin:end])
+            if clean_word(text[begin + a : begin + b]) == word:
+                places[begin + a] = (begin + b, begin, end, right)
+            k = low.find(word, k + 1)
+    out, done = [], 0
+    for a, (b, begin, end, right) in sorted(places.items()):
+        left = text[begin:end].rstrip(HYPHENS) if text[end : end + 1] == "\n" and text[end - 1] in HYPHENS else ""
+        following = _TOKEN.match(text, end + 1) if left else None
+        before = text[:begin].rsplit(None, 1)[-1] if begin > 1 and text[begin - 1] == "\n" and text[begin - 2] in HYPHENS else ""
+        if following and (left, following[0]) in broken or before and (before.rstrip(HYPHENS), text[begin:end]) in broken:
+            continue
+        out += [text[done:a], _cased(text[a:b], right)]
+        done = b
+    return "".join([*out, text[done:]])
+
+
+_BETWEEN = {"0": " ", "1": "\n", "2": "\n\n"}
+
+
+def rebuilt(text: str, ends: str, misread: dict[str, str], broken: dict[tuple[str, str], str]) -> str:
+    """The text of a page of which furniture is gone: words mended, lines joined, a blank line between paragraphs."""
+    if misread:
+        text = _mended(text, misread, broken)
+    lines = text.split("\n")
+    out = []
+    for k in range(len(lines) - 1):
+        line = lines[k]
+        if ends[k] == "0" and line[-1:] in HYPHENS and line:
+            last, first = line.rsplit(None, 1)[-1], _TOKEN.match(lines[k + 1])
+            pair = (last.rstrip(HYPHENS), first[0]) if first else ("", "")
+            if first and (pair in broken or len(last) > 1 and last[-2].isalnum() and pair[1][0].isalnum()):
+                # the joined word goes on in the next line, where it may be broken again
+                lines[k + 1] = line[: -len(last)] + _joined_word(last, pair[1], broken.get(pair)) + lines[k + 1][len(pair[1]) :]
+                continue
+        out += [line, _BETWEEN[ends[k]]]
+    return "".join([*out, lines[-1]])
+
+
+def _rebuilt_pages(batches):
+    for batch in batches:
+        out = []
+        for text, ends, fixes in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            if ends is None:
+                out.append(text)
+                continue
+            fixes = sorted(fixes or [], key=lambda f: (f["a"], f["b"] or "", f["item"]), reverse=True)
+            out.append(rebuilt(text, ends, {f["a"]: f["item"] for f in fixes if f["b"] is None}, {(f["a"], f["b"]): f["item"] for f in fixes if f["b"] is not None}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["source", "page", "text"])
+
+
+def repaired_pages(pages: DataFrame, common_words: DataFrame) -> DataFrame:
+    """(source, page, text): every page as continuous paragraphs, without furniture and with its words mended.
+
+    Paragraphs are parted by a blank line; list and table pages lose their furniture and keep their lines;
+    unreadable and null texts stay as stored.  A page stored twice with one text comes once, with two texts twice.
+    """
+    found = repair_pages(pages, common_words, texts=True)
+    fixes = found.fixes.groupBy("id").agg(F.collect_set(F.struct("a", "b", "item")).alias("fixes"))
+    rows = found.texts.join(fixes, "id", "left").select("source", "page", "text", "ends", "fixes")
+    out = rows.mapInArrow(_rebuilt_pages, "source string, page int, text string")
+    blank = _prepared(pages).where("text IS NULL")
+    return out.unionByName(blank).distinct()
+
+
 def _judged(sent):
     """Keeps the (word, right) rows in which the editor takes the one for a misreading of the other."""
 
@@ -616,7 +835,7 @@ def _misread(vocabulary: DataFrame, sent) -> DataFrame:
 
 
 def _joined(broken: DataFrame, vocabulary: DataFrame, misread: DataFrame, sent) -> DataFrame:
-    """(source, page, item): words broken over two lines, joined with or without the hyphen."""
+    """(source, page, id, a, b, item): words broken over two lines, joined with or without the hyphen."""
 
     def parts(batches):
         for batch in batches:
@@ -624,9 +843,9 @@ def _joined(broken: DataFrame, vocabulary: DataFrame, misread: DataFrame, sent)
             keep = joins_with_hyphen(sent.value, [(x.lower(), y.lower()) for x, y in zip(a, b)])
             solid = [clean_word(x + y) for x, y in zip(a, b)]
             hyphen = [clean_word(f"{x}-{y}") for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(solid, pa.string()), pa.array(hyphen, pa.string()), pa.array(keep)], ["source", "page", "solid", "hyphened", "keep"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(solid, pa.string()), pa.array(hyphen, pa.string()), pa.array(keep), *batch.columns[2:5]], ["source", "page", "solid", "hyphened", "keep", "a", "b", "id"])
 
-    rows = broken.mapInArrow(parts, "source string, page int, solid string, hyphened string, keep boolean").where("solid IS NOT NULL")
+    rows = broken.mapInArrow(parts, "source string, page int, solid string, hyphened string, keep boolean, a string, b string, id bigint").where("solid IS NOT NULL")
     rows = rows.distinct().withColumn("bare", skeleton(F.col("solid"))).withColumn("bare_hyphened", skeleton(F.col("hyphened")))
     counts = vocabulary.select("word", "n")
     forms = rows.select("solid", "hyphened", "bare", "bare_hyphened", "keep").distinct()
@@ -645,8 +864,8 @@ def _joined(broken: DataFrame, vocabulary: DataFrame, misread: DataFrame, sent)
         .when(solid > 0, F.col("solid"))
         .otherwise(F.when(F.col("keep"), F.col("hyphened")).otherwise(F.col("solid")))
     )
-    forms = forms.select("solid", "hyphened", right.alias("item"))
-    return rows.select("source", "page", "solid", "hyphened").join(forms, ["solid", "hyphened"]).select("source", "page", "item").distinct()
+    forms = forms.select("solid", "hyphened", "keep", right.alias("item"))
+    return rows.join(forms, ["solid", "hyphened", "keep"]).select("source", "page", "id", "a", "b", "item")
 
 
 def found_noise(pages: DataFrame, common_words: DataFrame) -> DataFrame:

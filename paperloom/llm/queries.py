@@ -27,6 +27,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr_repair.found_noise(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "common_words"))
 
 
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, page, text): all pages as continuous paragraphs, without running lines and with their words mended."""
+    return ocr_repair.repaired_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "common_words"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisect_split.split_oversized(read_table(spark, sf_dir, "chunk")).where("pieces > 1").select("chunk_id").distinct()
 
@@ -102,7 +107,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p3_found, p3_pieces, p4_found, p4_cleaned, p5_found, p5_forms, p6_found, p6_statistics, p7_found, p7_report, p8_found, p8_mixture, p8_token_mixture, p9_found, p9_scores)
+    for f in (p1_found, p1_groups, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_cleaned, p5_found, p5_forms, p6_found, p6_statistics, p7_found, p7_report, p8_found, p8_mixture, p8_token_mixture, p9_found, p9_scores)
 }
 
 _FORM = canonical.canonical_sql("text")

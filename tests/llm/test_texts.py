@@ -190,3 +190,35 @@ def test_editor_prefers_misreadings():
     editor = ocr_repair.train_editor(words)
     margin = ocr_repair.edit_margin(editor, ["calibrati0n", "rccord", "rccord"], ["calibration", "record", "matrix"])
     assert margin[0] > 0 and margin[1] > -20 and margin[2] == -np.inf
+
+
+def test_repaired_pages(spark):
+    sentence = "The calibration technician reviews the training matrix of the packing hall before each shift so that the decision is kept in the record"
+    words = sentence.split()
+    r = random.Random(4)
+    rows = []
+    for p in range(1, 61):
+        body = [" ".join(r.sample(words, len(words))) + "." for _ in range(6)]
+        rows.append(("north_audit_guide_01.pdf", p, "\n".join([f"North Audit Guide | {p}", *body])))
+    last = "The Calibrati0n of the (rccord) is kept by the tech-\r\nnician, and it is kept in the hall of the cross-\nfunctional group as it\nis.\n\n8.5 Control of records\nThe decision is in the record."
+    rows[4] = (*rows[4][:2], rows[4][2] + "\n\n" + last)
+    rows[5] = (*rows[5][:2], rows[5][2] + "\nThe cross-functional group is in the hall before each cross-functional shift.")
+    junk = "\n".join("{!<>}#^~|\\=%&*" for _ in range(6))
+    listed = "\n".join(f"- check of plan {i}" for i in range(9))
+    rows += [(None, None, None), ("x", 1, ""), rows[4], ("y", 2, junk), ("z", 3, listed)]
+    df = spark.createDataFrame(rows, "source string, page int, text string").withColumn("kind", F.lit("clash")).withColumn("id", F.lit(7))
+    out = ocr_repair.repaired_pages(df, common(spark)).collect()
+    got = {(x["source"], x["page"]): x["text"] for x in out}
+    assert len(out) == len(got) == 64 and got[None, None] is None and got["x", 1] == "" and got["y", 2] == junk and got["z", 3] == listed
+    page = got["north_audit_guide_01.pdf", 5].split("\n\n")
+    assert page[-3] == "The Calibration of the (record) is kept by the technician, and it is kept in the hall of the cross-functional group as it is."
+    assert page[-2:] == ["8.5 Control of records", "The decision is in the record."]
+    assert sum("North Audit Guide" in (t or "") for t in got.values()) <= 2
+    assert ocr_repair.repaired_pages(df.limit(0), common(spark)).count() == 0
+
+
+def test_line_ends():
+    text = "A first line of the text that is as wide as it\ngets, and the end.\nA new paragraph of the same page begins here and\n\n7\n\ngoes on after the number of\nthe page."
+    lines = quality_stats.read_lines(pa.array([text]), quality_stats.word_keys(["the", "of", "a", "that", "is"]))
+    kept, ends = ocr_repair.kept_lines(lines, np.zeros(1, int), np.array([lines.text(i) == "7" for i in range(len(lines.starts))]))
+    assert ocr_repair.rebuilt(kept[0], ends[0], {}, {}) == "A first line of the text that is as wide as it gets, and the end.\n\nA new paragraph of the same page begins here and goes on after the number of the page."
