@@ -2,12 +2,14 @@
 
 Two kinds of evidence are joined.  *List density*, measured in the page alone: which words stand in sentences,
 which in lines of links or tags, which in phrases the page repeats outside its sentences.  *Replication*: the
-five-word shingles of what is left are exploded, distinct hosts are counted per shingle over the whole corpus,
-and words under shingles that several hosts carry are stitched from phrases replicated elsewhere.  A page is
-flagged when more than half of its words fall under the two together.
-
-Only words outside sentences can count, so pages whose sentences hold half of their words never reach the
-shuffle; that is an exact condition, not a sample.
+five-word shingles of what is left are looked up in all documents, sentences and sure cases included; distinct
+hosts are counted per shingle over the whole corpus, and words under shingles that several hosts carry are
+stitched from phrases replicated elsewhere.  A page is flagged when more than half of its words fall under the
+two together.
+
+Only words outside sentences can count, so pages whose sentences hold half of their words are never flagged; that
+is an exact condition, not a sample.  They still count as carriers: the shingles of the pages that may be flagged
+go to the tasks as a fixed-size filter, and what the filter lets through meets them in an exact join.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 from . import vectext as V
+from .keyfilter import KeyFilter, key_filter
 
 MIN_WORDS, SHARE, HOSTS, WIDTH = 10, 0.5, 3, 5
 #: A sentence has at least this many words before its full stop.
@@ -140,13 +144,50 @@ def _evidence(batches):
             )
 
 
+def _rows(docs: DataFrame, doc_id: str, column: str, host: str) -> DataFrame:
+    """(doc_id, text, host, page) of the documents with a text."""
+    rows = docs.where(F.col(column).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(column).cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+    return rows.withColumn("page", F.xxhash64("text"))
+
+
 def page_lists(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", host: str = "source") -> DataFrame:
     """(doc_id, host, page, words, listed, rest): list density of the pages that may be spam; page is a hash of
     the text, by which copies of one page count once among the hosts of a phrase."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.where(F.col(column).isNotNull()).select(F.col(doc_id), F.col(column).cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
-    rows = rows.withColumn("page", F.xxhash64("text"))
-    return rows.mapInArrow(_evidence, f"doc_id {kind}, host string, page bigint, words int, listed int, rest array<string>")
+    return _rows(docs, doc_id, column, host).mapInArrow(_evidence, f"doc_id {kind}, host string, page bigint, words int, listed int, rest array<string>")
+
+
+def _stretch_phrases(batches):
+    """The shingles of the stretches of each page; ``at`` is the number of the stretch above 32 bits of the place."""
+    for batch in batches:
+        rest = batch.column(3)
+        owner = np.asarray(pc.list_parent_indices(rest), np.int64)
+        stretches = pc.list_flatten(rest)
+        for a, b in V.slices(stretches):
+            hashes, texts, _, _ = V.words(*V.code_points(stretches[a:b]))
+            grams, at = V.ngrams(hashes, texts, WIDTH)
+            place = (texts[at] + a << 32) + at - np.searchsorted(texts, texts[at])
+            rows = pa.array(owner[texts[at] + a])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3)), pa.array(place), pa.array(grams.view(np.int64))], ["doc_id", "host", "page", "at", "phrase"])
+
+
+def carried_phrases(rows: DataFrame, wanted: KeyFilter) -> DataFrame:
+    """(phrase, host, page): the shingles of all texts that the filter lets through, once a task and page; markup is no word."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in V.slices(batch.column(0)):
+                part = batch.column(0)[a:b]
+                if pc.any(pc.match_substring(part, "<")).as_py():
+                    part = pa.array([_MARKUP.sub(" ", t) for t in part.to_pylist()], pa.string())
+                hashes, texts, _, _ = V.words(*V.code_points(part))
+                grams, at = V.ngrams(hashes, texts, WIDTH)
+                keep = wanted.maybe(grams.view(np.int64))
+                found = np.unique(np.stack([grams[keep].view(np.int64), texts[at[keep]]], axis=1), axis=0)
+                of = pa.array(found[:, 1] + a)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), batch.column(1).take(of), batch.column(2).take(of)], ["phrase", "host", "page"])
+
+    return rows.select("text", "host", "page").mapInArrow(run, "phrase bigint, host string, page bigint")
 
 
 def spam_pages(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", host: str = "source", hosts: int = HOSTS, share: float = SHARE) -> DataFrame:
@@ -158,14 +199,21 @@ def spam_pages(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", ho
     """
     pages = written(page_lists(docs, doc_id, column, host).distinct(), "page-lists")
     sure = pages.where(F.col("listed") > share * F.col("words")).select("doc_id", "words", "listed", F.lit(0).alias("replicated"))
-    open_ = pages.where((F.col("listed") <= share * F.col("words")) & (F.size("rest") > 0))
-    words = open_.select("doc_id", "host", "page", F.explode("rest").alias("stretch"))
-    tokens = F.split("stretch", " ")
-    grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - WIDTH), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i + 1, WIDTH), " ")))
-    phrases = words.select("doc_id", "host", "page", F.explode(grams).alias("phrase")).groupBy("doc_id", "host", "page", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    carried = phrases.groupBy("phrase", "host", "page").agg(F.lit(1).alias("one")).groupBy("phrase").agg(F.countDistinct("host").alias("hosts"), F.countDistinct("page").alias("pages"))
+    # replication can cover the words of the rest at most
+    most = F.aggregate("rest", F.lit(0), lambda n, x: n + F.size(F.split(x, " ")))
+    open_ = pages.where((F.col("listed") <= share * F.col("words")) & (F.col("listed") + most > share * F.col("words")))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    phrases = open_.select("doc_id", "host", "page", "rest").mapInArrow(_stretch_phrases, f"doc_id {kind}, host string, page bigint, at bigint, phrase bigint")
+    phrases = written(phrases, "phrases")
+    asked = written(phrases.select("phrase").distinct(), "asked-phrases")
+    everywhere = carried_phrases(_rows(docs, doc_id, column, host), key_filter(asked, "phrase", asked.count()))
+    everywhere = everywhere.unionByName(phrases.select("phrase", "host", "page")).join(asked, "phrase", "left_semi")
+    carried = everywhere.groupBy("phrase", "host", "page").agg(F.lit(1).alias("one")).groupBy("phrase").agg(F.countDistinct("host").alias("hosts"), F.countDistinct("page").alias("pages"))
     carried = carried.where(f"hosts >= {hosts} AND pages >= {hosts}").select("phrase")
-    weighed = phrases.join(carried, "phrase", "left_semi").groupBy("doc_id").agg(F.sum("times").cast("int").alias("replicated"))
-    stitched = open_.join(weighed, "doc_id").where(F.col("listed") + F.col("replicated") > share * F.col("words")).select("doc_id", "words", "listed", "replicated")
+    page = ["doc_id", "host", "page"]
+    # a shingle covers as many new words as it starts after the one before, its width at most
+    new = F.least(F.lit(WIDTH), F.coalesce(F.col("at") - F.lag("at").over(Window.partitionBy(*page).orderBy("at")), F.lit(WIDTH)))
+    weighed = phrases.join(carried, "phrase", "left_semi").withColumn("new", new).groupBy(*page).agg(F.sum("new").cast("int").alias("replicated"))
+    stitched = open_.join(weighed, page).where(F.col("listed") + F.col("replicated") > share * F.col("words")).select("doc_id", "words", "listed", "replicated")
     out = sure.unionByName(stitched).groupBy("doc_id").agg(F.max("words").alias("words"), F.max("listed").alias("listed"), F.max("replicated").alias("replicated"))
     return out.withColumn("spam_share", F.round((F.col("listed") + F.col("replicated")) / F.col("words"), 4)).withColumnRenamed("doc_id", doc_id)

@@ -222,3 +222,16 @@ def test_line_ends():
     lines = quality_stats.read_lines(pa.array([text]), quality_stats.word_keys(["the", "of", "a", "that", "is"]))
     kept, ends = ocr_repair.kept_lines(lines, np.zeros(1, int), np.array([lines.text(i) == "7" for i in range(len(lines.starts))]))
     assert ocr_repair.rebuilt(kept[0], ends[0], {}, {}) == "A first line of the text that is as wide as it gets, and the end.\n\nA new paragraph of the same page begins here and goes on after the number of the page."
+
+
+def test_phrases_of_all_pages_count_their_hosts(spark):
+    bits = [" ".join(f"p{k}x{i}" for i in range(8)) for k in range(12)]
+    lone = "\n".join(bits)
+    prose = lambda k: f"The lead wrote that {bits[2 * k]} and {bits[2 * k + 1]} were kept in the record of the site. " * 2
+    links = "\n".join(f"http://x{i}.example/a" for i in range(60))
+    rows = [(1, lone, "h0"), (2, "\n".join(" ".join(f"q{k}y{i}" for i in range(8)) for k in range(12)), "h1")]
+    rows += [(10 + 10 * h + k, prose(k), f"o{h}") for h in range(2) for k in range(4)] + [(90, links + "\n" + "\n".join(bits[:8]), "spam")]
+    found = spam_pages.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    # eight of the twelve phrases are on ordinary pages of two hosts and on a page of links; all their words count
+    assert sorted(got) == [1, 90] and got[1]["replicated"] == 64 and got[1]["words"] == 96
