@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -311,8 +311,9 @@ def short_sources(docs: DataFrame, targets: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, targets: DataFrame, size: Column | None = None, seed: int = 1, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, source, copies): how often each document is used in the mixture; unused ones are left out.
 
-    A fractional rate is rounded up or down by a hash of id and seed, so that expected sizes hold.  Copies of a
-    text share its cap: each may be used cap / number of copies times.
+    Copies of a text are one text to the fit, with one cap; its rate is rounded up or down by a hash of text and
+    seed, so that expected sizes hold, and its whole number of uses is handed out to its rows one by one, in the
+    order of a hash of their ids.
     """
     listed, domains = _prepared(docs, targets)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -324,13 +325,57 @@ def mixed_documents(docs: DataFrame, targets: DataFrame, size: Column | None = N
     member = memberships(rows, domains, classifier).where(F.size("member") > 0)
     cap = F.array_min(F.transform("member", lambda m: F.element_at(caps, F.shiftright(m, 5))))
     member = member.withColumn("cap", cap).withColumn("text", F.xxhash64("text"))
-    copies = member.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("cap").alias("least"))
-    member = member.join(copies, "text").withColumn("cap", F.round(F.col("least") / F.col("n"), 4)).select("doc_id", "source", "member", "cap", "size")
-    member = written(member, "members")
-    groups = written(member.groupBy("member", "cap").agg(F.sum("size").alias("size")), "membership-groups")
+    member = written(member.select("doc_id", "source", "text", "member", "cap", "size"), "members")
+    texts = written(_whole_texts(member), "texts")
+    groups = written(texts.groupBy("member", "cap").agg(F.sum("size").alias("size")), "membership-groups")
     total = member.where(F.col("source").isin(domains)).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
     fit = fit_rates(groups, _targets(listed, float(total)))
     rates = written(fit.groups.select("member", "cap", "rate"), "rates")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    used = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return member.join(rates, ["member", "cap"]).select("doc_id", "source", F.least(used, F.ceil("cap")).cast("int").alias("copies")).where("copies > 0")
+    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    uses = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    used = texts.join(rates, ["member", "cap"]).select("text", "n", F.least(uses, F.floor("cap")).alias("uses")).where("uses > 0")
+    return handed_out(member.select("doc_id", "source", "text").join(used, "text"), seed)
+
+
+def _whole_texts(member: DataFrame) -> DataFrame:
+    """(text, n, cap, size, member): one row per text, with the least cap and the mean membership of its n rows."""
+    texts = member.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("cap").alias("cap"), F.max("size").alias("size"), F.min("member").alias("member"), F.max("member").alias("other"))
+    texts = written(texts, "text-copies")
+    several = texts.where("member <> other").drop("member", "other")
+    entries = member.join(several.select("text"), "text", "left_semi").select("text", F.explode("member").alias("m"))
+    entries = entries.groupBy("text", F.shiftright("m", 5).alias("domain")).agg(F.sum(F.col("m").bitwiseAND(31)).alias("steps"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for entry in batch.column(1).to_pylist():
+                entry = sorted((x["domain"], x["steps"]) for x in entry)
+                steps = _in_steps(np.array([[x for _, x in entry]], float))[0]
+                out.append([d * 32 + int(x) for (d, _), x in zip(entry, steps) if x])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["text", "member"])
+
+    mean = entries.groupBy("text").agg(F.collect_list(F.struct("domain", "steps")).alias("entries")).mapInArrow(run, "text bigint, member array<int>")
+    columns = ["text", "n", "cap", "size", "member"]
+    return texts.where("member = other").select(*columns).unionByName(several.join(mean, "text").select(*columns))
+
+
+def _in_steps(shares: np.ndarray) -> np.ndarray:
+    """Rows of shares as whole steps, STEPS in each row: the largest remainders are rounded up."""
+    exact = shares / shares.sum(axis=1, keepdims=True) * STEPS
+    steps = np.floor(exact).astype(np.int64)
+    rank = np.argsort(np.argsort(steps - exact, axis=1, kind="stable"), axis=1, kind="stable")
+    return steps + (rank < STEPS - steps.sum(axis=1, keepdims=True))
+
+
+def handed_out(rows: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, copies): the uses of each text, as even as they go over its n rows.
+
+    A text with more rows than uses needs only its first rows; these are found in parts first, so that no task
+    ranks all rows of a text with very many copies.
+    """
+    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
+    part = F.row_number().over(Window.partitionBy("text", "part").orderBy(*order))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(64))).withColumn("place", part).where("uses >= n OR place <= uses")
+    rank = F.row_number().over(Window.partitionBy("text").orderBy(*order))
+    copies = F.floor(F.col("uses") / F.col("n")) + F.when(rank <= F.col("uses") % F.col("n"), 1).otherwise(0)
+    return rows.select("doc_id", "source", copies.cast("int").alias("copies")).where("copies > 0")

@@ -235,3 +235,16 @@ def test_phrases_of_all_pages_count_their_hosts(spark):
     got = {r["doc_id"]: r for r in found.collect()}
     # eight of the twelve phrases are on ordinary pages of two hosts and on a page of links; all their words count
     assert sorted(got) == [1, 90] and got[1]["replicated"] == 64 and got[1]["words"] == 96
+
+
+def test_copies_share_one_cap(spark):
+    # of target "a" more is wanted than its texts may give: every text is used exactly max_repeat times
+    many = spark.range(70_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("many copies of one text").alias("text"))
+    few = [(100_000 + i, "a", f"text {i % 5} in four copies") for i in range(20)] + [(200_000, "a", "alone")]
+    few += [(300_000 + i, "b", f"another text {i}") for i in range(3)] + [(400_000, "b", "text 0 in four copies")]
+    docs = many.unionByName(spark.createDataFrame(few, "doc_id bigint, source string, text string"))
+    targets = spark.createDataFrame([("a", 5.0, 3), ("b", 1e-9, 3)], "source string, weight double, max_repeat int")
+    out = mixing.mixed_documents(docs, targets).join(docs.select("doc_id", "text"), "doc_id").groupBy("text").agg(F.sum("copies").alias("uses"), F.max("copies").alias("most")).collect()
+    got = {r["text"]: (r["uses"], r["most"]) for r in out}
+    assert got["many copies of one text"] == (3, 1) and got["alone"] == (3, 3)
+    assert all(got[f"text {k} in four copies"] == (3, 1) for k in range(1, 5)) and max(x for x, _ in got.values()) <= 3
