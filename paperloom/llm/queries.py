@@ -99,7 +99,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, words, listed, replicated, spam_share) of the flagged documents."""
+    """(doc_id, words, listed, replicated, carried, spam_share) of the flagged documents."""
     return spam_pages.spam_pages(read_table(spark, sf_dir, "documents"))
 
 

@@ -131,6 +131,23 @@ def test_spam(spark):
     assert spam_pages.spam_pages(df.limit(0)).count() == 0
 
 
+def test_keywords_dressed_as_sentences(spark):
+    stuffed = lambda k: f"Order {k}, {k} offers, new {k}. {k}? {k}! Our {k} is the {k} of all. " * 6
+    prose = "Teams that compare their plan early rarely need to update a record later. The lead of the site keeps the record in the hall. "
+    long = " ".join(f"Form {i} lists which record the lead of site {i % 7} may update without the plan of group {i % 11}." for i in range(60))
+    rows = [(1, stuffed("cheap audit plan"), "a"), (2, prose, "a"), (3, long, "b"), (4, prose + stuffed("audit plan"), "b"), (5, prose * 3 + "Our plan. Our plan.", None)]
+    got = {r["doc_id"]: r for r in spam_pages.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert sorted(got) == [1, 4] and got[1]["listed"] > 0.6 * got[1]["words"]
+
+
+def test_short_stretches_have_phrases(spark):
+    # labels of three words, each on three hosts: shingles go over the ends of the lines
+    labels = "\n".join(f"a{i} b{i} c{i}" for i in range(8))
+    rows = [(i, f"{labels}\nonly here{i}", f"h{i}") for i in range(3)]
+    got = spam_pages.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted((r["doc_id"], r["replicated"], r["carried"]) for r in got) == [(i, 25, 25) for i in range(3)]
+
+
 def test_replicated_phrases(spark):
     phrase = " ".join(f"w{i}" for i in range(30))
     rows = [(i, f"{phrase} u{i} v{i}", f"h{i}") for i in range(3)] + [(9, " ".join(f"z{i}" for i in range(30)), "h1")]
