@@ -8,12 +8,15 @@ their source at one place; it then judges every line, wherever it stands.
 
 *Characters*: an editor that predicts for each character of a word whether to keep, delete or replace it, by one
 or two characters (insertion), and for a hyphen at a line end whether to join with or without it.  It learns from
-frequent words of the corpus to which the misreadings of printed text were applied.
+frequent words of the corpus to which the misreadings of printed text were applied, each at each place.  How far it
+must prefer an edit is settled on the noise of words that were held out from it.
 
-Words are counted over all prose pages by Spark.  A rare word is set against the most frequent word of the same
-*skeleton* (the form in which characters that are mistaken for each other are equal), a join within Spark; the
-editor then decides whether the one is a misreading of the other.  Line joins are decided by the corpus counts of
-the two possible words, and by the editor where the corpus knows neither.
+Words are counted over all prose pages by Spark.  A rare word is set against all frequent words of the same
+*skeleton* (the form in which characters that are mistaken for each other are equal), a join within Spark.  The
+editor walks from the one to the other by the fixed misreadings and says what that gains; it turns down what it
+would rather keep, and of several words it would accept the best one holds.  The vocabulary only confirms: a word is
+mended to a much more frequent one or not at all.  For a broken word the editor's preference for joining with or
+without the hyphen is weighed against the counts of the two words.
 
 The findings go back to their pages: furniture is dropped, misread words are replaced, broken words are joined, and
 the lines of a paragraph become one line.  Whether a line end closes a paragraph follows from blank lines, the
@@ -47,7 +50,9 @@ HYPHENS = "-‐‑­¬"
 
 #: A word is a misreading only of a word at least so many times as frequent, and that often at least.
 RATIO, LEAST = 12, 8
-TRAIN_PAGES, TRAIN_WORDS, EPOCHS = 2500, 3000, 3
+TRAIN_PAGES, TRAIN_WORDS, EPOCHS = 2500, 1500, 3
+#: What a factor of e in the counts of two words weighs against the editor's margin.
+COUNT_WEIGHT = 3.0
 _HASH = 1 << 15
 _SYMBOLS = "@!|$€"
 
@@ -152,83 +157,129 @@ def _spread(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.repeat(np.arange(len(words)), np.diff(offsets))
 
 
-def train_editor(words: list[tuple[str, int]], size: int = TRAIN_WORDS) -> Perceptron:
-    """Trains the editor on the given frequent words, misread by the fixed confusions and broken at random places."""
+@dataclass
+class Editor:
+    """The trained perceptron, the margin from which an edit is accepted, and the unit of its join preference."""
+
+    model: Perceptron
+    threshold: float = 0.0
+    join_unit: float = 1.0
+
+
+def misreadings(word: str) -> list[tuple[int, str, str]]:
+    """(place, seen, meant): every single misreading of a word."""
+    return [(k, seen, meant) for seen, meant in MISREAD for k in range(len(word)) if word.startswith(meant, k)]
+
+
+def _noisy(word: str, at: dict[int, tuple[str, str]], cut: int, keep_hyphen: bool) -> tuple[str, list[str]]:
+    """A word misread at some places and broken before ``cut`` (0: not), with the action of each character."""
+    out, actions, i = [], [], 0
+    while i < len(word):
+        if i == cut and cut and word[i - 1] != "-" and word[i] != "-":
+            out.append(_JOIN)
+            actions.append("")
+        if word[i] == "-" and keep_hyphen:
+            out.append(_JOIN)
+            actions.append("-")
+            i += 1
+        elif i in at:
+            seen, meant = at[i]
+            out.extend(seen)
+            actions += _aligned(seen, meant)
+            i += len(meant)
+        else:
+            out.append(word[i])
+            actions.append("keep")
+            i += 1
+    return "".join(out), actions
+
+
+def _fit_editor(words: list[str]) -> Perceptron:
+    """Fits the editor: each word as it is, with each single misreading, with two, and broken over two lines."""
     labels = _actions()
     index = {a: i for i, a in enumerate(labels)}
     rng = np.random.default_rng(11)
     noisy, gold = [], []
-    for word, _ in words[:size]:
-        for _ in range(6):
-            ops = [(s, m) for s, m in MISREAD if m in word]
-            out, actions, i = [], [], 0
-            at = {}
-            for s, m in [ops[k] for k in rng.permutation(len(ops))[: rng.integers(0, 3)]]:
-                places = [k for k in range(len(word)) if word.startswith(m, k)]
-                at.setdefault(places[rng.integers(len(places))], (s, m))
-            cut = int(rng.integers(2, len(word) - 1)) if len(word) > 4 and rng.random() < 0.3 else 0
-            while i < len(word):
-                if i == cut and cut and word[i - 1] != "-" and word[i] != "-":
-                    out.append(_JOIN)
-                    actions.append("")
-                if word[i] == "-" and rng.random() < 0.5:
-                    out.append(_JOIN)
-                    actions.append("-")
-                    i += 1
-                elif i in at:
-                    s, m = at[i]
-                    out.extend(s)
-                    actions += _aligned(s, m)
-                    i += len(m)
-                else:
-                    out.append(word[i])
-                    actions.append("keep")
-                    i += 1
-            noisy.append("".join(out))
+    for word in words:
+        ops = misreadings(word)
+        made = [({}, 0, False)] * 3 + [({k: (seen, meant)}, 0, False) for k, seen, meant in ops]
+        for _ in range(len(ops) // 3):
+            made.append(({ops[k][0]: ops[k][1:] for k in rng.integers(0, len(ops), 2)}, 0, False))
+        if len(word) > 4:
+            made += [({}, int(rng.integers(2, len(word) - 1)), rng.random() < 0.5) for _ in range(3)]
+        for at, cut, keep_hyphen in made:
+            seen, actions = _noisy(word, at, cut, keep_hyphen)
+            noisy.append(seen)
             gold += [index[a] for a in actions]
     if not noisy:
         return Perceptron(labels, np.zeros((_HASH, len(labels)), np.float32))
     codes, word = _spread(noisy)
-    return Perceptron.train(labels, _char_features(codes, word), np.array(gold))
+    return Perceptron.train(labels, _char_features(codes, word), np.array(gold), batch=1024)
+
 
+def train_editor(words: list[tuple[str, int]], size: int = TRAIN_WORDS) -> Editor:
+    """Trains the editor on the given frequent words; a fifth of them is held out first, to settle its threshold.
 
-def edit_margin(editor: Perceptron, seen: list[str], meant: list[str]) -> np.ndarray:
-    """How far the editor prefers turning each word into the other over keeping it; -inf where no edit does."""
+    The threshold is the margin that parts best the single misreadings of the held-out words, to be mended, from
+    the edits that would take the held-out words themselves for misreadings.
+    """
+    chosen = [w for w, _ in words[:size]]
+    held = [w for i, w in enumerate(chosen) if i % 5 == 4]
+    first = _fit_editor([w for i, w in enumerate(chosen) if i % 5 != 4])
+    misread = [(w[:k] + seen + w[k + len(meant) :], w) for w in held for k, seen, meant in misreadings(w)]
+    intact = [(w, w[:k] + meant + w[k + len(seen) :]) for w in held for seen, meant in MISREAD for k in range(len(w)) if w.startswith(seen, k)]
+    threshold = _parting(*(edit_margin(first, [a for a, _ in x], [b for _, b in x]) for x in (misread, intact)))
+    unit = float(np.median(np.abs(join_preference(first, [(w[: len(w) // 2], w[len(w) // 2 :]) for w in held if len(w) > 5])))) if any(len(w) > 5 for w in held) else 1.0
+    return Editor(_fit_editor(chosen), threshold, unit or 1.0)
+
+
+def _parting(high: np.ndarray, low: np.ndarray) -> float:
+    """The value with the largest share of ``high`` at or above it less that of ``low``; the smallest of equals."""
+    if not len(high):
+        return 0.0
+    at = np.sort(high)
+    share = 1 - np.arange(len(at)) / len(at)
+    return float(at[int(np.argmax(share - (1 - np.searchsorted(np.sort(low), at) / max(1, len(low)))))])
+
+
+def edit_margin(model: Perceptron, seen: list[str], meant: list[str]) -> np.ndarray:
+    """What the editor gains by turning each word into the other instead of keeping it; -inf where the fixed
+    misreadings do not lead from the one to the other."""
     codes, word = _spread(seen)
     out = np.full(len(seen), -np.inf)
     if not len(codes):
         return out
-    scores = editor.scores(_char_features(codes, word))
+    scores = model.scores(_char_features(codes, word))
     gain = scores - scores[:, :1]
     first = np.searchsorted(word, np.arange(len(seen)))
-    labels = [(k, a) for k, a in enumerate(editor.labels)]
+    index = {a: k for k, a in enumerate(model.labels)}
     for w, (a, b) in enumerate(zip(seen, meant)):
-        best = {0: 0.0}  # characters of the right word that are made -> best gain so far
-        for i, char in enumerate(a):
-            now: dict[int, float] = {}
-            row = gain[first[w] + i]
-            for done, value in best.items():
-                for k, action in labels:
-                    text = char if k == 0 else action
-                    if b.startswith(text, done) and (k == 0 or text != char):
-                        to = done + len(text)
-                        v = value + (float(row[k]) if k else 0.0)
-                        if v > now.get(to, -np.inf):
-                            now[to] = v
-            best = now
-            if not best:
-                break
-        out[w] = best.get(len(b), -np.inf)
+        best: list[dict[int, float]] = [{} for _ in range(len(a) + 1)]  # characters read -> characters made -> gain
+        best[0][0] = 0.0
+        for i in range(len(a)):
+            for made, value in best[i].items():
+                if b[made : made + 1] == a[i]:
+                    best[i + 1][made + 1] = max(value, best[i + 1].get(made + 1, -np.inf))
+                for wrong, right in _BY_FIRST.get(a[i], ()):
+                    if b.startswith(right, made) and a.startswith(wrong, i):
+                        row = first[w] + i
+                        v = value + float(gain[row, index[right]]) + float(gain[row + 1 : row + len(wrong), index[""]].sum())
+                        to = best[i + len(wrong)]
+                        to[made + len(right)] = max(v, to.get(made + len(right), -np.inf))
+        out[w] = best[-1].get(len(b), -np.inf)
     return out
 
 
-def joins_with_hyphen(editor: Perceptron, parts: list[tuple[str, str]]) -> np.ndarray:
-    """Whether the editor keeps the hyphen when it joins the two parts of each broken word."""
+_BY_FIRST = {c: tuple(x for x in MISREAD if x[0][0] == c) for c in {x[0][0] for x in MISREAD}}
+
+
+def join_preference(model: Perceptron, parts: list[tuple[str, str]]) -> np.ndarray:
+    """How far the editor prefers keeping the hyphen over dropping it when it joins the parts of each broken word."""
     codes, word = _spread([f"{a}{_JOIN}{b}" for a, b in parts])
     if not len(codes):
-        return np.zeros(0, bool)
-    scores = editor.scores(_char_features(codes, word))[codes == 10]
-    return scores[:, editor.labels.index("-")] > scores[:, editor.labels.index("")]
+        return np.zeros(0)
+    scores = model.scores(_char_features(codes, word))[codes == 10]
+    return (scores[:, model.labels.index("-")] - scores[:, model.labels.index("")]).astype(float)
 
 
 # ------------------------------------------------------------------------------------- page furniture
@@ -321,13 +372,17 @@ def _beside(lines: Lines, i: int) -> tuple[str, ...]:
 
 
 def _short_lines(lines: Lines, kinds: np.ndarray) -> np.ndarray:
-    """Lines that may be furniture: short, not on an unreadable page, with a digit, a sign or two capitals, or of
-    a few characters; entries of lists and contents and sentences are none."""
+    """Lines that may be furniture: not on an unreadable page, with a digit, a sign or two capitals, or of a few
+    characters; entries of lists and contents and sentences are none.  A long line inside the page, of whole words
+    and without a sign such as a copyright mark, is text; at its edges, letter-spaced or with a sign, lines of any
+    length are judged."""
     size = lines.ends - lines.starts
     shape = (size <= 10) | (lines.chars[:, 2] >= 2) | (lines.chars[:, 3] + lines.chars[:, 2] >= 2) | (lines.chars[:, 11] > 0) | (lines.chars[:, 6] > 0) & (lines.words <= 6)
-    shape &= (lines.words <= 12) & (size <= 80) & (lines.function_words <= 3) & ~(lines.full_stop & (lines.words > 5))
+    spaced = lines.word_chars < 3 * lines.words
+    marked = (lines.chars[:, 11] > 0) | spaced | (np.minimum(lines.from_top, lines.from_bottom) == 0)
+    shape &= ((lines.words <= 12) & (size <= 80) & (lines.function_words <= 3) | marked & (4 * lines.function_words <= lines.words)) & ~(lines.full_stop & (lines.words > 5))
     shape &= (lines.kinds != 2) & ((lines.kinds != 1) | (size <= 12) | (lines.chars[:, 10] == 0) & ((lines.chars[:, 11] > 0) | (np.minimum(lines.from_top, lines.from_bottom) <= 3) & (lines.chars[:, 2] >= 2))) & ((lines.kinds != 3) | (lines.chars[:, 6] <= 4) & (lines.chars[:, 10] <= 1) & (lines.words <= 8))
-    shape &= (lines.function_words == 0) | (size <= 60) & (lines.words - lines.function_words <= 6)
+    shape &= (lines.function_words == 0) | (size <= 60) & (lines.words - lines.function_words <= 6) | marked
     return np.flatnonzero(shape & (kinds[lines.pages] != 4))
 
 
@@ -430,13 +485,18 @@ def _core_table() -> np.ndarray:
 
 def clean_word(token: str) -> str | None:
     """A stored token in lower case without surrounding punctuation; None for numbers, codes and single letters."""
+    if token.isalpha():
+        return token.lower() if len(token) > 1 else None
     word = token.strip(_STRIP + HYPHENS).rstrip("!|").lower()
-    letters = sum(c.isalpha() for c in word)
-    if letters < 2 or len(word) > 40 or 2 * letters < len(word) or re.search(r"\d{3}", word):
+    letters = sum(map(str.isalpha, word))
+    if letters < 2 or 2 * letters < len(word) or _THREE_DIGITS.search(word):
         return None
     return word
 
 
+_THREE_DIGITS = re.compile(r"\d{3}")
+
+
 @dataclass
 class Words:
     """Tokens of the text lines of a slice: hashes of their stored lower-case form, pages, spans; and broken words."""
@@ -535,15 +595,19 @@ def repair_pages(pages: DataFrame, common_words: DataFrame, train_pages: int = T
     lines = found.where("kind = 'line'").select("source", "page", F.col("a").alias("item")).distinct()
     words = found.where("kind = 'word'").select(F.col("a").alias("word"), "id", "at", "n")
     vocabulary = written(words.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    frequent = vocabulary.where(r"length(word) >= 4 AND word RLIKE '^[\\p{L}-]+$'").orderBy(F.desc("n"), "word").limit(train_words).toArrow()
+    frequent = _plain_words(vocabulary).orderBy(F.desc("n"), "word").limit(train_words).toArrow()
     editor = train_editor(list(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist())), train_words)
     sent = spark.sparkContext.broadcast(editor)
-    misread = written(_misread(vocabulary, sent), "misread")
+    broken = _parted(found.where("kind = 'broken'").select("source", "page", "a", "b", "id"), sent)
+    if texts:
+        broken = written(broken, "broken")
+    asked = vocabulary.unionByName(broken.select(F.explode(F.array("solid", "hyphened")).alias("word"), F.lit(0).cast("bigint").alias("n")))
+    misread = written(_misread(asked.groupBy("word").agg(F.sum("n").alias("n")), sent), "misread")
     seen = words.select("word", "id", "at").join(misread, "word").select("word", "id", F.explode("at").alias("far"), F.col("right").alias("item"))
     seen = seen.select((F.col("id") + F.col("far")).alias("id"), "word", "item")
     named = found.where("kind = 'page'").select("id", "source", "page")
     mended = seen.select("id", "item").distinct().join(named, "id").select("source", "page", "item")
-    joined = _joined(found.where("kind = 'broken'").select("source", "page", "a", "b", "id"), vocabulary, misread, sent)
+    joined = _joined(broken, vocabulary, misread, editor)
     fixes = seen.select("id", F.col("word").alias("a"), F.lit(None).cast("string").alias("b"), "item").unionByName(joined.select("id", "a", "b", "item"))
     kept = found.where("kind = 'text'").select("id", "source", "page", F.col("a").alias("text"), F.col("b").alias("ends")) if texts else None
     return PageRepair(lines, mended.unionByName(joined.select("source", "page", "item")).distinct(), misread, fixes, kept)
@@ -805,67 +869,77 @@ def repaired_pages(pages: DataFrame, common_words: DataFrame) -> DataFrame:
     return out.unionByName(blank).distinct()
 
 
+_PLAIN = r"^[\p{L}][\p{L}'’-]*$"
+
+
+def _plain_words(vocabulary: DataFrame) -> DataFrame:
+    """(word, n): frequent words of letters that are no misreadings of a much more frequent one, as far as counts tell."""
+    plain = vocabulary.where(F.col("word").rlike(_PLAIN) & (F.col("n") >= LEAST)).withColumn("skeleton", skeleton(F.col("word")))
+    most = plain.groupBy("skeleton").agg(F.max("n").alias("most"))
+    return plain.join(most, "skeleton").where(F.col("most") < RATIO * F.col("n")).select("word", "n")
+
+
 def _judged(sent):
-    """Keeps the (word, right) rows in which the editor takes the one for a misreading of the other."""
+    """The (word, right) rows that the editor accepts, with its margin and what the counts add to it."""
 
     def run(batches):
+        editor = sent.value
         for batch in batches:
             seen, meant = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            margin = edit_margin(sent.value, seen, meant)
-            signs = np.array([any(not (c.isalpha() or c in "-'’") for c in w) for w in seen], bool)
-            # a digit or sign inside a word has no other reading; letters need the editor not to object strongly
-            keep = np.isfinite(margin) & (signs | (margin > -_OBJECTION * np.array([max(1, len(w)) for w in seen]) ** 0.5))
-            yield batch.filter(pa.array(keep))
+            n, most = (np.maximum(np.asarray(batch.column(k), np.float64), 1) for k in (2, 3))
+            score = edit_margin(editor.model, seen, meant) + COUNT_WEIGHT * np.log(most / n / RATIO)
+            keep = pa.array(score >= editor.threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(score)], ["word", "right", "most", "score"]).filter(keep)
 
     return run
 
 
-_OBJECTION = 60.0
+def _misread(known: DataFrame, sent) -> DataFrame:
+    """(word, right): misread words with their right spelling.
 
-
-def _misread(vocabulary: DataFrame, sent) -> DataFrame:
-    """(word, right): misread words of the corpus with their right spelling."""
-    known = vocabulary.withColumn("skeleton", skeleton(F.col("word")))
-    plain = known.where(r"word RLIKE '^[\\p{L}][\\p{L}''’-]*$'")
-    best = plain.groupBy("skeleton").agg(F.max_by("word", F.struct("n", "word")).alias("right"), F.max("n").alias("most"))
-    rows = known.join(best, "skeleton").where(F.col("word") != F.col("right"))
+    Every frequent word of its skeleton is a candidate; the editor scores all of them, and the best one that it
+    accepts holds.  A word of letters alone must be ``RATIO`` times rarer than what it is mended to.
+    """
+    known = known.where("word IS NOT NULL").withColumn("skeleton", skeleton(F.col("word")))
+    right = known.where(F.col("word").rlike(_PLAIN) & (F.col("n") >= 2)).select("skeleton", F.col("word").alias("right"), F.col("n").alias("most"))
+    rows = known.join(right, "skeleton").where(F.col("word") != F.col("right"))
     signs = ~F.col("word").rlike(r"^[\p{L}'’-]+$")
-    rows = rows.where(((F.col("most") >= RATIO * F.col("n")) & (F.col("most") >= LEAST)) | (signs & (F.col("most") >= 2)))
-    return rows.select("word", "right").mapInArrow(_judged(sent), "word string, right string")
+    rows = rows.where(((F.col("most") >= RATIO * F.col("n")) & (F.col("most") >= LEAST)) | (signs & (F.col("most") > F.col("n"))))
+    judged = written(rows.select("word", "right", "n", "most").mapInArrow(_judged(sent), "word string, right string, most bigint, score double"), "judged")
+    # a word that is itself misread is nobody's right spelling
+    judged = judged.join(judged.select(F.col("word").alias("right")).distinct(), "right", "left_anti")
+    return judged.groupBy("word").agg(F.max_by("right", F.struct("score", "most", "right")).alias("right"))
 
 
-def _joined(broken: DataFrame, vocabulary: DataFrame, misread: DataFrame, sent) -> DataFrame:
-    """(source, page, id, a, b, item): words broken over two lines, joined with or without the hyphen."""
+def _parted(broken: DataFrame, sent) -> DataFrame:
+    """Adds to broken words (a, b) their two joined forms and the editor's preference for the hyphen."""
 
-    def parts(batches):
+    def run(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = joins_with_hyphen(sent.value, [(x.lower(), y.lower()) for x, y in zip(a, b)])
+            keep = join_preference(sent.value.model, [(x.lower(), y.lower()) for x, y in zip(a, b)])
             solid = [clean_word(x + y) for x, y in zip(a, b)]
             hyphen = [clean_word(f"{x}-{y}") for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(solid, pa.string()), pa.array(hyphen, pa.string()), pa.array(keep), *batch.columns[2:5]], ["source", "page", "solid", "hyphened", "keep", "a", "b", "id"])
 
-    rows = broken.mapInArrow(parts, "source string, page int, solid string, hyphened string, keep boolean, a string, b string, id bigint").where("solid IS NOT NULL")
-    rows = rows.distinct().withColumn("bare", skeleton(F.col("solid"))).withColumn("bare_hyphened", skeleton(F.col("hyphened")))
-    counts = vocabulary.select("word", "n")
-    forms = rows.select("solid", "hyphened", "bare", "bare_hyphened", "keep").distinct()
-    of = lambda name: counts.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
-    best = vocabulary.where(r"word RLIKE '^[\\p{L}][\\p{L}''’-]*$'").groupBy(skeleton(F.col("word")).alias("s")).agg(F.max_by("word", F.struct("n", "word")).alias("w"), F.max("n").alias("m"))
-    like = lambda name: best.select(F.col("s").alias(name), F.col("w").alias(f"w_{name}"), F.col("m").alias(f"m_{name}"))
-    forms = forms.join(of("solid"), "solid", "left").join(of("hyphened"), "hyphened", "left").join(like("bare"), "bare", "left").join(like("bare_hyphened"), "bare_hyphened", "left")
-    solid, hyphened = F.coalesce("n_solid", F.lit(0)), F.coalesce("n_hyphened", F.lit(0))
-    near, near_hyphened = F.coalesce("m_bare", F.lit(0)), F.coalesce("m_bare_hyphened", F.lit(0))
-    right = (
-        F.when((hyphened > solid) & (near < RATIO * hyphened) & (near_hyphened < RATIO * hyphened), F.col("hyphened"))
-        .when((solid > 0) & (near < RATIO * solid) & (near_hyphened < RATIO * solid), F.col("solid"))
-        .when((near >= LEAST) & (near >= near_hyphened), F.col("w_bare"))
-        .when(near_hyphened >= LEAST, F.col("w_bare_hyphened"))
-        .when(hyphened > solid, F.col("hyphened"))
-        .when(solid > 0, F.col("solid"))
-        .otherwise(F.when(F.col("keep"), F.col("hyphened")).otherwise(F.col("solid")))
-    )
-    forms = forms.select("solid", "hyphened", "keep", right.alias("item"))
-    return rows.join(forms, ["solid", "hyphened", "keep"]).select("source", "page", "id", "a", "b", "item")
+    return broken.mapInArrow(run, "source string, page int, solid string, hyphened string, keep double, a string, b string, id bigint").where("solid IS NOT NULL").distinct()
+
+
+def _joined(broken: DataFrame, vocabulary: DataFrame, misread: DataFrame, editor: Editor) -> DataFrame:
+    """(source, page, id, a, b, item): words broken over two lines, joined with or without the hyphen.
+
+    Each of the two forms is mended first where it is misread; the editor's preference in units of what it is on
+    held-out words and the logarithm of the counts then decide together.
+    """
+    forms = broken.select("solid", "hyphened", "keep").distinct()
+    for name in ("solid", "hyphened"):
+        forms = forms.join(misread.select(F.col("word").alias(name), F.col("right").alias(f"{name}_right")), name, "left")
+        forms = forms.withColumn(f"{name}_right", F.coalesce(f"{name}_right", name))
+        forms = forms.join(vocabulary.select(F.col("word").alias(f"{name}_right"), F.col("n").alias(f"{name}_n")), f"{name}_right", "left")
+    counts = F.log((F.coalesce("hyphened_n", F.lit(0)) + 0.5) / (F.coalesce("solid_n", F.lit(0)) + 0.5))
+    hyphen = F.col("keep") / F.lit(editor.join_unit) + COUNT_WEIGHT * counts > 0
+    forms = forms.select("solid", "hyphened", "keep", F.when(hyphen, F.col("hyphened_right")).otherwise(F.col("solid_right")).alias("item"))
+    return broken.join(forms, ["solid", "hyphened", "keep"]).select("source", "page", "id", "a", "b", "item")
 
 
 def found_noise(pages: DataFrame, common_words: DataFrame) -> DataFrame:

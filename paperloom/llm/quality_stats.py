@@ -80,13 +80,14 @@ def _profiles() -> tuple[tuple[str, ...], np.ndarray, np.ndarray]:
     return names, chars / chars.sum(axis=1, keepdims=True), words / words.sum(axis=1, keepdims=True)
 
 
-def divergence(rows: np.ndarray, profile: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of each row of shares to one profile."""
-    middle = (rows + profile) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(rows > 0, rows * np.log2(rows / middle), 0.0).sum(axis=1)
-        right = np.where(profile > 0, profile * np.log2(profile / middle), 0.0).sum(axis=1)
-    return (left + right) / 2
+def entropy(rows: np.ndarray) -> np.ndarray:
+    """Entropy in bits of each row of shares."""
+    return -(rows * np.log2(np.where(rows > 0, rows, 1.0))).sum(axis=-1)
+
+
+def divergence(rows: np.ndarray, profile: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of each row of shares to one profile; ``own`` is the rows' entropy if known."""
+    return np.maximum(entropy((rows + profile) / 2) - ((entropy(rows) if own is None else own) + entropy(profile)) / 2, 0.0)
 
 
 def word_keys(words: list[str]) -> np.ndarray:
@@ -184,7 +185,8 @@ def read_lines(texts: pa.Array, function_words: np.ndarray) -> Lines:
     char_shares = chars / np.maximum(chars.sum(axis=1, keepdims=True), 1)
     word_total = words.sum(axis=1)
     word_shares = words / np.maximum(word_total[:, None], 1)
-    apart = np.stack([0.6 * divergence(char_shares, c) + 0.4 * np.where(word_total > 0, divergence(word_shares, w), 1.0) for c, w in zip(char_profiles, word_profiles)], axis=1) if lines else np.zeros((0, len(names)))
+    of_chars, of_words = entropy(char_shares), entropy(word_shares)
+    apart = np.stack([0.6 * divergence(char_shares, c, of_chars) + 0.4 * np.where(word_total > 0, divergence(word_shares, w, of_words), 1.0) for c, w in zip(char_profiles, word_profiles)], axis=1) if lines else np.zeros((0, len(names)))
     prose = apart[:, :5].min(axis=1) if lines else np.zeros(0)
     junk = apart[:, 5:].min(axis=1) if lines else np.zeros(0)
     last = codes[ends - 1] if lines else np.zeros(0, np.uint32)

@@ -202,9 +202,24 @@ def test_repair(spark):
     assert ocr_repair.found_noise(df.limit(0), common(spark)).count() == 0
 
 
+def test_editor_turns_candidates_down(spark):
+    """Frequent words stay; of rare ones that share the strokes of a frequent word only misreadings are mended."""
+    plain = "contract record which calibration early closing review training matrix without someone deputy matter check visit file all au an the".split()
+    editor = ocr_repair.train_editor([(w, 500) for w in plain] * 4)
+    sent = spark.sparkContext.broadcast(editor)
+    counts = {w: 4000 for w in plain} | {"the": 90_000, "an": 9000, "file": 3000, "all": 700, "au": 170, "wbich": 5, "chcck": 3, "rec0rd": 2, "fi1e": 1, "ehoek": 2, "tlie": 3, "fiie": 1}
+    known = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    got = {r["word"]: r["right"] for r in ocr_repair._misread(known, sent).collect()}
+    assert got == {"wbich": "which", "chcck": "check", "rec0rd": "record", "fi1e": "file", "tlie": "the", "fiie": "file"}
+    skeletons = {r["word"]: r["s"] for r in known.select("word", ocr_repair.skeleton(F.col("word")).alias("s")).collect()}
+    assert skeletons["file"] == skeletons["the"] and skeletons["all"] == skeletons["an"]  # the counts alone would mend them
+    margins = ocr_repair.edit_margin(editor.model, ["review", "check", "matter", "wbich"], ["revicw", "cbeck", "mattcr", "which"])
+    assert (margins[:3] < editor.threshold).all() and margins[3] > editor.threshold
+
+
 def test_editor_prefers_misreadings():
     words = [(w, 100) for w in "calibration technician reviews training matrix packing before decision record shift".split()] * 8
-    editor = ocr_repair.train_editor(words)
+    editor = ocr_repair.train_editor(words).model
     margin = ocr_repair.edit_margin(editor, ["calibrati0n", "rccord", "rccord"], ["calibration", "record", "matrix"])
     assert margin[0] > 0 and margin[1] > -20 and margin[2] == -np.inf
 
