@@ -95,6 +95,14 @@ def keyword_cover(hashes: np.ndarray, docs: np.ndarray, words: np.ndarray) -> np
     return covered
 
 
+def without_markup(text: str) -> str:
+    """The text with a link's label and address on a line of their own, and line ends for other markup."""
+    if "<" not in text:
+        return text
+    text = _HREF.sub(lambda m: f" \n{m[1]} {' '.join(_LINK.findall(m[0])) or 'http://link'}\n ", text)
+    return _MARKUP.sub("\n", text)
+
+
 def page_evidence(text: str) -> tuple[int, int, list[tuple[str, bool]]]:
     """(words, words of lists, stretches) of one page.
 
@@ -104,8 +112,7 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[str, bool]]]:
     """
     total = listed = 0
     stretches: list[tuple[str, bool]] = []  # text and whether it is outside sentences
-    text = _HREF.sub(lambda m: f" \n{m[1]} {' '.join(_LINK.findall(m[0])) or 'http://link'}\n ", text)
-    for line in _MARKUP.sub("\n", text).split("\n"):
+    for line in without_markup(text).split("\n"):
         words = _WORD.findall(line.lower())
         if not words:
             continue
@@ -215,7 +222,7 @@ def _page_phrases(batches):
 
 
 def carried_phrases(rows: DataFrame, wanted: KeyFilter, hosts: int = HOSTS) -> DataFrame:
-    """(phrase, host, page): the shingles of all texts that the filter lets through; markup is no word.
+    """(phrase, host, page): the shingles of all texts that the filter lets through; hosts and pages are hashes.
 
     Of each phrase a slice gives the rows of ``hosts`` different hosts and of as many different pages, where it has
     so many: enough to tell whether the phrase has them, so nothing is lost and no phrase grows with its slice.
@@ -232,12 +239,11 @@ def carried_phrases(rows: DataFrame, wanted: KeyFilter, hosts: int = HOSTS) -> D
 
     def run(batches):
         for batch in batches:
-            of_host = np.unique(np.asarray(batch.column(1).to_pylist(), object), return_inverse=True)[1] if batch.num_rows else None
-            of_page = np.asarray(batch.column(2))
+            of_host, of_page = np.asarray(batch.column(1)), np.asarray(batch.column(2))
             for a, b in V.slices(batch.column(0)):
                 part = batch.column(0)[a:b]
                 if pc.any(pc.match_substring(part, "<")).as_py():
-                    part = pa.array([_MARKUP.sub(" ", t) for t in part.to_pylist()], pa.string())
+                    part = pa.array([without_markup(t) for t in part.to_pylist()], pa.string())
                 hashes, texts, _, _ = V.words(*V.code_points(part))
                 grams, at = V.ngrams(hashes, texts, WIDTH)
                 keep = wanted.maybe(grams.view(np.int64))
@@ -248,7 +254,7 @@ def carried_phrases(rows: DataFrame, wanted: KeyFilter, hosts: int = HOSTS) -> D
                 of = pa.array(owner[found])
                 yield pa.RecordBatch.from_arrays([pa.array(grams[found].view(np.int64)), batch.column(1).take(of), batch.column(2).take(of)], ["phrase", "host", "page"])
 
-    return rows.select("text", "host", "page").mapInArrow(run, "phrase bigint, host string, page bigint")
+    return rows.select("text", F.xxhash64("host").alias("host"), "page").mapInArrow(run, "phrase bigint, host bigint, page bigint")
 
 
 def spam_pages(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", host: str = "source", hosts: int = HOSTS, share: float = SHARE) -> DataFrame:
@@ -265,9 +271,7 @@ def spam_pages(docs: DataFrame, doc_id: str = "doc_id", column: str = "text", ho
     phrases = written(texts.select("page", "stretches", "open").mapInArrow(_page_phrases, "page bigint, at bigint, before bigint, after bigint, phrase bigint"), "phrases")
     asked = written(phrases.select("phrase").distinct(), "asked-phrases")
     everywhere = carried_phrases(_rows(docs, doc_id, column, host), key_filter(asked, "phrase", asked.count()), hosts)
-    # a link's markup gives its page shingles that its stored text has not
-    own = phrases.select("phrase", "page").distinct().join(pages.select("page", "host").distinct(), "page").select("phrase", "host", "page")
-    everywhere = everywhere.unionByName(own).join(asked, "phrase", "left_semi")
+    everywhere = everywhere.join(asked, "phrase", "left_semi")
     carried = everywhere.groupBy("phrase", "host", "page").agg(F.lit(1).alias("one")).groupBy("phrase").agg(F.countDistinct("host").alias("hosts"), F.countDistinct("page").alias("pages"))
     carried = carried.where(f"hosts >= {hosts} AND pages >= {hosts}").select("phrase")
     # a shingle covers the words that the one before it has not covered
