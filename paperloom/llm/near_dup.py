@@ -7,14 +7,17 @@
    its own hash, so every record that comes by makes the same choice.  How many records a node holds is
    counted by Spark; only nodes above ``leaf_size`` branch on, and which ones these are goes to the tasks
    as a fixed-size filter.  A false positive of the filter merely makes all records of a node branch once more.
+   The deeper a tree, the smaller the chance of a pair to meet in it, so the trees needed for the target recall
+   follow from the depth that was reached, and further trees are walked until there are enough.
 3. Records are shuffled once, to their leaves.  Small leaves are compared exhaustively by sketch.  Leaves that
-   are still large at the last depth (many records that are truly alike) are cut into blocks, and each task
-   compares two blocks: no task ever holds such a group.
-4. Candidate pairs are checked exactly on the triple sets of their texts.
+   are still large at the last depth hold records that agree in all tokens of a path, so most of their pairs are
+   results; they are cut into blocks, and each task compares two blocks: no task ever holds such a group.
+4. Candidate pairs are checked exactly on the triple sets of their texts, as sets of 44-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,28 +31,39 @@ from .canonical import Canonicalizer
 from .keyfilter import KeyFilter, key_filter
 
 COORDINATES, BINS = 64, 128
-#: A filter that lets every key through.
-EVERY = KeyFilter(np.full(1, np.iinfo(np.uint64).max, np.uint64))
 _ROUNDS = 8  # one-permutation hashings of 16 bins each
 
 
 @dataclass(frozen=True)
 class JoinSettings:
-    """``trees`` independent trees of ``branches`` branches a node; at Jaccard j a pair survives a level with
-    probability 1-(1-j)**branches, so five trees of depth two miss about 0.2 % of the pairs at j = 0.58."""
+    """``branches`` branches a node: at Jaccard j a pair that meets in the rest of a tree with probability q meets
+    with 1-(1-j*q)**branches one level higher.  ``recall`` is the share of the pairs at the threshold itself that
+    the trees are to bring together; pairs above it are missed far less often."""
 
     threshold: float = 0.5
-    trees: int = 5
+    recall: float = 0.95
     branches: int = 2
     leaf_size: int = 64
     max_depth: int = 7
-    #: Share of the 128 sketch bits that must agree: that expected at the threshold, less two standard deviations.
-    bits: int = 86
+    #: Share of the 128 sketch bits that must agree: that expected at the threshold, less 2.5 standard deviations.
+    bits: int = 84
     #: Width of the word shingles.
     width: int = 3
     #: Large nodes of one depth that a filter may hold; beyond, the walk goes by joins.
     filter_nodes: int = 1 << 22
 
+    def meets(self, depth: int, similarity: float) -> float:
+        """Chance of a pair of that similarity to meet in one tree of that depth."""
+        q = 1.0
+        for _ in range(depth):
+            q = 1 - (1 - similarity * q) ** self.branches
+        return q
+
+    def trees(self, depth: int) -> int:
+        """Trees of that depth that bring the target share of the pairs at the threshold together."""
+        q = self.meets(depth, self.threshold)
+        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - q))) if q < 1 else 1
+
 
 def _triple_sets(texts: pa.Array, width: int):
     """Distinct shingle hashes of each text of one slice: (hashes, texts' numbers), sorted by text."""
@@ -105,7 +119,7 @@ def _sketches(grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def sketch_texts(df: DataFrame, key: str, column: str, width: int) -> DataFrame:
-    """(key, set_id, coordinates, bits) of each record with a key and a text."""
+    """(key, set_id, coordinates, bits, stored) of each record with a key and a text; ``stored`` is a hash of the text."""
 
     def run(batches):
         one_form = Canonicalizer()
@@ -114,15 +128,15 @@ def sketch_texts(df: DataFrame, key: str, column: str, width: int) -> DataFrame:
                 grams, owner = _triple_sets(one_form(batch.column(1)[a:b]), width)
                 digest, coordinates, bits = _sketches(grams, owner, b - a)
                 columns = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (digest, coordinates, bits)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], [key, "set_id", "coordinates", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns, batch.column(2)[a:b]], [key, "set_id", "coordinates", "bits", "stored"])
 
     rows = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(column).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` string, set_id binary, coordinates binary, bits binary")
+    return rows.withColumn("stored", F.xxhash64("text")).mapInArrow(run, f"`{key}` string, set_id binary, coordinates binary, bits binary, stored bigint")
 
 
-def _roots(s: JoinSettings) -> np.ndarray:
-    """The root nodes of the trees."""
-    return V.mix(np.arange(s.trees, dtype=np.uint64) + np.uint64(77))
+def _roots(trees: range) -> np.ndarray:
+    """The root nodes of the trees of these numbers."""
+    return V.mix(np.array(trees, dtype=np.uint64) + np.uint64(77))
 
 
 def _children(coordinates: np.ndarray, nodes: np.ndarray, rows: np.ndarray, depth: int, branches: int) -> np.ndarray:
@@ -138,15 +152,15 @@ def _children(coordinates: np.ndarray, nodes: np.ndarray, rows: np.ndarray, dept
     return np.concatenate(out)
 
 
-def _paths(coordinates: np.ndarray, s: JoinSettings, large: list[KeyFilter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Walks all trees with the records of one batch: (nodes, records, is at last depth).
+def _paths(coordinates: np.ndarray, s: JoinSettings, trees: range, large: list[KeyFilter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Walks the trees with the records of one batch: (nodes, records, is at last depth).
 
     ``large[k]`` says which nodes of depth k + 1 branch on; the nodes returned are those where a record stops.
     """
     n = len(coordinates)
     done_nodes, done_rows, done_last = [], [], []
-    nodes = np.repeat(_roots(s), n)
-    rows = np.tile(np.arange(n), s.trees)
+    nodes = np.repeat(_roots(trees), n)
+    rows = np.tile(np.arange(n), len(trees))
     for depth in range(len(large) + 1):
         nodes, rows = _children(coordinates, nodes, rows, depth, s.branches), np.tile(rows, s.branches)
         goes_on = large[depth].maybe(nodes.view(np.int64)) if depth < len(large) else np.zeros(len(nodes), bool)
@@ -165,13 +179,13 @@ def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype).reshape(len(values), width)
 
 
-def _node_counts(sets: DataFrame, s: JoinSettings, large: list[KeyFilter]) -> DataFrame:
+def _node_counts(sets: DataFrame, s: JoinSettings, trees: range, large: list[KeyFilter]) -> DataFrame:
     """(node, records) of the nodes at depth len(large) + 1."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                nodes, _, last = _paths(_matrix(batch.column(0), np.uint16, COORDINATES), s, large)
+                nodes, _, last = _paths(_matrix(batch.column(0), np.uint16, COORDINATES), s, trees, large)
                 found, counts = np.unique(nodes[last], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int32))], ["node", "records"])
 
@@ -179,13 +193,13 @@ def _node_counts(sets: DataFrame, s: JoinSettings, large: list[KeyFilter]) -> Da
     return per_batch.groupBy("node").agg(F.sum("records").alias("records"))
 
 
-def _leaves(sets: DataFrame, s: JoinSettings, large: list[KeyFilter], shared: list[KeyFilter]) -> DataFrame:
+def _leaves(sets: DataFrame, s: JoinSettings, trees: range, large: list[KeyFilter], shared: list[KeyFilter]) -> DataFrame:
     """(node, id, bits_a, bits_b): each record at each of its leaves that other records may share."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                nodes, rows, _ = _paths(_matrix(batch.column(1), np.uint16, COORDINATES), s, large)
+                nodes, rows, _ = _paths(_matrix(batch.column(1), np.uint16, COORDINATES), s, trees, large)
                 met = np.zeros(len(nodes), bool)
                 for level in shared:
                     met |= level.maybe(nodes.view(np.int64))
@@ -260,15 +274,14 @@ def _compare_blocks(bits: int):
     return run
 
 
-def _counted(sets: DataFrame, records: int, s: JoinSettings) -> tuple[DataFrame, DataFrame | None] | None:
-    """(leaves, counts of the last depth or None); None if there are more large nodes than a filter can hold."""
+def _counted(sets: DataFrame, s: JoinSettings, trees: range) -> tuple[DataFrame, DataFrame | None, int] | None:
+    """(leaves, counts of the last depth or None, depth reached) of the trees of these numbers; None if there are
+    more large nodes than a filter can hold."""
     large: list[KeyFilter] = []
     shared: list[KeyFilter] = []
-    if records > 64 * s.leaf_size:
-        large.append(EVERY)  # hardly a node of the first depth is small; not counting it saves a shuffle
     while True:
         # nodes of one record go no further: they are dropped here and never reach the shuffle of the leaves
-        counts = written(_node_counts(sets, s, large).where("records > 1"), "nodes")
+        counts = written(_node_counts(sets, s, trees, large).where("records > 1"), "nodes")
         last = len(large) >= s.max_depth - 1
         ends = counts if last else counts.where(F.col("records") <= s.leaf_size)
         sizes = counts.agg(F.count_if(F.col("records") > s.leaf_size).alias("big"), F.count(F.lit(1)).alias("all")).first()
@@ -277,11 +290,11 @@ def _counted(sets: DataFrame, records: int, s: JoinSettings) -> tuple[DataFrame,
         # a full filter of the ends only lets more rows into the shuffle, where they meet nobody
         shared.append(key_filter(ends.select("node"), "node", sizes["all"] if last else sizes["all"] - sizes["big"]))
         if last or not sizes["big"]:
-            return _leaves(sets, s, large, shared), counts if last else None
+            return _leaves(sets, s, trees, large, shared), counts if last else None, len(large) + 1
         large.append(key_filter(counts.where(F.col("records") > s.leaf_size).select("node"), "node", sizes["big"]))
 
 
-def _walked(sets: DataFrame, records: int, s: JoinSettings) -> tuple[DataFrame, DataFrame | None]:
+def _walked(sets: DataFrame, s: JoinSettings, trees: range) -> tuple[DataFrame, DataFrame | None, int]:
     """The same leaves by joins: at each depth, records meet the size of their node in a shuffle.
 
     For collections whose large nodes are too many for a filter.  A node of many records is a hot key of the
@@ -296,7 +309,7 @@ def _walked(sets: DataFrame, records: int, s: JoinSettings) -> tuple[DataFrame,
                 coordinates = _matrix(batch.column(2), np.uint16, COORDINATES)
                 rows = np.arange(batch.num_rows)
                 if depth == 0:
-                    nodes, rows = np.repeat(_roots(s), len(rows)), np.tile(rows, s.trees)
+                    nodes, rows = np.repeat(_roots(trees), len(rows)), np.tile(rows, len(trees))
                 else:
                     nodes = np.asarray(batch.column(0)).view(np.uint64)
                 nodes, rows = _children(coordinates, nodes, rows, depth, s.branches), np.tile(rows, s.branches)
@@ -314,12 +327,11 @@ def _walked(sets: DataFrame, records: int, s: JoinSettings) -> tuple[DataFrame,
         last = depth == s.max_depth - 1
         counts = now.groupBy("node").agg(F.count(F.lit(1)).alias("records")).where("records > 1")
         met = now.join(counts, "node")
-        first = depth == 0 and records > 64 * s.leaf_size
-        ends = met if last else met.where(F.col("records") <= (0 if first else s.leaf_size))
+        ends = met if last else met.where(F.col("records") <= s.leaf_size)
         ends = ends.mapInArrow(_unpacked, "node bigint, id bigint, bits_a bigint, bits_b bigint")
         leaves = ends if leaves is None else leaves.unionByName(ends)
-        now = (now if first else met.where(F.col("records") > s.leaf_size)).select("node", "id", "coordinates", "bits")
-    return leaves, written(counts, "nodes")
+        now = met.where(F.col("records") > s.leaf_size).select("node", "id", "coordinates", "bits")
+    return leaves, written(counts, "nodes"), s.max_depth
 
 
 def _unpacked(batches):
@@ -329,9 +341,20 @@ def _unpacked(batches):
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), batch.column(batch.schema.get_field_index("id")), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["node", "id", "bits_a", "bits_b"])
 
 
-def candidate_pairs(sets: DataFrame, records: int, s: JoinSettings, block: int = 2048) -> DataFrame:
+def candidate_pairs(sets: DataFrame, s: JoinSettings, block: int = 8192) -> DataFrame:
     """(id_a, id_b) of sets whose sketches agree, found through the trees; ``sets`` has id, coordinates, bits."""
-    leaves, counts = _counted(sets, records, s) or _walked(sets, records, s)
+    walked, found, depth = 0, None, 1
+    while walked < s.trees(depth):
+        trees = range(walked, s.trees(depth))
+        leaves, counts, reached = _counted(sets, s, trees) or _walked(sets, s, trees)
+        pairs = _compared(leaves, counts, s, block)
+        found = pairs if found is None else found.unionByName(pairs)
+        walked, depth = trees.stop, max(depth, reached)
+    return found.distinct()
+
+
+def _compared(leaves: DataFrame, counts: DataFrame | None, s: JoinSettings, block: int) -> DataFrame:
+    """(id_a, id_b) of the records of each leaf whose sketches agree."""
     small, hot = leaves, None
     if counts is not None:
         # leaves of the last depth that hold more than a block of records go through block against block
@@ -350,7 +373,11 @@ def candidate_pairs(sets: DataFrame, records: int, s: JoinSettings, block: int =
             F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"), "id", "bits_a", "bits_b",
         )
         found = found.unionByName(pairs.groupBy("node", "first", "second").applyInArrow(_compare_blocks(s.bits), "id_a bigint, id_b bigint"))
-    return found.distinct()
+    return found
+
+
+#: Bytes of a stored shingle hash, which has 44 bits.
+_GRAM = 6
 
 
 def _exact_sets(df: DataFrame, key: str, column: str, width: int, wanted: KeyFilter) -> DataFrame:
@@ -365,7 +392,7 @@ def _exact_sets(df: DataFrame, key: str, column: str, width: int, wanted: KeyFil
             batch = batch.filter(pa.array(keep))
             for a, b in V.slices(batch.column(1), V.SLICE_CHARS // 2):
                 found, owner = _triple_sets(one_form(batch.column(1)[a:b]), width)
-                raw = np.ascontiguousarray(found).view(np.uint8).reshape(-1, 8)[:, 1:6]
+                raw = np.ascontiguousarray(found).view(np.uint8).reshape(-1, 8)[:, :_GRAM]
                 at = np.searchsorted(owner, np.arange(b - a + 1))
                 ids = pa.array([row.tobytes() for row in _digests(found, owner, b - a)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, pa.array([raw[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["set_id", "grams"])
@@ -378,8 +405,8 @@ def _jaccard(batches):
     """Adds the exact similarity of two gram columns."""
 
     def grams(raw: bytes) -> np.ndarray:
-        rows = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        return np.pad(rows, ((0, 0), (0, 3))).view(np.uint64).reshape(-1)
+        rows = np.frombuffer(raw, np.uint8).reshape(-1, _GRAM)
+        return np.pad(rows, ((0, 0), (0, 8 - _GRAM))).view(np.uint64).reshape(-1)
 
     for batch in batches:
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -394,7 +421,7 @@ def _jaccard(batches):
 @dataclass
 class NearDuplicates:
     """``heads`` (id, head, rows): each class of equal shingle sets with its smallest key and its stored rows;
-    ``several`` (key, id): the records of the classes of more than one stored row; ``links`` (id_a, id_b,
+    ``several`` (key, id, stored): the records of the classes of more than one stored row, with a hash of their text; ``links`` (id_a, id_b,
     similarity): all pairs of classes at or above the threshold; ``linked`` (id, head, rows): the classes that may
     have a link."""
 
@@ -408,7 +435,7 @@ class NearDuplicates:
     def members(self) -> DataFrame:
         """(key, id): the class of each record.  A class of one stored row is its head, which needs no join."""
         alone = self.heads.where("rows = 1").select(F.col("head").alias(self.key), "id")
-        return alone.unionByName(self.several)
+        return alone.unionByName(self.several.select(self.key, "id").distinct())
 
 
 def near_duplicates(df: DataFrame, key: str = "chunk_id", column: str = "text", settings: JoinSettings = JoinSettings()) -> NearDuplicates:
@@ -422,8 +449,7 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", column: str = "text",
     sketched = written(sketch_texts(df, key, column, s.width), "sketches")
     sets = sketched.groupBy("set_id").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("rows"), F.first("coordinates").alias("coordinates"), F.first("bits").alias("bits"))
     sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
-    records = sets.count()
-    candidates = written(candidate_pairs(sets, records, s), "candidates")
+    candidates = written(candidate_pairs(sets, s), "candidates")
     heads = sets.select("id", "head", "rows", "set_id")
     involved = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     linked = written(heads.join(involved, "id"), "linked")
@@ -435,31 +461,40 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", column: str = "text",
     both = both.join(grams.select(F.col("id").alias("id_b"), F.col("grams").alias("grams_b")), "id_b")
     links = both.select("id_a", "id_b", "grams_a", "grams_b").mapInArrow(_jaccard, "id_a bigint, id_b bigint, similarity double")
     links = written(links.where(F.col("similarity") >= s.threshold), "links")
-    several = sketched.select(key, "set_id").join(sets.where("rows > 1").select("set_id", "id"), "set_id").select(key, "id").distinct()
+    several = sketched.select(key, "set_id", "stored").join(sets.where("rows > 1").select("set_id", "id"), "set_id").select(key, "id", "stored").distinct()
     return NearDuplicates(heads, written(several, "several"), links, linked, key)
 
 
-#: Copies of one text are paired with each other up to this number; more are paired with the first of them only.
+#: Exact copies of one text are paired with each other up to this number; of more, the first speaks for all.
 EXPANDED = 200
+#: Records of one class that one task pairs with as many others.
+PAIRED = 2000
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", column: str = "text", settings: JoinSettings = JoinSettings(), expanded: int = EXPANDED) -> DataFrame:
     """(key_a, key_b): pairs of records at or above the threshold, the smaller key first.
 
-    Every link between different texts is there.  Records of one class (equal shingle sets) are paired with each
-    other and with all records of linked classes; a class of more than ``expanded`` records is spoken for by its
-    first record, which is paired with each of the others, so that copies never multiply.
+    Every link between different texts is there: all records of a class (equal shingle sets) are paired with each
+    other and with all records of linked classes.  Only exact copies of one stored text, where there are more than
+    ``expanded``, are spoken for by the first of them, which is paired with each of the others, so that copies never
+    multiply; ``class_links`` gives the class of every record.
     """
     found = near_duplicates(df, key, column, settings)
-    classes = written(found.several.groupBy("id").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("n")), "classes")
-    small = found.several.join(classes.where(F.col("n") <= expanded).select("id"), "id", "left_semi").select("id", F.col(key).alias("k"))
-    many = classes.where(F.col("n") > expanded).select("id", F.col("head").alias("k"))
+    copies = written(found.several.groupBy("id", "stored").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("n")), "copies")
+    many = copies.where(F.col("n") > expanded).select("id", "stored", "head")
+    rest = found.several.join(many.select("id", "stored"), ["id", "stored"], "left_anti").select("id", F.col(key).alias("k"))
+    several = written(rest.unionByName(many.select("id", F.col("head").alias("k"))).distinct(), "several-speaking")
     alone = found.linked.where("rows = 1").select("id", F.col("head").alias("k"))
-    speaking = written(alone.unionByName(small).unionByName(many), "speaking")
+    speaking = alone.unionByName(several)
     a, b = (speaking.select(F.col("id").alias(f"id_{x}"), F.col("k").alias(x)) for x in "ab")
     between = found.links.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").select("a", "b")
-    within = small.select("id", F.col("k").alias("a")).join(small.select("id", F.col("k").alias("b")), "id").where("a < b").select("a", "b")
-    spokes = found.several.join(many, "id").select(F.col("k").alias("a"), F.col(key).alias("b"))
+    # a class of very many different texts goes block against block
+    sizes = several.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / PAIRED).cast("int").alias("blocks"))
+    sized = several.join(sizes, "id")
+    own = sized.select("id", F.col("k").alias("a"), F.pmod(F.xxhash64("k"), F.col("blocks").cast("bigint")).cast("int").alias("block"))
+    other = sized.select("id", F.col("k").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    within = own.join(other, ["id", "block"]).where("a < b").select("a", "b")
+    spokes = found.several.join(many, ["id", "stored"]).select(F.col("head").alias("a"), F.col(key).alias("b"))
     pairs = between.unionByName(within).unionByName(spokes).where("a <> b")
     return pairs.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
 

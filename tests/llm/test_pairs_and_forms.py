@@ -94,6 +94,43 @@ def test_many_copies_do_not_multiply(spark):
     assert groups["near"] == groups["c5"] == ("c0", 10) and groups["x2"][1] == 4
 
 
+def test_different_texts_of_one_class_are_all_paired(spark):
+    """Texts that differ in punctuation only have one triple set; none of their links is lost where copies are many."""
+    words = [f"w{i}" for i in range(20)]
+    rows = [(f"a{i}", " ".join(words)) for i in range(6)] + [(f"b{i}", ", ".join(words) + "." * i) for i in range(5)] + [("n", " ".join(words) + " more"), ("o", "; ".join(words) + "; more")]
+    got = pairs(near_dup.near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA), expanded=3))
+    loud = ["a0", *(f"b{i}" for i in range(5)), "n", "o"]
+    assert got == {(x, y) for x in loud for y in loud if x < y} | {("a0", f"a{i}") for i in range(1, 6)}
+
+
+def test_trees_follow_from_the_depth():
+    s = near_dup.JoinSettings()
+    assert [s.trees(d) for d in range(1, 8)] == [3, 4, 5, 6, 6, 7, 8]
+    for depth in range(1, 8):
+        for similarity in (0.5, 0.58, 0.7):
+            assert (1 - s.meets(depth, similarity)) ** s.trees(depth) <= 0.05
+
+
+def test_recall_at_the_deepest_level(spark):
+    """Planted pairs at the threshold and a little above it; leaves of two records force every tree to depth 7."""
+    r = random.Random(12)
+    rows, planted = [], {0.5: set(), 0.58: set()}
+    for similarity, changed in ((0.5, 20), (0.58, 16)):
+        for i in range(150):
+            base = [f"v{r.randrange(10**6)}" for _ in range(62)]  # 60 triples
+            near = base[: 62 - changed] + [f"x{r.randrange(10**6)}" for _ in range(changed)]
+            a, b = f"{similarity}-{i:03d}a", f"{similarity}-{i:03d}b"
+            rows += [(a, " ".join(base)), (b, " ".join(near))]
+            planted[similarity].add((a, b))
+    assert min(len(triples(x[1]) & triples(y[1])) / len(triples(x[1]) | triples(y[1])) for x, y in zip(rows[::2], rows[1::2])) >= 0.5
+    s = near_dup.JoinSettings(leaf_size=0)
+    sets = near_dup.sketch_texts(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", 3).withColumn("id", F.monotonically_increasing_id()).persist()
+    names = {x["id"]: x["chunk_id"] for x in sets.select("id", "chunk_id").collect()}
+    got = {tuple(sorted((names[x["id_a"]], names[x["id_b"]]))) for x in near_dup.candidate_pairs(sets, s).collect()}
+    share = {k: len(v & got) / len(v) for k, v in planted.items()}
+    assert share[0.5] >= 0.9 and share[0.58] >= 0.95, share
+
+
 def test_connected_chain(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)]
     got = {r["id"]: r["group"] for r in near_dup.connected(spark.createDataFrame(chain, "id_a bigint, id_b bigint")).collect()}
@@ -112,7 +149,7 @@ def test_large_leaves_go_by_blocks(spark):
     s = near_dup.JoinSettings(leaf_size=8, max_depth=3)
     sets = near_dup.sketch_texts(df, "chunk_id", "text", 3).withColumn("id", F.monotonically_increasing_id())
     sets = sets.persist()
-    found = {tuple(r) for r in near_dup.candidate_pairs(sets, 90, s, block=16).collect()}
+    found = {tuple(r) for r in near_dup.candidate_pairs(sets, s, block=16).collect()}
     want = brute(rows)
     names = {r["id"]: r["chunk_id"] for r in sets.collect()}
     got = {tuple(sorted((names[a], names[b]))) for a, b in found}
@@ -125,10 +162,10 @@ def test_walk_by_joins_finds_the_same(spark):
     for leaf in (1, 64):
         by_filter = near_dup.JoinSettings(leaf_size=leaf)
         by_join = near_dup.JoinSettings(leaf_size=leaf, filter_nodes=0 if leaf == 1 else -1)
-        n = len(rows)
-        assert near_dup._counted(sets, n, by_join) is None or leaf == 64
-        a = {tuple(r) for r in near_dup.candidate_pairs(sets, n, by_filter).collect()}
-        leaves, _ = near_dup._walked(sets, n, by_join)
+        trees = range(by_filter.trees(by_filter.max_depth if leaf == 1 else 1))
+        assert near_dup._counted(sets, by_join, trees) is None or leaf == 64
+        a = {tuple(r) for r in near_dup._compared(*near_dup._counted(sets, by_filter, trees)[:2], by_filter, 8192).distinct().collect()}
+        leaves = near_dup._walked(sets, by_join, trees)[0]
         found = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(near_dup._compare_sorted(by_join.bits), "id_a bigint, id_b bigint")
         b = {tuple(r) for r in found.distinct().collect()}
         assert a and len(a ^ b) <= 0.01 * len(a)
