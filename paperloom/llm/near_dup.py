@@ -7,8 +7,8 @@
    its own hash, so every record that comes by makes the same choice.  How many records a node holds is
    counted by Spark; only nodes above ``leaf_size`` branch on, and which ones these are goes to the tasks
    as a fixed-size filter.  A false positive of the filter merely makes all records of a node branch once more.
-   The deeper a tree, the smaller the chance of a pair to meet in it, so the trees needed for the target recall
-   follow from the depth that was reached, and further trees are walked until there are enough.
+   The deeper a tree, the smaller the chance of a pair to meet in it: the number of trees follows from the
+   target recall at the last depth, whatever depth a collection needs.
 3. Records are shuffled once, to their leaves.  Small leaves are compared exhaustively by sketch.  Leaves that
    are still large at the last depth hold records that agree in all tokens of a path, so most of their pairs are
    results; they are cut into blocks, and each task compares two blocks: no task ever holds such a group.
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from .canonical import Canonicalizer
 from .keyfilter import KeyFilter, key_filter
 
 COORDINATES, BINS = 64, 128
+#: A filter that lets every key through.
+EVERY = KeyFilter(np.full(1, np.iinfo(np.uint64).max, np.uint64))
 _ROUNDS = 8  # one-permutation hashings of 16 bins each
 
 
@@ -38,15 +41,16 @@ _ROUNDS = 8  # one-permutation hashings of 16 bins each
 class JoinSettings:
     """``branches`` branches a node: at Jaccard j a pair that meets in the rest of a tree with probability q meets
     with 1-(1-j*q)**branches one level higher.  ``recall`` is the share of the pairs at the threshold itself that
-    the trees are to bring together; pairs above it are missed far less often."""
+    the trees bring together at the last depth; pairs above it, and in smaller nodes, are missed far less often."""
 
     threshold: float = 0.5
-    recall: float = 0.95
+    recall: float = 0.97
     branches: int = 2
     leaf_size: int = 64
-    max_depth: int = 7
-    #: Share of the 128 sketch bits that must agree: that expected at the threshold, less 2.5 standard deviations.
-    bits: int = 84
+    #: All nodes of the first depth branch on, whatever their size; those of the last depth are leaves.
+    max_depth: int = 4
+    #: Share of the 128 sketch bits that must agree: that expected at the threshold, less two standard deviations.
+    bits: int = 86
     #: Width of the word shingles.
     width: int = 3
     #: Large nodes of one depth that a filter may hold; beyond, the walk goes by joins.
@@ -59,10 +63,10 @@ class JoinSettings:
             q = 1 - (1 - similarity * q) ** self.branches
         return q
 
-    def trees(self, depth: int) -> int:
-        """Trees of that depth that bring the target share of the pairs at the threshold together."""
-        q = self.meets(depth, self.threshold)
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - q))) if q < 1 else 1
+    @property
+    def trees(self) -> int:
+        """Trees that bring the target share of the pairs at the threshold together at the last depth."""
+        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - self.meets(self.max_depth, self.threshold))))
 
 
 def _triple_sets(texts: pa.Array, width: int):
@@ -134,9 +138,9 @@ def sketch_texts(df: DataFrame, key: str, column: str, width: int) -> DataFrame:
     return rows.withColumn("stored", F.xxhash64("text")).mapInArrow(run, f"`{key}` string, set_id binary, coordinates binary, bits binary, stored bigint")
 
 
-def _roots(trees: range) -> np.ndarray:
-    """The root nodes of the trees of these numbers."""
-    return V.mix(np.array(trees, dtype=np.uint64) + np.uint64(77))
+def _roots(s: JoinSettings) -> np.ndarray:
+    """The root nodes of the trees."""
+    return V.mix(np.arange(s.trees, dtype=np.uint64) + np.uint64(77))
 
 
 def _children(coordinates: np.ndarray, nodes: np.ndarray, rows: np.ndarray, depth: int, branches: int) -> np.ndarray:
@@ -152,15 +156,15 @@ def _children(coordinates: np.ndarray, nodes: np.ndarray, rows: np.ndarray, dept
     return np.concatenate(out)
 
 
-def _paths(coordinates: np.ndarray, s: JoinSettings, trees: range, large: list[KeyFilter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _paths(coordinates: np.ndarray, s: JoinSettings, large: list[KeyFilter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Walks the trees with the records of one batch: (nodes, records, is at last depth).
 
     ``large[k]`` says which nodes of depth k + 1 branch on; the nodes returned are those where a record stops.
     """
     n = len(coordinates)
     done_nodes, done_rows, done_last = [], [], []
-    nodes = np.repeat(_roots(trees), n)
-    rows = np.tile(np.arange(n), len(trees))
+    nodes = np.repeat(_roots(s), n)
+    rows = np.tile(np.arange(n), s.trees)
     for depth in range(len(large) + 1):
         nodes, rows = _children(coordinates, nodes, rows, depth, s.branches), np.tile(rows, s.branches)
         goes_on = large[depth].maybe(nodes.view(np.int64)) if depth < len(large) else np.zeros(len(nodes), bool)
@@ -179,13 +183,13 @@ def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype).reshape(len(values), width)
 
 
-def _node_counts(sets: DataFrame, s: JoinSettings, trees: range, large: list[KeyFilter]) -> DataFrame:
+def _node_counts(sets: DataFrame, s: JoinSettings, large: list[KeyFilter]) -> DataFrame:
     """(node, records) of the nodes at depth len(large) + 1."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                nodes, _, last = _paths(_matrix(batch.column(0), np.uint16, COORDINATES), s, trees, large)
+                nodes, _, last = _paths(_matrix(batch.column(0), np.uint16, COORDINATES), s, large)
                 found, counts = np.unique(nodes[last], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int32))], ["node", "records"])
 
@@ -193,13 +197,13 @@ def _node_counts(sets: DataFrame, s: JoinSettings, trees: range, large: list[Key
     return per_batch.groupBy("node").agg(F.sum("records").alias("records"))
 
 
-def _leaves(sets: DataFrame, s: JoinSettings, trees: range, large: list[KeyFilter], shared: list[KeyFilter]) -> DataFrame:
+def _leaves(sets: DataFrame, s: JoinSettings, large: list[KeyFilter], shared: list[KeyFilter]) -> DataFrame:
     """(node, id, bits_a, bits_b): each record at each of its leaves that other records may share."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                nodes, rows, _ = _paths(_matrix(batch.column(1), np.uint16, COORDINATES), s, trees, large)
+                nodes, rows, _ = _paths(_matrix(batch.column(1), np.uint16, COORDINATES), s, large)
                 met = np.zeros(len(nodes), bool)
                 for level in shared:
                     met |= level.maybe(nodes.view(np.int64))
@@ -274,14 +278,13 @@ def _compare_blocks(bits: int):
     return run
 
 
-def _counted(sets: DataFrame, s: JoinSettings, trees: range) -> tuple[DataFrame, DataFrame | None, int] | None:
-    """(leaves, counts of the last depth or None, depth reached) of the trees of these numbers; None if there are
-    more large nodes than a filter can hold."""
-    large: list[KeyFilter] = []
+def _counted(sets: DataFrame, s: JoinSettings) -> tuple[DataFrame, DataFrame | None] | None:
+    """(leaves, counts of the last depth or None); None if there are more large nodes than a filter can hold."""
+    large = [EVERY]  # small nodes of the first depth hold records that share a single token, hardly a pair among them
     shared: list[KeyFilter] = []
     while True:
         # nodes of one record go no further: they are dropped here and never reach the shuffle of the leaves
-        counts = written(_node_counts(sets, s, trees, large).where("records > 1"), "nodes")
+        counts = written(_node_counts(sets, s, large).where("records > 1"), "nodes")
         last = len(large) >= s.max_depth - 1
         ends = counts if last else counts.where(F.col("records") <= s.leaf_size)
         sizes = counts.agg(F.count_if(F.col("records") > s.leaf_size).alias("big"), F.count(F.lit(1)).alias("all")).first()
@@ -290,11 +293,11 @@ def _counted(sets: DataFrame, s: JoinSettings, trees: range) -> tuple[DataFrame,
         # a full filter of the ends only lets more rows into the shuffle, where they meet nobody
         shared.append(key_filter(ends.select("node"), "node", sizes["all"] if last else sizes["all"] - sizes["big"]))
         if last or not sizes["big"]:
-            return _leaves(sets, s, trees, large, shared), counts if last else None, len(large) + 1
+            return _leaves(sets, s, large, shared), counts if last else None
         large.append(key_filter(counts.where(F.col("records") > s.leaf_size).select("node"), "node", sizes["big"]))
 
 
-def _walked(sets: DataFrame, s: JoinSettings, trees: range) -> tuple[DataFrame, DataFrame | None, int]:
+def _walked(sets: DataFrame, s: JoinSettings) -> tuple[DataFrame, DataFrame | None]:
     """The same leaves by joins: at each depth, records meet the size of their node in a shuffle.
 
     For collections whose large nodes are too many for a filter.  A node of many records is a hot key of the
@@ -309,7 +312,7 @@ def _walked(sets: DataFrame, s: JoinSettings, trees: range) -> tuple[DataFrame,
                 coordinates = _matrix(batch.column(2), np.uint16, COORDINATES)
                 rows = np.arange(batch.num_rows)
                 if depth == 0:
-                    nodes, rows = np.repeat(_roots(trees), len(rows)), np.tile(rows, len(trees))
+                    nodes, rows = np.repeat(_roots(s), len(rows)), np.tile(rows, s.trees)
                 else:
                     nodes = np.asarray(batch.column(0)).view(np.uint64)
                 nodes, rows = _children(coordinates, nodes, rows, depth, s.branches), np.tile(rows, s.branches)
@@ -325,13 +328,15 @@ def _walked(sets: DataFrame, s: JoinSettings, trees: range) -> tuple[DataFrame,
     for depth in range(s.max_depth):
         now = written(now.mapInArrow(step(depth), schema), "walk")
         last = depth == s.max_depth - 1
+        if depth == 0:
+            continue
         counts = now.groupBy("node").agg(F.count(F.lit(1)).alias("records")).where("records > 1")
         met = now.join(counts, "node")
         ends = met if last else met.where(F.col("records") <= s.leaf_size)
         ends = ends.mapInArrow(_unpacked, "node bigint, id bigint, bits_a bigint, bits_b bigint")
         leaves = ends if leaves is None else leaves.unionByName(ends)
         now = met.where(F.col("records") > s.leaf_size).select("node", "id", "coordinates", "bits")
-    return leaves, written(counts, "nodes"), s.max_depth
+    return leaves, written(counts, "nodes")
 
 
 def _unpacked(batches):
@@ -343,18 +348,7 @@ def _unpacked(batches):
 
 def candidate_pairs(sets: DataFrame, s: JoinSettings, block: int = 8192) -> DataFrame:
     """(id_a, id_b) of sets whose sketches agree, found through the trees; ``sets`` has id, coordinates, bits."""
-    walked, found, depth = 0, None, 1
-    while walked < s.trees(depth):
-        trees = range(walked, s.trees(depth))
-        leaves, counts, reached = _counted(sets, s, trees) or _walked(sets, s, trees)
-        pairs = _compared(leaves, counts, s, block)
-        found = pairs if found is None else found.unionByName(pairs)
-        walked, depth = trees.stop, max(depth, reached)
-    return found.distinct()
-
-
-def _compared(leaves: DataFrame, counts: DataFrame | None, s: JoinSettings, block: int) -> DataFrame:
-    """(id_a, id_b) of the records of each leaf whose sketches agree."""
+    leaves, counts = _counted(sets, s) or _walked(sets, s)
     small, hot = leaves, None
     if counts is not None:
         # leaves of the last depth that hold more than a block of records go through block against block
@@ -373,7 +367,7 @@ def _compared(leaves: DataFrame, counts: DataFrame | None, s: JoinSettings, bloc
             F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"), "id", "bits_a", "bits_b",
         )
         found = found.unionByName(pairs.groupBy("node", "first", "second").applyInArrow(_compare_blocks(s.bits), "id_a bigint, id_b bigint"))
-    return found
+    return found.distinct()
 
 
 #: Bytes of a stored shingle hash, which has 44 bits.
@@ -402,20 +396,21 @@ def _exact_sets(df: DataFrame, key: str, column: str, width: int, wanted: KeyFil
 
 
 def _jaccard(batches):
-    """Adds the exact similarity of two gram columns."""
+    """Adds the exact similarity of two gram columns; the pairs of some thousand rows are compared in one sort."""
 
-    def grams(raw: bytes) -> np.ndarray:
-        rows = np.frombuffer(raw, np.uint8).reshape(-1, _GRAM)
-        return np.pad(rows, ((0, 0), (0, 8 - _GRAM))).view(np.uint64).reshape(-1)
+    def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _GRAM)
+        return np.pad(rows, ((0, 0), (0, 8 - _GRAM))).view(np.uint64).reshape(-1), pc.binary_length(column).to_numpy() // _GRAM
 
     for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        out = np.zeros(len(a))
-        for i, (x, y) in enumerate(zip(a, b)):
-            x, y = grams(x), grams(y)
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            out[i] = common / (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["id_a", "id_b", "similarity"])
+        for first in range(0, batch.num_rows, 4096):
+            part = batch.slice(first, 4096)
+            (a, na), (b, nb) = grams(part.column(2)), grams(part.column(3))
+            pair = np.arange(part.num_rows, dtype=np.uint64) << np.uint64(44)
+            both = np.sort(np.concatenate([a | np.repeat(pair, na), b | np.repeat(pair, nb)]))
+            same = both[1:][both[1:] == both[:-1]]
+            common = np.bincount((same >> np.uint64(44)).astype(np.int64), minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(common / (na + nb - common))], ["id_a", "id_b", "similarity"])
 
 
 @dataclass
