@@ -105,13 +105,13 @@ def split_oversized(df: DataFrame, key: str = "chunk_id", column: str = "text",
 
     ``start`` and ``end`` count characters in the stored text; ``text[start:end]`` is the piece, which begins
     with the last ``overlap`` characters before its own part.  A null limit stands for 800, a null overlap for
-    120; a limit below one counts as one, a negative overlap as none, and an overlap above half of the limit
-    as half of it.  A text that fits, an empty one too, is its own only piece; a null text has no piece.
+    120; a limit below one counts as one, a negative overlap as none, and an overlap as large as the limit or
+    larger as one character less than it, so that each piece brings a new one.  A text that fits, an empty one too, is its own only piece; a null text has no piece.
     Rows equal in key, text, limit and overlap count once.
     """
     size = F.greatest(F.coalesce(F.col(limit), F.lit(DEFAULT_LIMIT)), F.lit(1)).cast("int")
     rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).cast("string").alias("text"), size.alias("limit"), F.col(overlap).alias("overlap"))
-    rows = rows.withColumn("overlap", F.least(F.greatest(F.coalesce("overlap", F.lit(DEFAULT_OVERLAP)), F.lit(0)), F.floor(F.col("limit") / 2)).cast("int"))
+    rows = rows.withColumn("overlap", F.least(F.greatest(F.coalesce("overlap", F.lit(DEFAULT_OVERLAP)), F.lit(0)), F.col("limit") - 1).cast("int"))
     long = rows.where("length(text) > limit")
     fits = rows.where("length(text) <= limit").select("key", "text").distinct()
     fits = fits.select("key", F.lit(1).alias("piece"), F.lit(1).alias("pieces"), F.lit(0).alias("start"), F.length("text").alias("end"), "text")

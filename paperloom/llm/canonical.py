@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
-from hashlib import blake2b
+from hashlib import md5
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 # --- fixed values: letters of other alphabets that print like a Latin letter -------------------------
 LOOK_ALIKES = {
     # Cyrillic
@@ -151,7 +153,7 @@ def text_keys(df: DataFrame, key: str = "chunk_id", column: str = "text") -> Dat
     """
 
     def digest(values: pa.Array) -> pa.Array:
-        return pa.array([blake2b(v.as_buffer(), digest_size=16).digest() for v in values], pa.binary())
+        return pa.array([md5(v.as_buffer(), usedforsecurity=False).digest() for v in values], pa.binary())
 
     def run(batches):
         one_form = Canonicalizer()
@@ -169,29 +171,39 @@ def text_keys(df: DataFrame, key: str = "chunk_id", column: str = "text") -> Dat
     return rows.mapInArrow(run, f"`{key}` string, form binary, stored binary")
 
 
-#: Records stored alike take part in all pairs up to this number; of more, the first speaks for them.
+#: Exact copies of a stored text take part in all pairs up to this number; of more, the first speaks for them.
 EXPANDED = 200
+#: Records of one form that one task pairs with as many others.
+PAIRED = 2000
 
 
 def look_alike_pairs(df: DataFrame, key: str = "chunk_id", column: str = "text", expanded: int = EXPANDED) -> DataFrame:
     """(key_a, key_b): records whose texts differ as stored and look the same in print; the smaller key first.
 
-    Only forms that were stored in at least two ways reach the self-join, so its work is that of its result.
-    Repeated rows count once; null keys and null texts take part in no pair.  Where more than ``expanded`` records
-    hold one text as stored, the first of them speaks for all (``form_classes`` lists the members).
+    Only forms that were stored in at least two ways reach the self-join, so its work is that of its result; a form
+    of very many records goes block against block.  Repeated rows count once; null keys and null texts take part in
+    no pair.  Every two different stored texts of a form are paired.  Where more than ``expanded`` records hold one
+    text exactly as stored, the first of them speaks for its copies (``form_classes`` gives each record its copies).
     """
-    rows = text_keys(df, key, column).distinct()
+    rows = written(text_keys(df, key, column).distinct(), "text-keys")
     several = rows.groupBy("form").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low < high").select("form")
-    kept = rows.join(several, "form", "left_semi")
+    kept = written(rows.join(several, "form", "left_semi"), "look-alikes")
     sizes = kept.groupBy("form", "stored").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("head"))
-    kept = kept.join(sizes, ["form", "stored"]).where((F.col("n") <= expanded) | (F.col(key) == F.col("head")))
-    a, b = (kept.select("form", F.col(key).alias(f"{key}_{x}"), F.col("stored").alias(f"stored_{x}")) for x in "ab")
-    return a.join(b, "form").where(f"`{key}_a` < `{key}_b` AND stored_a <> stored_b").select(f"{key}_a", f"{key}_b").distinct()
+    kept = kept.join(sizes, ["form", "stored"]).where((F.col("n") <= expanded) | (F.col(key) == F.col("head"))).select("form", "stored", key)
+    blocks = kept.groupBy("form").agg(F.ceil(F.count(F.lit(1)) / PAIRED).cast("int").alias("blocks"))
+    kept = kept.join(blocks, "form")
+    a, b = (kept.select("form", F.col(key).alias(f"{key}_{x}"), F.col("stored").alias(f"stored_{x}"), "blocks") for x in "ab")
+    a = a.withColumn("block", F.pmod(F.xxhash64(f"{key}_a"), F.col("blocks").cast("bigint")).cast("int")).drop("blocks")
+    b = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return a.join(b, ["form", "block"]).where(f"`{key}_a` < `{key}_b` AND stored_a <> stored_b").select(f"{key}_a", f"{key}_b").distinct()
 
 
 def form_classes(df: DataFrame, key: str = "chunk_id", column: str = "text") -> DataFrame:
-    """(key, form_id, stored_forms, records): one row per record with the digest of its one form, in how many
-    ways that form is stored and in how many records.  Repeated rows count once."""
-    rows = text_keys(df, key, column).distinct()
+    """(key, form_id, stored_id, stored_forms, records, copies): one row per record and text, with the digests of its
+    one form and of its stored text, in how many ways that form is stored, in how many records, and how many records
+    hold the very same text.  Repeated rows count once."""
+    rows = written(text_keys(df, key, column).distinct(), "text-keys")
+    stored = rows.groupBy("form", "stored").agg(F.countDistinct(key).alias("copies"))
     sizes = rows.groupBy("form").agg(F.countDistinct("stored").alias("stored_forms"), F.countDistinct(key).alias("records"))
-    return rows.join(sizes, "form").select(key, F.lower(F.hex("form")).alias("form_id"), "stored_forms", "records").distinct()
+    out = rows.join(stored.join(sizes, "form"), ["form", "stored"])
+    return out.select(key, F.lower(F.hex("form")).alias("form_id"), F.lower(F.hex("stored")).alias("stored_id"), "stored_forms", "records", "copies")

@@ -19,7 +19,8 @@ from . import vectext as V
 
 RUN = 13
 _STRETCH = 256
-_TABLE_BITS = 20
+#: Words of test items searched for at once, and cells of the shift table for each of them.
+BLOCK_WORDS, CELLS = 200_000, 64
 
 
 def _block(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -46,9 +47,10 @@ class Patterns:
         items = docs[at]
         suffix, prefix = _block(words[:, -2], words[:, -1]), _block(words[:, 0], words[:, 1])
         order = np.argsort(suffix, kind="stable")
-        shift = np.full(1 << _TABLE_BITS, run - 1, np.uint8)
+        # sparse enough for long jumps however many patterns there are
+        shift = np.full(1 << max(16, int(CELLS * len(items)).bit_length()), run - 1, np.uint8)
         for end in range(1, run):
-            cell = _block(words[:, end - 1], words[:, end]) & np.uint64((1 << _TABLE_BITS) - 1)
+            cell = _block(words[:, end - 1], words[:, end]) & np.uint64(len(shift) - 1)
             np.minimum.at(shift, cell.astype(np.int64), np.uint8(run - 1 - end))
         return cls(words[order], items[order], suffix[order], prefix[order], shift)
 
@@ -67,7 +69,7 @@ class Patterns:
         found = []
         while len(at):
             blocks = _block(hashes[at - 1], hashes[at])
-            jump = self.shift[(blocks & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)]
+            jump = self.shift[(blocks & np.uint64(len(self.shift) - 1)).astype(np.int64)]
             here = jump == 0
             if here.any():
                 found.append(np.stack([at[here], blocks[here].view(np.int64)], axis=1))
@@ -90,20 +92,20 @@ class Patterns:
         return where, pattern
 
 
-def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, doc_id: str = "doc_id", item_id: str = "item_id", column: str = "text", block_items: int = 5000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, doc_id: str = "doc_id", item_id: str = "item_id", column: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, first_word, runs): one row for each document and test item that share ``run`` words in a
     row; first_word is the position of the first such run in the document, runs how many of its runs match.
 
     Words are runs of letters or digits in lower case, whatever stands between them.  Null and short texts match
-    nothing; null ids are kept as null.  Test items are sent to the tasks in blocks of ``block_items`` rows, so
-    any number of them can be searched; the corpus is read once for each block.
+    nothing; null ids are kept as null.  Test items are sent to the tasks in blocks of about ``block_words`` words,
+    so any number of them, and of any length, can be searched; the corpus is read once for each block.
     """
     ids = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}"
     rows = docs.where(F.col(column).isNotNull()).select(doc_id, F.col(column).cast("string").alias("text"))
     out = None
     listed = items.where(F.col(column).isNotNull()).select(item_id, column).distinct()
-    total = listed.count()
-    blocks = max(1, -(-total // block_items))
+    total = listed.agg(F.coalesce(F.sum(F.regexp_count(F.col(column), F.lit(r"[\p{L}\p{N}]+"))), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // block_words))
     for block in range(blocks):
         part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64(item_id, column), F.lit(blocks)) == block)
         table = part.toArrow()

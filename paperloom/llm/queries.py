@@ -57,7 +57,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, form_id, stored_forms, records): one row per chunk with the class of its one form."""
+    """(chunk_id, form_id, stored_id, stored_forms, records, copies): each chunk with the classes of its one form and of its stored text."""
     return canonical.form_classes(read_table(spark, sf_dir, "chunk"))
 
 
@@ -135,6 +135,17 @@ SELECT source, line FROM k JOIN s USING (source) WHERE c >= 8 AND 10 * c >= n"""
     "p5_found": f"""
 WITH c AS (SELECT DISTINCT chunk_id, text AS stored, {_FORM} AS form FROM chunk WHERE chunk_id IS NOT NULL AND text IS NOT NULL)
 SELECT DISTINCT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM c a JOIN c b USING (form) WHERE a.chunk_id < b.chunk_id AND a.stored <> b.stored""",
+    "p5_forms": f"""
+WITH c AS (SELECT DISTINCT chunk_id, md5(text) AS stored_id, md5({_FORM}) AS form_id FROM chunk WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT form_id, stored_id, count(DISTINCT chunk_id) AS copies FROM c GROUP BY form_id, stored_id),
+f AS (SELECT form_id, count(DISTINCT stored_id) AS stored_forms, count(DISTINCT chunk_id) AS records FROM c GROUP BY form_id)
+SELECT chunk_id, form_id, stored_id, stored_forms, records, copies FROM c JOIN s USING (form_id, stored_id) JOIN f USING (form_id)""",
+    "p7_report": f"""
+WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k+12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13)),
+dw AS (SELECT doc_id, array_to_string(w[k:k+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13))
+SELECT item_id, count(DISTINCT doc_id) AS documents, count(*) AS runs FROM dw JOIN iw USING (g) GROUP BY item_id""",
     "p7_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text IS NOT NULL),

@@ -38,6 +38,18 @@ def test_split_cases(spark):
     assert sum(map(len, got["c"])) == 801 + 120 and all(len(t) <= 10 for t in got[None])
 
 
+def test_overlaps_up_to_the_limit(spark):
+    text = "One two three. Four five six, seven eight. " * 3
+    df = spark.createDataFrame([("a", text, 20, 19), ("b", text, 20, 15), ("c", text, 20, 99)], "chunk_id string, text string, chunk_size int, chunk_overlap int")
+    got = defaultdict(list)
+    for r in sorted(bisect_split.split_oversized(df).collect(), key=lambda r: r["piece"]):
+        got[r["chunk_id"]].append((r["start"], r["end"], r["text"]))
+    for key, overlap in (("a", 19), ("b", 15), ("c", 19)):
+        pieces = got[key]
+        assert pieces[-1][1] == len(text) and all(len(t) <= 20 and t == text[a:b] for a, b, t in pieces)
+        assert all(y[0] == max(0, x[1] - overlap) and y[1] > x[1] for x, y in zip(pieces, pieces[1:]))
+
+
 def comparable(line):
     return re.sub(r"[0-9]+", "#", re.sub(r"[ \t\r]+", " ", line.lower()).strip(" "))
 
@@ -88,7 +100,7 @@ def test_leaks_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     it = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(3))
     assert {(r["doc_id"], r["item_id"]) for r in leak_scan.leaks(df, it).collect()} == want and want
-    assert {(r["doc_id"], r["item_id"]) for r in leak_scan.leaks(df, it, block_items=4).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in leak_scan.leaks(df, it, block_words=80).collect()} == want
     assert leak_scan.leaks(df, it.limit(0)).count() == leak_scan.leaks(df.limit(0), it).count() == 0
 
 
