@@ -1,10 +1,11 @@
 """Per-document text statistics and structural profiles (problem 6).
 
-Every line of a page becomes two distributions, one over character classes and one over kinds of words (function
-words, short, middle, long and run-together ones).  Jensen-Shannon divergence to the prose profiles of five
-languages and to the profiles of unreadable text, together with basic counts (list markers, cell separators,
-trailing page numbers), assigns each line its nearest structural profile; a page takes the profile that most of
-its lines have.  Lines are worked on by the slice in NumPy, never one at a time.
+Every line of a page becomes three distributions: over character classes, over kinds of words (function words, short,
+middle, long and run-together ones), and, from basic counts, over the marks of layout that it carries (list markers
+and entries in a row, leaders before a trailing number, cells, unreadable characters, or none of them).  The
+Jensen-Shannon divergence to the profiles of prose in five languages, of list entries, contents entries, table rows
+and of four kinds of unreadable text assigns each line its nearest structural profile; a page takes the profile that
+most of its lines have.  Lines are worked on by the slice in NumPy, never one at a time.
 """
 
 from __future__ import annotations
@@ -34,10 +35,17 @@ PROFILES = {
     "letters": ((0.190, 0.650, 0.0, 0.0, 0.0, 0.0, 0.0, 0.155, 0.0, 0.0, 0.0, 0.0, 0.0), (0.02, 0.26, 0.44, 0.28, 0.00)),
     "run-together": ((0.370, 0.580, 0.0, 0.0, 0.0, 0.0, 0.0, 0.005, 0.0, 0.005, 0.010, 0.030, 0.0), (0.00, 0.00, 0.02, 0.08, 0.90)),
     "mojibake": ((0.0, 0.0, 0.010, 0.560, 0.0, 0.020, 0.0, 0.120, 0.0, 0.0, 0.0, 0.190, 0.100), (0.00, 0.55, 0.35, 0.10, 0.00)),
+    "list": ((0.270, 0.430, 0.045, 0.005, 0.0, 0.0, 0.070, 0.120, 0.008, 0.024, 0.026, 0.0, 0.0), (0.10, 0.20, 0.50, 0.20, 0.00)),
+    "contents": ((0.157, 0.246, 0.008, 0.0, 0.0, 0.0, 0.212, 0.120, 0.256, 0.001, 0.0, 0.0, 0.0), (0.10, 0.45, 0.30, 0.15, 0.00)),
+    "table": ((0.157, 0.261, 0.058, 0.004, 0.0, 0.0, 0.232, 0.174, 0.041, 0.020, 0.029, 0.025, 0.0), (0.05, 0.55, 0.30, 0.10, 0.00)),
 }
+#: Shares of the layout marks (none, list, contents, table, unreadable) that lines of each kind carry.
+LAYOUTS = ((1.0, 0.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 0.0, 1.0))
+#: Weights of the divergences of characters, words and layout in the choice of the nearest profile.
+WEIGHTS = (0.12, 0.08, 0.8)
 # --- end of fixed values ------------------------------------------------------------------------------
 
-UNREADABLE = ("signs", "letters", "run-together", "mojibake")
+PROSE, UNREADABLE, STRUCTURED = slice(0, 5), slice(5, 9), (9, 10, 11)
 #: Bits of divergence from the nearest prose profile from which a line without function words is unreadable.
 FAR = 0.06
 
@@ -77,7 +85,7 @@ def _profiles() -> tuple[tuple[str, ...], np.ndarray, np.ndarray]:
     names = tuple(PROFILES)
     chars = np.array([PROFILES[n][0] for n in names])
     words = np.array([PROFILES[n][1] for n in names])
-    return names, chars / chars.sum(axis=1, keepdims=True), words / words.sum(axis=1, keepdims=True)
+    return names, (chars / chars.sum(axis=1, keepdims=True)).astype(np.float32), (words / words.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def entropy(rows: np.ndarray) -> np.ndarray:
@@ -181,14 +189,22 @@ def read_lines(texts: pa.Array, function_words: np.ndarray) -> Lines:
     first_of_page = np.searchsorted(pages, pages, side="left")
     last_of_page = np.searchsorted(pages, pages, side="right")
     from_top, from_bottom = np.arange(lines) - first_of_page, last_of_page - 1 - np.arange(lines)
-    names, char_profiles, word_profiles = _profiles()
-    char_shares = chars / np.maximum(chars.sum(axis=1, keepdims=True), 1)
+    _, char_profiles, word_profiles = _profiles()
+    char_shares = (chars / np.maximum(chars.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     word_total = words.sum(axis=1)
-    word_shares = words / np.maximum(word_total[:, None], 1)
+    word_shares = (words / np.maximum(word_total[:, None], 1)).astype(np.float32)
     of_chars, of_words = entropy(char_shares), entropy(word_shares)
-    apart = np.stack([0.6 * divergence(char_shares, c, of_chars) + 0.4 * np.where(word_total > 0, divergence(word_shares, w, of_words), 1.0) for c, w in zip(char_profiles, word_profiles)], axis=1) if lines else np.zeros((0, len(names)))
-    prose = apart[:, :5].min(axis=1) if lines else np.zeros(0)
-    junk = apart[:, 5:].min(axis=1) if lines else np.zeros(0)
+
+    def apart(k: int, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Divergences of the characters and of the words of lines to a profile; lines without words are far from any."""
+        return divergence(char_shares[at], char_profiles[k], of_chars[at]), np.where(word_total[at] > 0, divergence(word_shares[at], word_profiles[k], of_words[at]), 1.0)
+
+    def nearest(which: slice) -> np.ndarray:
+        if not lines:
+            return np.zeros(0)
+        return np.min([0.6 * c + 0.4 * w for c, w in (apart(k) for k in range(which.start, which.stop))], axis=0)
+
+    prose, junk = nearest(PROSE), nearest(UNREADABLE)
     last = codes[ends - 1] if lines else np.zeros(0, np.uint32)
     full_stop = np.isin(last, [ord(c) for c in ".!?؟。:"])
     # basic counts
@@ -221,12 +237,24 @@ def read_lines(texts: pa.Array, function_words: np.ndarray) -> Lines:
     lone = (word_chars <= 1) & (ends - starts <= 2)
     unreadable |= _in_rows(lone, pages, 5)
     unreadable &= _in_rows(lone, pages, 5) | (char_shares[:, 10:].sum(axis=1) > 0.25) | _in_rows(unreadable, pages, 3) | _whole_page(unreadable, pages)
+    # the marks of layout that a line carries; those that say more weigh more
+    listed = marker & ~(last == ord(".")) & ~digits_only
+    marks = np.zeros((lines, len(KINDS)), np.float32)
+    marks[:, 1] = 8 * listed + 1 * (bare & ~unreadable)
+    marks[:, 2] = 4 * (contents & ~marker)
+    marks[:, 3] = 2 * (table & ~(bare & marker & ~listed))
+    marks[:, 4] = np.where(char_shares[:, 11:].sum(axis=1) > 0.2, 32, 0.5) * unreadable
     out = np.zeros(lines, np.int8)
-    out[bare & ~unreadable] = 1
-    out[marker & ~(last == ord(".")) & ~digits_only] = 1
-    out[contents & (out <= 1) & ~marker] = 2
-    out[table & ((out == 0) | bare & (out == 1) & ~marker)] = 3
-    out[unreadable & ((out == 0) | (char_shares[:, 11:].sum(axis=1) > 0.2))] = 4
+    at = np.flatnonzero(marks.any(axis=1))
+    if len(at):
+        layout = marks[at] / marks[at].sum(axis=1, keepdims=True)
+        of_layout = entropy(layout)
+        far = np.stack([WEIGHTS[2] * divergence(layout, np.array(x, np.float32), of_layout) for x in LAYOUTS], axis=1)
+        far[:, 0] += sum(WEIGHTS[:2]) * prose[at]
+        far[:, 4] += sum(WEIGHTS[:2]) * junk[at]
+        for kind, k in enumerate(STRUCTURED, 1):
+            far[:, kind] += sum(w * d for w, d in zip(WEIGHTS, apart(k, at)))
+        out[at] = far.argmin(axis=1)
     edge = np.minimum(from_top, from_bottom) <= 1
     third = codes[np.minimum(starts + 2, n - 1)] if lines else np.zeros(0, np.uint32)
     heading = ((initial >= 48) & (initial <= 57)) & ((second == 46) | (third == 46))

@@ -190,6 +190,15 @@ def test_page_profiles(spark):
     assert quality_stats.page_statistics(df.limit(0), common(spark)).count() == 0
 
 
+def test_divergence_decides_the_profile(monkeypatch):
+    """Each kind of line goes to its own profile; without divergences every line would be prose."""
+    text = "\n".join([*(f"- check of plan {i}" for i in range(4)), *(f"a{i} | {i} % | n/a" for i in range(4)), *("1.1 Plan ........ 12",) * 4, "{!<>}#^~|\\=%&*", "The lead of the site keeps the record in the hall of the group."])
+    words = quality_stats.word_keys([w for _, w in COMMON])
+    assert quality_stats.read_lines(pa.array([text]), words).kinds.tolist() == [1] * 4 + [3] * 4 + [2] * 4 + [4, 0]
+    monkeypatch.setattr(quality_stats, "divergence", lambda rows, *_: np.full(len(rows), 0.5))
+    assert not quality_stats.read_lines(pa.array([text]), words).kinds.any()
+
+
 def test_divergence():
     a, b = np.array([[0.5, 0.5, 0.0]]), np.array([0.0, 0.0, 1.0])
     assert np.isclose(quality_stats.divergence(a, b), 1.0) and np.isclose(quality_stats.divergence(a, a[0]), 0.0)
