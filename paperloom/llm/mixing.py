@@ -9,7 +9,7 @@ The gradient of a document is its size times a function of its membership alone,
 preconditioner used here the size cancels: documents of equal membership and cap have equal rates at every
 step.  They are therefore aggregated before the fit, and each step is one small Spark aggregate over membership
 groups, of which certain membership gives one per domain; only a vector of one number per domain visits the
-driver.
+driver.  Groups and rates are tables in the shared folder, rates are written anew every few steps.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,24 +40,35 @@ def word_size(column: str = "text") -> Column:
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(ranks: bytes):
     import base64
 
     import tiktoken
 
     # fixed value: the published split pattern of the byte-level vocabulary
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+
+#: Bytes of the largest rank file that is sent to the tasks.
+MAX_VOCABULARY = 16 << 20
 
 
 def token_sizes(df: DataFrame, vocabulary: str, column: str = "text", to: str = "size") -> DataFrame:
-    """Adds the number of tokens of a public byte-level vocabulary (path of its rank file); null counts zero."""
+    """Adds the number of tokens of a public byte-level vocabulary; null counts zero.
+
+    ``vocabulary`` is the path of its rank file, which the driver reads and sends to the tasks.
+    """
     kept = [c for c in df.columns if c != to]
+    with open(vocabulary, "rb") as file:
+        ranks = file.read(MAX_VOCABULARY + 1)
+    if len(ranks) > MAX_VOCABULARY:
+        raise ValueError(f"the vocabulary has more than {MAX_VOCABULARY} bytes")
+    sent = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        encoding = _encoding(vocabulary)
+        encoding = _encoding(sent.value)
         for batch in batches:
             texts = batch.column(kept.index(column)).to_pylist()
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in texts]
@@ -91,34 +103,38 @@ class DomainClassifier:
             flat = docs * BUCKETS + (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
             cells, counts = np.unique(flat, return_counts=True)
             score = np.tile(self.prior, (b - a, 1))
-            np.add.at(score, cells // BUCKETS, counts[:, None] * self.logs[:, cells % BUCKETS].T)
+            step = max(1, (1 << 22) // max(1, len(self.prior)))  # cells x domains of one step stay small
+            for first in range(0, len(cells), step):
+                part, n = cells[first : first + step], counts[first : first + step]
+                np.add.at(score, part // BUCKETS, n[:, None] * self.logs[:, part % BUCKETS].T)
             score -= score.max(axis=1, keepdims=True)
             score = np.exp(score)
             out[a:b] = score / score.sum(axis=1, keepdims=True)
         return out
 
 
-def hashed_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
-    """About the first ``rows`` rows by a hash of some columns.
+def hashed_sample(df: DataFrame, rows: int, total: int, *columns: str) -> DataFrame:
+    """About the first ``rows`` rows of ``total`` by a hash of some columns.
 
     A hash threshold leaves a small multiple of them first, so that the final top-k merges few rows whatever
     the number of partitions.
     """
-    total = df.count()
     hashed = F.xxhash64(*columns)
     if total > 3 * rows:
         df = df.where(F.pmod(hashed, F.lit(1 << 40)) < int((1 << 40) * 3 * rows / total))
     return df.orderBy(hashed, *columns).limit(rows)
 
 
-def train_classifier(docs: DataFrame, domains: list[str], rows: int = TRAIN_ROWS, source: str = "source", column: str = "text") -> DomainClassifier:
-    """Fits the classifier on at most ``rows`` labelled documents, chosen by a hash of their text.
+def train_classifier(docs: DataFrame, domains: list[str], rows: int = TRAIN_ROWS, source: str = "source", column: str = "text", total: int | None = None) -> DomainClassifier:
+    """Fits the classifier on at most ``rows`` labelled documents, chosen by a hash of their text; ``total`` is how
+    many labelled documents there are, if known.
 
     Word counts are summed by Spark; what reaches the driver is domains x buckets at most.
     """
     index = {d: i for i, d in enumerate(domains)}
-    labelled = docs.where(F.col(source).isin(domains) & F.col(column).isNotNull()).select(F.col(source).alias("source"), F.col(column).alias("text"))
-    sample = hashed_sample(labelled, rows, "text", "source")
+    labelled = docs.where(F.col(source).isNotNull() & F.col(column).isNotNull()).select(F.col(source).alias("source"), F.col(column).alias("text"))
+    labelled = labelled.join(_domain_table(docs, domains).select(F.col("domain_source").alias("source")), "source", "left_semi")
+    sample = written(hashed_sample(labelled, rows, labelled.count() if total is None else total, "text", "source"), "labelled-sample")
 
     def count(batches):
         for batch in batches:
@@ -140,101 +156,133 @@ def train_classifier(docs: DataFrame, domains: list[str], rows: int = TRAIN_ROWS
     return DomainClassifier(logs, np.log(prior / prior.sum()))
 
 
-def memberships(docs: DataFrame, domains: list[str], classifier: DomainClassifier | None, source: str = "source", column: str = "text") -> DataFrame:
-    """Adds ``member`` array<int>: membership of each domain in steps of 1/16, one entry per domain as
-    ``domain * 32 + steps``; a certain membership has a single entry of 16 steps.
+def _domain_table(docs: DataFrame, domains: list[str]) -> DataFrame:
+    """(domain_source, domain), to be sent to the tasks: at most MAX_DOMAINS rows, which ``_prepared`` checks."""
+    return F.broadcast(docs.sparkSession.createDataFrame(list(zip(domains, range(len(domains)))), "domain_source string, domain int"))
+
 
-    Documents of a target source are certain members of it.  Others get the classifier's posterior, or no
-    entry at all without a classifier.
+def memberships(docs: DataFrame, domains: list[str], caps: list[float], classifier: DomainClassifier, column: str = "text") -> DataFrame:
+    """(all columns but the text, own, member, cap) of each row of ``docs``, which has source and text.
+
+    ``member`` is array<int>: membership of each domain in sixteenths, one entry a domain as ``domain * 32 + steps``;
+    the steps of a row add up to 16, by largest remainders.  Documents of a target source are its certain members,
+    with a single entry (``own`` is true); others get the classifier's posterior.  ``cap`` is how often the
+    strictest of its domains allows the document to be used.
     """
-    known = F.create_map(*(x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(i)))) if domains else F.create_map().cast("map<string,int>")
-    rows = docs.withColumn("domain", F.try_element_at(known, F.col(source)))
-    certain = rows.where("domain IS NOT NULL").withColumn("member", F.array(F.col("domain") * 32 + STEPS)).drop("domain")
-    if classifier is None:
-        return certain
+    rows = docs.join(_domain_table(docs, domains), F.col("source") == F.col("domain_source"), "left").drop("domain_source")
     sent = docs.sparkSession.sparkContext.broadcast(classifier)
-    rest = rows.where("domain IS NULL").drop("domain")
-    names = rest.columns
+    names, kept = rows.columns, [c for c in rows.columns if c not in (column, "domain")]
+    most = np.array(caps, float)
 
     def run(batches):
         for batch in batches:
-            found = sent.value.posteriors(batch.column(names.index(column)))
-            steps = np.round(found * STEPS).astype(np.int64)
-            member = [(np.flatnonzero(row) * 32 + row[row > 0]).tolist() for row in steps]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(member, pa.list_(pa.int32()))], [*names, "member"])
-
-    schema = T.StructType([*rest.schema.fields, T.StructField("member", T.ArrayType(T.IntegerType()))])
-    return certain.unionByName(rest.mapInArrow(run, schema))
+            domain = batch.column(names.index("domain"))
+            own = np.asarray(pc.is_valid(domain))
+            first = np.asarray(pc.fill_null(domain, 0), np.int64)
+            entries, sizes, least = first * 32 + STEPS, np.ones(len(own), np.int64), most[first]
+            rest = np.flatnonzero(~own)
+            if len(rest):
+                steps = _in_steps(sent.value.posteriors(batch.column(names.index(column)).take(pa.array(rest))))
+                at, of = np.nonzero(steps)
+                sizes[rest] = np.bincount(at, minlength=len(rest))
+                least[rest] = np.where(steps > 0, most, np.inf).min(axis=1)
+                begin = np.r_[0, np.cumsum(sizes)]
+                out = np.zeros(begin[-1], np.int64)
+                out[begin[:-1][own]] = entries[own]
+                inside = np.arange(len(at)) - np.searchsorted(at, at)
+                out[begin[rest[at]] + inside] = of * 32 + steps[at, of]
+                entries = out
+            member = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(entries.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(own), member, pa.array(least)], [*kept, "own", "member", "cap"])
+
+    fields = [f for f in rows.schema.fields if f.name in kept]
+    schema = T.StructType([*fields, T.StructField("own", T.BooleanType()), T.StructField("member", T.ArrayType(T.IntegerType())), T.StructField("cap", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 @dataclass
 class FittedRates:
-    """``groups`` (member, cap, size, rate) and, per domain, the target, what the groups hold and what the rates reach."""
+    """``groups`` (own, member, cap, size, rate) and, per domain, the target, what the groups hold, what the rates
+    reach, and what of it comes from the domain's own documents."""
 
     groups: DataFrame
     targets: np.ndarray
     held: np.ndarray
     reached: np.ndarray
+    own: np.ndarray
     steps: int
 
 
-def fit_rates(groups: DataFrame, targets: np.ndarray, max_steps: int = 60, tolerance: float = 1e-9) -> FittedRates:
+#: Steps after which the rates are written anew, so that no step replays more than so many.
+REWRITTEN = 8
+
+
+def fit_rates(groups: DataFrame, targets: np.ndarray, max_steps: int = 60, tolerance: float = 1e-4) -> FittedRates:
     """Projected-gradient least squares: rates in [0, cap] with expected domain totals nearest to ``targets``.
 
-    ``groups`` has member, cap and size.  The error of a domain counts relative to its target.  Each step
-    replays the earlier ones inside the tasks from the vectors of totals, so no rate is ever stored or sent.
+    ``groups`` has own, member, cap and size.  The error of a domain counts relative to its target; the fit ends
+    when no total moves by more than ``tolerance`` of its target.  Steps since the rates were last written are
+    replayed inside the tasks from the vectors of totals.
     """
     n = len(targets)
     scale = np.where(targets > 0, targets, 1.0)
-    part = lambda x: (F.shiftright(x, 5), x.bitwiseAND(31) / F.lit(float(STEPS)))
-
-    def totals(history: list[np.ndarray]) -> np.ndarray:
-        rows = groups.withColumn("rate", rate(history))
-        entry = rows.select(F.explode("member").alias("m"), (F.col("size") * F.col("rate")).alias("amount"))
-        domain, share = part(F.col("m"))
-        table = entry.groupBy(domain.alias("d")).agg(F.sum(share * F.col("amount")).alias("v")).toArrow()
-        out = np.zeros(n)
-        out[table.column("d").to_numpy()] = table.column("v").to_numpy()
-        return out
-
-    def rate(history: list[np.ndarray]) -> Column:
-        if not history:
-            return F.lit(1.0)
-        sent = [h.tolist() for h in history]
-
-        @F.pandas_udf("double")
-        def replay(member, cap):
-            import pandas as pd
 
-            out = []
-            for entries, most in zip(member, cap):
-                entries = np.asarray(entries, np.int64)
-                d, p = entries >> 5, (entries & 31) / STEPS
-                r = min(1.0, most)
-                down = float((p * held_[d] / scale[d] ** 2).sum()) or 1.0
-                for y in sent:
-                    y = np.asarray(y)
-                    r = min(max(r - float((p * (y[d] - targets[d]) / scale[d] ** 2).sum()) / down, 0.0), float(most))
-                out.append(r)
-            return pd.Series(out, dtype="float64")
-
-        return replay("member", "cap")
-
-    held_ = totals([])
-    first = groups.select(F.explode("member").alias("m"), (F.col("size") * F.least(F.lit(1.0), F.col("cap"))).alias("amount"))
-    domain, share = part(F.col("m"))
-    table = first.groupBy(domain.alias("d")).agg(F.sum(share * F.col("amount")).alias("v")).toArrow()
-    now = np.zeros(n)
-    now[table.column("d").to_numpy()] = table.column("v").to_numpy()
+    def totals(rows: DataFrame, history: list[np.ndarray], held: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """What the groups reach by domain, and what of it is the domains' own."""
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    own, owner, d, p, size, rate = _replayed(batch, history, targets, scale, held)
+                    amount = p * (size * rate)[owner]
+                    mine = np.bincount(d, weights=amount * own[owner], minlength=n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.bincount(d, weights=amount, minlength=n)), pa.array(mine)], ["d", "v", "mine"])
+
+        table = rows.select("own", "member", "cap", "size", "rate").mapInArrow(run, "d bigint, v double, mine double").groupBy("d").agg(F.sum("v").alias("v"), F.sum("mine").alias("mine")).toArrow()
+        out = np.zeros((2, n))
+        out[:, table.column("d").to_numpy()] = table.column("v").to_numpy(), table.column("mine").to_numpy()
+        return out[0], out[1]
+
+    def rated(rows: DataFrame, history: list[np.ndarray], held: np.ndarray) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(_replayed(batch, history, targets, scale, held)[5])], ["own", "member", "cap", "size", "rate"])
+
+        return rows.select("own", "member", "cap", "size", "rate").mapInArrow(run, "own boolean, member array<int>, cap double, size bigint, rate double")
+
+    held, _ = totals(groups.withColumn("rate", F.lit(1.0)), [], None)
+    rows = groups.withColumn("rate", F.least(F.lit(1.0), F.col("cap")))
+    now, own = totals(rows, [], held)
     history: list[np.ndarray] = []
-    for _ in range(max_steps):
+    steps = 0
+    while steps < max_steps:
         history.append(now)
-        after = totals(history)
-        if np.all(np.abs(after - now) <= tolerance * scale):
-            now = after
-            break
+        steps += 1
+        after, own = totals(rows, history, held)
+        still = np.all(np.abs(after - now) <= tolerance * scale)
         now = after
-    return FittedRates(groups.withColumn("rate", rate(history)), targets, held_, now, len(history))
+        if still:
+            break
+        if len(history) == REWRITTEN:
+            rows, history = written(rated(rows, history, held), "rates"), []
+    return FittedRates(rated(rows, history, held), targets, held, now, own, steps)
+
+
+def _replayed(batch: pa.RecordBatch, history: list[np.ndarray], targets: np.ndarray, scale: np.ndarray, held: np.ndarray | None):
+    """(own, group of each entry, domain, share, size, rate) of the groups of a batch, after the steps of ``history``."""
+    own, cap, size, rate = (np.asarray(batch.column(k)) for k in (0, 2, 3, 4))
+    member = batch.column(1)
+    owner = np.asarray(pc.list_parent_indices(member), np.int64)
+    entries = np.asarray(pc.list_flatten(member), np.int64)
+    d, p = entries >> 5, (entries & 31) / STEPS
+    if history:
+        down = np.bincount(owner, weights=p * held[d] / scale[d] ** 2, minlength=len(rate))
+        down[down == 0] = 1.0
+        for totals in history:
+            slope = np.bincount(owner, weights=p * (totals[d] - targets[d]) / scale[d] ** 2, minlength=len(rate))
+            rate = np.clip(rate - slope / down, 0.0, cap)
+    return own, owner, d, p, size, rate
 
 
 def _prepared(docs: DataFrame, targets: DataFrame):
@@ -250,62 +298,97 @@ def _targets(listed: list[dict], total: float) -> np.ndarray:
     return total * weights / weights.sum() if weights.sum() > 0 else np.zeros(len(listed))
 
 
+@dataclass
+class Mixture:
+    """A fitted mixture: the targets in the order of the domains, the sizes aimed at, the fit, and the documents
+    (their columns but the text, own, member, cap)."""
+
+    listed: list[dict]
+    aim: np.ndarray
+    fit: FittedRates
+    members: DataFrame
+
+    @property
+    def domains(self) -> list[str]:
+        return [x["source"] for x in self.listed]
+
+
+def fitted_mixture(rows: DataFrame, listed: list[dict], train_rows: int = TRAIN_ROWS, grouped=None) -> Mixture:
+    """Classifies, aggregates and fits the documents of ``rows``, which has source, text and size.
+
+    The total to be mixed is the size of all rows of target sources.  ``grouped`` makes the table that is fitted
+    (own, member, cap, size) from the members, where rows are not to be fitted one by one.
+    """
+    domains, caps = [x["source"] for x in listed], [float(x["max_repeat"]) for x in listed]
+    labelled = rows.join(_domain_table(rows, domains), F.col("source") == F.col("domain_source"))
+    sizes = labelled.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t"), F.count("text").alias("n")).first()
+    classifier = train_classifier(rows, domains, train_rows, total=sizes["n"])
+    members = written(memberships(rows, domains, caps, classifier), "members")
+    table = members if grouped is None else grouped(members)
+    groups = written(table.groupBy("own", "member", "cap").agg(F.sum("size").cast("bigint").alias("size")), "membership-groups")
+    aim = _targets(listed, float(sizes["t"]))
+    return Mixture(listed, aim, fit_rates(groups, aim), members)
+
+
+REPORT = "source string, weight double, max_repeat int, target_share double, held double, target double, reached double, reached_share double, rate double, short boolean"
+
+
 def mixture_report(docs: DataFrame, targets: DataFrame, size: Column | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(source, weight, max_repeat, target_share, held, target, reached, reached_share, rate, short): the mixture by domain.
 
     The total T is what all documents of target sources hold; documents of other or no source join the
     mixture by their posterior, held and reached counting them by expected share.  A null text has size zero.
     """
-    listed, domains = _prepared(docs, targets)
-    rows = docs.select("source", "text", (size if size is not None else word_size()).alias("size"))
+    listed, _ = _prepared(docs, targets)
     spark = docs.sparkSession
-    if not domains:
-        return spark.createDataFrame([], "source string, weight double, max_repeat int, target_share double, held double, target double, reached double, reached_share double, rate double, short boolean")
-    classifier = train_classifier(rows, domains, train_rows)
-    caps = F.create_map(*(x for i, t in enumerate(listed) for x in (F.lit(i), F.lit(float(t["max_repeat"])))))
-    member = memberships(rows, domains, classifier)
-    # a document that belongs to several domains in part is used as often as the strictest of them allows
-    cap = F.array_min(F.transform("member", lambda m: F.element_at(caps, F.shiftright(m, 5))))
-    groups = member.where(F.size("member") > 0).select("member", cap.alias("cap"), "size").groupBy("member", "cap").agg(F.sum("size").alias("size"))
-    groups = written(groups, "membership-groups")
-    total = docs.where(F.col("source").isin(domains)).agg(F.coalesce(F.sum(size if size is not None else word_size()), F.lit(0)).alias("t")).first()["t"]
-    aim = _targets(listed, float(total))
-    fit = fit_rates(groups, aim)
+    if not listed:
+        return spark.createDataFrame([], REPORT)
+    found = fitted_mixture(docs.select("source", "text", (size if size is not None else word_size()).alias("size")), listed, train_rows)
+    fit, aim = found.fit, found.aim
     reached = fit.reached.sum() or 1.0
     out = [
-        (d, t["weight"], t["max_repeat"], float(aim[i] / (aim.sum() or 1.0)), float(fit.held[i]), float(aim[i]), float(fit.reached[i]), float(fit.reached[i] / reached), float(fit.reached[i] / fit.held[i]) if fit.held[i] else 0.0, bool(fit.reached[i] < aim[i] * (1 - 1e-6)))
-        for i, (d, t) in enumerate(zip(domains, listed))
+        (t["source"], t["weight"], t["max_repeat"], float(aim[i] / (aim.sum() or 1.0)), float(fit.held[i]), float(aim[i]), float(fit.reached[i]), float(fit.reached[i] / reached), float(fit.reached[i] / fit.held[i]) if fit.held[i] else 0.0, bool(fit.reached[i] < aim[i] * (1 - 1e-4)))
+        for i, t in enumerate(listed)
     ]
-    return spark.createDataFrame(out, "source string, weight double, max_repeat int, target_share double, held double, target double, reached double, reached_share double, rate double, short boolean")
+    return spark.createDataFrame(out, REPORT)
 
 
-def short_sources(docs: DataFrame, targets: DataFrame) -> DataFrame:
+def short_sources(docs: DataFrame, targets: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(source): targets that fall short even at their cap.
 
-    Every row of documents of a target source counts, with certain membership, so the fit leaves a domain short
-    exactly when its cap binds; the sizes of the domains it leaves short are then compared exactly.
+    The mixture is fitted with all documents, those of other sources by their posterior.  Only a domain whose own
+    documents, at their fitted rates, stay below its target can be short: they would stay below it at their cap.
+    The sizes of these domains are then compared exactly; every row of documents of a target source counts.
     """
-    listed, domains = _prepared(docs, targets)
+    listed, _ = _prepared(docs, targets)
     spark = docs.sparkSession
-    if not domains:
+    if not listed:
         return spark.createDataFrame([], "source string")
-    rows = docs.select("source", "text", word_size().alias("size"))
-    caps = F.create_map(*(x for i, t in enumerate(listed) for x in (F.lit(i), F.lit(float(t["max_repeat"])))))
-    member = memberships(rows, domains, None)
-    cap = F.element_at(caps, F.shiftright(F.col("member")[0], 5))
-    groups = written(member.select("member", cap.alias("cap"), "size").groupBy("member", "cap").agg(F.sum("size").alias("size")), "membership-groups")
-    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
-    aim = _targets(listed, float(total))
-    fit = fit_rates(groups, aim)
-    left = [(d, i) for i, d in enumerate(domains) if fit.reached[i] < aim[i] * (1 + 1e-6)]
+    found = fitted_mixture(docs.select("source", "text", word_size().alias("size")), listed, train_rows)
+    left = [(t["source"], t["max_repeat"], float(found.aim[i])) for i, t in enumerate(listed) if found.fit.own[i] < found.aim[i] * (1 + 1e-6)]
     if not left:
         return spark.createDataFrame([], "source string")
-    candidates = spark.createDataFrame(left, "source string, domain int")
-    held = groups.select(F.shiftright(F.col("member")[0], 5).alias("domain"), "size").groupBy("domain").agg(F.sum("size").alias("size"))
-    weights = clean_targets(targets)
-    all_weight = float(sum(t["weight"] for t in listed))
-    exact = candidates.join(held, "domain", "left").join(weights, "source")
-    return exact.where(F.coalesce("size", F.lit(0)) * F.col("max_repeat") < F.lit(float(total)) * F.col("weight") / F.lit(all_weight)).select("source").distinct()
+    candidates = F.broadcast(spark.createDataFrame(left, "source string, max_repeat int, aim double"))  # at most MAX_DOMAINS rows
+    held = found.members.where("own").select("source", "size").join(candidates, "source", "left_semi").groupBy("source").agg(F.sum("size").alias("size"))
+    exact = candidates.join(held, "source", "left")
+    return exact.where(F.coalesce("size", F.lit(0)) * F.col("max_repeat") < F.col("aim")).select("source").distinct()
+
+
+def _drawn(docs: DataFrame, listed: list[dict], size: Column | None, seed: int, train_rows: int) -> tuple[Mixture, DataFrame]:
+    """The mixture and (doc_id, source, copies, size, member) of the documents used in it."""
+    rows = docs.where("text IS NOT NULL").select("doc_id", "source", "text", F.xxhash64("text").alias("text_id"), (size if size is not None else word_size()).alias("size"))
+    texts: list[DataFrame] = []
+
+    def whole(members: DataFrame) -> DataFrame:
+        texts.append(written(_whole_texts(members), "texts"))
+        return texts[0]
+
+    found = fitted_mixture(rows, listed, train_rows, whole)
+    rates = written(found.fit.groups.select("own", "member", "cap", "rate"), "rates")
+    draw = F.pmod(F.xxhash64("text_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    uses = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    used = texts[0].join(rates, ["own", "member", "cap"]).select("text_id", "n", "member", F.least(uses, F.floor("cap")).alias("uses")).where("uses > 0")
+    return found, handed_out(found.members.select("doc_id", "source", "text_id", "size").join(used, "text_id"), seed)
 
 
 def mixed_documents(docs: DataFrame, targets: DataFrame, size: Column | None = None, seed: int = 1, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -315,35 +398,39 @@ def mixed_documents(docs: DataFrame, targets: DataFrame, size: Column | None = N
     seed, so that expected sizes hold, and its whole number of uses is handed out to its rows one by one, in the
     order of a hash of their ids.
     """
-    listed, domains = _prepared(docs, targets)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if not domains:
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, source string, copies int")
-    rows = docs.where("text IS NOT NULL").select("doc_id", "source", "text", (size if size is not None else word_size()).alias("size"))
-    classifier = train_classifier(rows, domains, train_rows)
-    caps = F.create_map(*(x for i, t in enumerate(listed) for x in (F.lit(i), F.lit(float(t["max_repeat"])))))
-    member = memberships(rows, domains, classifier).where(F.size("member") > 0)
-    cap = F.array_min(F.transform("member", lambda m: F.element_at(caps, F.shiftright(m, 5))))
-    member = member.withColumn("cap", cap).withColumn("text", F.xxhash64("text"))
-    member = written(member.select("doc_id", "source", "text", "member", "cap", "size"), "members")
-    texts = written(_whole_texts(member), "texts")
-    groups = written(texts.groupBy("member", "cap").agg(F.sum("size").alias("size")), "membership-groups")
-    total = member.where(F.col("source").isin(domains)).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
-    fit = fit_rates(groups, _targets(listed, float(total)))
-    rates = written(fit.groups.select("member", "cap", "rate"), "rates")
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    uses = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    used = texts.join(rates, ["member", "cap"]).select("text", "n", F.least(uses, F.floor("cap")).alias("uses")).where("uses > 0")
-    return handed_out(member.select("doc_id", "source", "text").join(used, "text"), seed)
+    listed, _ = _prepared(docs, targets)
+    if not listed:
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, copies int")
+    return _drawn(docs, listed, size, seed, train_rows)[1].select("doc_id", "source", "copies")
+
+
+def drawn_shares(docs: DataFrame, targets: DataFrame, size: Column | None = None, seed: int = 1, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(source, target, used, target_share, used_share): for each target the size aimed at and what the drawn
+    mixture really holds, the size of each document times its uses, by its membership."""
+    schema = "source string, target double, used double, target_share double, used_share double"
+    listed, _ = _prepared(docs, targets)
+    spark = docs.sparkSession
+    if not listed:
+        return spark.createDataFrame([], schema)
+    found, drawn = _drawn(docs, listed, size, seed, train_rows)
+    entries = drawn.select(F.explode("member").alias("m"), (F.col("size") * F.col("copies")).alias("amount"))
+    used = entries.groupBy(F.shiftright("m", 5).alias("domain")).agg((F.sum(F.col("m").bitwiseAND(31) * F.col("amount")) / STEPS).alias("used"))
+    aims = spark.createDataFrame([(i, d, float(found.aim[i])) for i, d in enumerate(found.domains)], "domain int, source string, target double")
+    both = aims.join(used, "domain", "left").select("source", "target", F.coalesce("used", F.lit(0.0)).alias("used"))
+    # the total as one more row: no window over all targets
+    total = both.agg(F.sum("target").alias("targets"), F.sum("used").alias("all_used"))
+    out = both.join(F.broadcast(total))
+    share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
+    return out.select("source", "target", "used", share("target", "targets").alias("target_share"), share("used", "all_used").alias("used_share"))
 
 
 def _whole_texts(member: DataFrame) -> DataFrame:
-    """(text, n, cap, size, member): one row per text, with the least cap and the mean membership of its n rows."""
-    texts = member.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("cap").alias("cap"), F.max("size").alias("size"), F.min("member").alias("member"), F.max("member").alias("other"))
+    """(text_id, n, own, cap, size, member): one row per text, with the least cap and the mean membership of its n rows."""
+    texts = member.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("own"), F.min("cap").alias("cap"), F.max("size").alias("size"), F.min("member").alias("member"), F.max("member").alias("other"))
     texts = written(texts, "text-copies")
     several = texts.where("member <> other").drop("member", "other")
-    entries = member.join(several.select("text"), "text", "left_semi").select("text", F.explode("member").alias("m"))
-    entries = entries.groupBy("text", F.shiftright("m", 5).alias("domain")).agg(F.sum(F.col("m").bitwiseAND(31)).alias("steps"))
+    entries = member.join(several.select("text_id"), "text_id", "left_semi").select("text_id", F.explode("member").alias("m"))
+    entries = entries.groupBy("text_id", F.shiftright("m", 5).alias("domain")).agg(F.sum(F.col("m").bitwiseAND(31)).alias("steps"))
 
     def run(batches):
         for batch in batches:
@@ -352,11 +439,11 @@ def _whole_texts(member: DataFrame) -> DataFrame:
                 entry = sorted((x["domain"], x["steps"]) for x in entry)
                 steps = _in_steps(np.array([[x for _, x in entry]], float))[0]
                 out.append([d * 32 + int(x) for (d, _), x in zip(entry, steps) if x])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["text", "member"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["text_id", "member"])
 
-    mean = entries.groupBy("text").agg(F.collect_list(F.struct("domain", "steps")).alias("entries")).mapInArrow(run, "text bigint, member array<int>")
-    columns = ["text", "n", "cap", "size", "member"]
-    return texts.where("member = other").select(*columns).unionByName(several.join(mean, "text").select(*columns))
+    mean = entries.groupBy("text_id").agg(F.collect_list(F.struct("domain", "steps")).alias("entries")).mapInArrow(run, "text_id bigint, member array<int>")
+    columns = ["text_id", "n", "own", "cap", "size", "member"]
+    return texts.where("member = other").select(*columns).unionByName(several.join(mean, "text_id").select(*columns))
 
 
 def _in_steps(shares: np.ndarray) -> np.ndarray:
@@ -368,14 +455,14 @@ def _in_steps(shares: np.ndarray) -> np.ndarray:
 
 
 def handed_out(rows: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, source, copies): the uses of each text, as even as they go over its n rows.
+    """The rows with ``copies``, the uses of each text, as even as they go over its n rows; unused rows are left out.
 
     A text with more rows than uses needs only its first rows; these are found in parts first, so that no task
     ranks all rows of a text with very many copies.
     """
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
-    part = F.row_number().over(Window.partitionBy("text", "part").orderBy(*order))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(64))).withColumn("place", part).where("uses >= n OR place <= uses")
-    rank = F.row_number().over(Window.partitionBy("text").orderBy(*order))
+    part = F.row_number().over(Window.partitionBy("text_id", "part").orderBy(*order))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_id"), F.lit(64))).withColumn("place", part).where("uses >= n OR place <= uses")
+    rank = F.row_number().over(Window.partitionBy("text_id").orderBy(*order))
     copies = F.floor(F.col("uses") / F.col("n")) + F.when(rank <= F.col("uses") % F.col("n"), 1).otherwise(0)
-    return rows.select("doc_id", "source", copies.cast("int").alias("copies")).where("copies > 0")
+    return rows.withColumn("copies", copies.cast("int")).where("copies > 0").drop("part", "place", "text_id", "n", "uses")

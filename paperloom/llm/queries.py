@@ -95,6 +95,12 @@ def p8_token_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs, read_table(spark, sf_dir, "mix_targets"), F.col("size"))
 
 
+def p8_token_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target, used, target_share, used_share): what the drawn mixture holds, in tokens."""
+    docs = mixing.token_sizes(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), TOKENIZER)
+    return mixing.drawn_shares(docs, read_table(spark, sf_dir, "mix_targets"), F.col("size"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages.spam_pages(read_table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -108,7 +114,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_cleaned, p5_found, p5_forms, p6_found, p6_statistics, p7_found, p7_report, p8_found, p8_mixture, p8_token_mixture, p9_found, p9_scores)
+    for f in (p1_found, p1_groups, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_cleaned, p5_found, p5_forms, p6_found, p6_statistics, p7_found, p7_report, p8_found, p8_mixture, p8_token_mixture, p8_token_shares, p9_found, p9_scores)
 }
 
 _FORM = canonical.canonical_sql("text")

@@ -117,9 +117,11 @@ def test_mixing(spark):
 
 
 def test_fit_reaches_soft_targets(spark):
-    groups = spark.createDataFrame([([0 * 32 + 16], 5.0, 100), ([0 * 32 + 8, 1 * 32 + 8], 5.0, 100), ([1 * 32 + 16], 1.0, 10)], "member array<int>, cap double, size bigint")
+    groups = spark.createDataFrame([(True, [0 * 32 + 16], 5.0, 100), (False, [0 * 32 + 8, 1 * 32 + 8], 5.0, 100), (True, [1 * 32 + 16], 1.0, 10)], "own boolean, member array<int>, cap double, size bigint")
     fit = mixing.fit_rates(groups, np.array([120.0, 60.0]))
-    assert np.allclose(fit.reached, [120, 60], rtol=0.02)
+    assert np.allclose(fit.reached, [120, 60], rtol=0.02) and (fit.own <= fit.reached).all() and fit.own[1] <= 10
+    rates = {tuple(r["member"]): r["rate"] for r in fit.groups.collect()}
+    assert abs(rates[(16,)] * 100 + rates[(8, 40)] * 50 - fit.reached[0]) < 0.1 and max(rates.values()) <= 5
 
 
 def test_classifier_on_held_out_rows(spark):
@@ -290,6 +292,26 @@ def test_phrases_of_all_pages_count_their_hosts(spark):
     assert sorted(got) == [1, 90] and got[1]["replicated"] == 64 and got[1]["words"] == 96
 
 
+def test_memberships_add_up(spark):
+    """No document drops out of a mixture, however many domains share it."""
+    domains = [f"d{i}" for i in range(60)]
+    model = mixing.DomainClassifier(np.zeros((60, mixing.BUCKETS)), np.log(np.full(60, 1 / 60)))
+    docs = spark.createDataFrame([(1, "d3", "a b"), (2, "other", "a b"), (3, None, None), (4, None, "")], "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: r for r in mixing.memberships(docs, domains, [float(i % 5) for i in range(60)], model).collect()}
+    assert all(sum(m & 31 for m in r["member"]) == 16 for r in got.values()) and len(got) == 4
+    assert got[1]["own"] and got[1]["member"] == [3 * 32 + 16] and got[1]["cap"] == 3.0 and not got[2]["own"] and got[2]["cap"] == 0.0
+
+
+def test_drawn_shares(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], f"text {i} of {'ab'[i % 2]} " * 5) for i in range(200)] + [(900, None, None)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 1.0, 3), ("b", 3.0, 3), ("none", 1.0, 2)], "source string, weight double, max_repeat int")
+    got = {r["source"]: r for r in mixing.drawn_shares(docs, targets).collect()}
+    copies = mixing.mixed_documents(docs, targets).groupBy("source").agg(F.sum("copies").alias("n")).collect()
+    assert {r["source"]: r["n"] * 20 for r in copies} == {k: got[k]["used"] for k in "ab"} and got["none"]["used"] == 0
+    assert abs(got["b"]["used"] / got["b"]["target"] - 1) < 0.1 and abs(sum(r["used_share"] for r in got.values()) - 1) < 1e-9
+    assert mixing.drawn_shares(docs, targets.limit(0)).count() == 0
+
+
 def test_copies_share_one_cap(spark):
     # of target "a" more is wanted than its texts may give: every text is used exactly max_repeat times
     many = spark.range(70_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("many copies of one text").alias("text"))
