@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import written
 from . import vectext as V
@@ -28,10 +27,15 @@ _RUN = HASH_WIDTH + WINDOW
 
 def comparable(codes: np.ndarray, offsets: np.ndarray):
     """Lower case, blanks as one space and trimmed from line ends, digit runs as '#': (codes, offsets)."""
+    return _comparable(codes, offsets)[:2]
+
+
+def _comparable(codes: np.ndarray, offsets: np.ndarray):
+    """The comparable form and the place in the stored text of each of its characters: (codes, offsets, places)."""
     low = V.lower(codes)
     n = len(low)
     if n == 0:
-        return low, offsets
+        return low, offsets, np.zeros(0, np.int64)
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     same = np.zeros(n, bool)  # the character before belongs to the same text
@@ -41,6 +45,7 @@ def comparable(codes: np.ndarray, offsets: np.ndarray):
     keep = ~((blank & before(blank)) | (digit & before(digit)))
     out = np.where(blank, 32, np.where(digit, 35, low)).astype(np.uint32)
     kept = np.r_[0, np.cumsum(keep)]
+    places = np.flatnonzero(keep)
     low, offsets = out[keep], kept[offsets]
     n = len(low)
     first = np.zeros(n + 1, bool)
@@ -51,7 +56,16 @@ def comparable(codes: np.ndarray, offsets: np.ndarray):
     edge_after[:-1] |= newline[1:]
     keep = ~((low == 32) & (edge_before | edge_after))
     kept = np.r_[0, np.cumsum(keep)]
-    return low[keep], kept[offsets]
+    return low[keep], kept[offsets], places[keep]
+
+
+def rolling_hashes(stream: np.ndarray) -> np.ndarray:
+    """Hash of the HASH_WIDTH characters from each place on."""
+    size = max(0, len(stream) - HASH_WIDTH + 1)
+    out = np.zeros(size, np.uint64)
+    for k in range(HASH_WIDTH):
+        out = out * np.uint64(0x100000001B3) + stream[k : size + k]
+    return out
 
 
 def content_pieces(codes: np.ndarray, offsets: np.ndarray):
@@ -76,9 +90,7 @@ def content_pieces(codes: np.ndarray, offsets: np.ndarray):
     text_of = np.zeros(size, np.int64)
     text_of[text_begin[1:]] = 1
     text_of = np.cumsum(text_of)
-    rolling = np.zeros(size - HASH_WIDTH + 1, np.uint64)
-    for k in range(HASH_WIDTH):
-        rolling = rolling * np.uint64(0x100000001B3) + stream[k : size - HASH_WIDTH + 1 + k]
+    rolling = rolling_hashes(stream)
     # smallest hash of each window, the last one of equals; position in the low bits breaks ties
     spot = np.arange(len(rolling), dtype=np.uint64)
     order = (V.mix(rolling) & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - spot)
@@ -185,26 +197,112 @@ def _piece_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)))], ["k"])
 
 
-def comparable_line(line: F.Column) -> F.Column:
-    """The comparable form of one line, as a Spark expression."""
-    flat = F.regexp_replace(F.regexp_replace(F.lower(line), r"[ \t\r]+", " "), r"^ | $", "")
-    return F.regexp_replace(flat, r"[0-9]+", "#")
+#: Lines of at least so many characters are also cut out of the middle of other lines.
+INSIDE = 24
+#: Bytes of repeated lines that are sent to all tasks; more of them meet the rows in a join by source.
+SENT_BYTES = 16 << 20
+
+
+def _cut_out(rows: pa.RecordBatch, first: int, end: int) -> tuple[list[str | None], list[int]]:
+    """Texts of a slice of (key, source, text, lines) rows without the lines, and how many passages were cut from each.
+
+    A line is anchored at its smallest rolling hash, a cut that its content defines; wherever the same hash turns up
+    in a text of the source, the whole line is compared there, be it a line of its own or not.
+    """
+    texts = rows.column(2)[first:end]
+    codes, offsets = V.code_points(texts)
+    low, at, places = _comparable(codes, offsets)
+    n = end - first
+    known: dict = {}
+    number, lines, of = np.zeros(n, np.int64), [], []
+    for i, (source, gone) in enumerate(zip(rows.column(1)[first:end].to_pylist(), rows.column(3)[first:end])):
+        if source not in known:
+            known[source] = len(known)
+            gone = gone.as_py() or []
+            lines += gone
+            of += [known[source]] * len(gone)
+        number[i] = known[source]
+    out, removed = texts.to_pylist(), [0] * n
+    if not lines or not len(low):
+        return out, removed
+    notice, bounds = V.code_points(pa.array(lines, pa.string()))
+    size = np.diff(bounds)
+    of = np.array(of, np.int64)
+    whole = V.span_hashes(notice, bounds[:-1], bounds[1:])
+    key = lambda group, h: V.mix(h + V.mix(group.astype(np.uint64)))
+    # lines of their own
+    starts, ends, owner = _lines(low, at)
+    alone = np.isin(key(number[owner], V.span_hashes(low, starts, ends)), key(of, whole))
+    spans = [np.stack([starts[alone], ends[alone]], axis=1)]
+    # inside other lines
+    long = np.flatnonzero(size >= INSIDE)
+    if len(long) and len(low) >= HASH_WIDTH:
+        rolled = V.mix(rolling_hashes(notice))
+        anchor = np.array([a + int(np.argmin(rolled[a : b - HASH_WIDTH + 1])) for a, b in zip(bounds[:-1][long], bounds[1:][long])])
+        keys = key(of[long], rolled[anchor])
+        order = np.argsort(keys, kind="stable")
+        keys, long, shift = keys[order], long[order], (anchor - bounds[:-1][long])[order]
+        text_of = np.repeat(np.arange(n), np.diff(at))[: len(low) - HASH_WIDTH + 1]
+        here = key(number[text_of], V.mix(rolling_hashes(low)))
+        left, right = np.searchsorted(keys, here, "left"), np.searchsorted(keys, here, "right")
+        hit = np.flatnonzero(right > left)
+        count = (right - left)[hit]
+        place = np.repeat(hit, count)
+        which = np.repeat(left[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        a = place - shift[which]
+        b = a + size[long[which]]
+        ok = (a >= at[text_of[place]]) & (b <= at[text_of[place] + 1])
+        a, b, which = a[ok], b[ok], long[which[ok]]
+        ok = V.span_hashes(low, a, b) == whole[which]
+        a, b = a[ok], b[ok]
+        letter = np.r_[V.look_up(V.alnum_table(), low), False]
+        ok = ~(letter[a] & letter[a - 1] & (a > 0)) & ~(letter[b - 1] & letter[b])
+        spans.append(np.stack([a[ok], b[ok]], axis=1))
+    spans = np.unique(np.concatenate(spans), axis=0)
+    spans = spans[np.r_[True, spans[1:, 0] >= np.maximum.accumulate(spans[:, 1])[:-1]]] if len(spans) else spans
+    drop = np.zeros(len(codes) + 1, np.int64)
+    stored = np.r_[places, len(codes)]
+    text_of = np.searchsorted(at, spans[:, 0], side="right") - 1
+    for (a, b), i in zip(spans.tolist(), text_of.tolist()):
+        begin, stop = int(stored[a]), min(int(stored[b]), int(offsets[i + 1]))
+        if (a == at[i] or low[a - 1] == 10) and (b == at[i + 1] or low[b] == 10):  # a line goes with its line break
+            while begin > offsets[i] and codes[begin - 1] != 10:
+                begin -= 1
+            stop += b < at[i + 1]
+        drop[begin] += 1
+        drop[stop] -= 1
+        removed[i] += 1
+    keep = np.cumsum(drop)[:-1] == 0
+    for i in np.unique(text_of).tolist():
+        span = slice(offsets[i], offsets[i + 1])
+        out[i] = codes[span][keep[span]].tobytes().decode("utf-32-le", "replace").strip("\n")
+    return out, removed
 
 
 def remove_repeated_lines(df: DataFrame, lines: DataFrame, key: str = "chunk_id", source: str = "source", column: str = "text") -> DataFrame:
     """(key, source, text, removed): each distinct (key, source, text) without the given lines of its source.
 
-    ``lines`` has source and line.  A removed line goes with its line break; what is left is trimmed of line
-    breaks at its ends.  Texts without such lines, nulls among them, come back as they were with removed = 0.
+    ``lines`` has source and line in comparable form.  A line goes with its line break; a line of ``INSIDE``
+    characters or more is also cut where it stands inside a longer line, between words.  What is left is trimmed of
+    line breaks at its ends; removed counts the cuts.  Texts without such lines, nulls among them, come back as they
+    were with removed = 0.
+
+    A source has few such lines, as each is in a tenth of its documents; they come to the rows of their source in one
+    join, for which the texts stay where they are while all lines together are small.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(column).alias("text")).distinct()
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    # lines go through the join without their texts; each text is shuffled once, with the lines to be cut from it
-    parts = rows.where("source IS NOT NULL").select("key", "source", "h", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), comparable_line))).alias("line"))
-    hit = parts.join(lines.select("source", "line").distinct(), ["source", "line"]).groupBy("key", "source", "h").agg(F.collect_set("line").alias("gone"))
-    same = F.col("r.key").eqNullSafe(F.col("x.key")) & F.col("r.source").eqNullSafe(F.col("x.source")) & F.col("r.h").eqNullSafe(F.col("x.h"))
-    cut = rows.alias("r").join(hit.alias("x"), same, "left").select("r.key", "r.source", "r.text", F.coalesce("x.gone", F.array().cast("array<string>")).alias("gone"))
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("gone"), comparable_line(x)))
-    cleaned = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", ""))
-    removed = F.when(F.size("gone") == 0, 0).otherwise(F.size(F.split("text", "\n")) - F.size(kept))
-    return cut.select(F.col("key").alias(key), F.col("source").alias(source), cleaned.alias(column), removed.cast("int").alias("removed"))
+    rows = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(column).cast("string").alias("text"))
+    lists = written(lines.where("source IS NOT NULL AND line IS NOT NULL").groupBy("source").agg(F.collect_set("line").alias("lines")), "source-lines")
+    size = lists.agg(F.coalesce(F.sum(F.octet_length(F.array_join("lines", "\n")) + F.octet_length("source")), F.lit(0)).alias("n")).first()["n"]
+    rows = rows.join(F.broadcast(lists) if size <= SENT_BYTES else lists, "source", "left").select("key", "source", "text", "lines")
+
+    def run(batches):
+        for batch in batches:
+            for a, b in V.slices(batch.column(2), V.SLICE_CHARS // 2):
+                text, removed = _cut_out(batch, a, b)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(text, pa.string()), pa.array(removed, pa.int32())], ["key", "source", "text", "removed"])
+
+    kind = df.schema[key].dataType.simpleString()
+    # rows stored twice give the same result twice; texts that differ by their notices only are told apart by a hash
+    marked = rows.withColumn("key", F.struct("key", F.xxhash64("text").alias("h")))
+    out = marked.mapInArrow(run, f"key struct<key:{kind},h:bigint>, source string, text string, removed int").distinct()
+    return out.select(F.col("key.key").alias(key), F.col("source").alias(source), F.col("text").alias(column), "removed")

@@ -81,6 +81,23 @@ def test_site_lines_against_brute_force(spark):
     assert site_lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_notices_are_cut_inside_lines(spark):
+    notice = "© North Press 2030. All rights are kept by us"
+    lines = spark.createDataFrame([("s", comparable(notice)), ("s", "ed"), ("t", comparable(notice)), (None, "x")], "source string, line string")
+    rows = [
+        ("1", "s", f"A first line.\n{notice}\nA last line."), ("2", "s", f"Before it. {notice.upper().replace('2030', '7')} After it, Ed and more.\nEd"), ("3", "s", f"x{notice[2:]}y\n\nEd \n"),
+        ("4", "u", notice), ("5", "s", None), ("6", None, notice), ("7", "s", ""), ("8", "s", f"{notice}\n {notice} "), ("2", "s", "Ed\nshort"), ("2", "s", "Ed\nshort"), ("2", "s", "short"), ("9", "t", f"Read: {notice}"),
+    ]
+    df = spark.createDataFrame(rows, "chunk_id string, source string, text string").withColumn("lines", F.lit("clash")).withColumn("removed", F.lit(9))
+    got = sorted(map(tuple, site_lines.remove_repeated_lines(df, lines).collect()), key=str)
+    want = [
+        ("1", "s", "A first line.\nA last line.", 1), ("2", "s", "Before it.  After it, Ed and more.", 2), ("3", "s", f"x{notice[2:]}y", 1), ("4", "u", notice, 0), ("5", "s", None, 0), ("6", None, notice, 0),
+        ("7", "s", "", 0), ("8", "s", "", 2), ("2", "s", "short", 1), ("2", "s", "short", 0), ("9", "t", "Read: ", 1),
+    ]
+    assert got == sorted(want, key=str)
+    assert site_lines.remove_repeated_lines(df, lines.limit(0)).where("removed > 0").count() == site_lines.remove_repeated_lines(df.limit(0), lines).count() == 0
+
+
 def test_leaks_against_brute_force(spark):
     r = random.Random(9)
     words = [f"w{i}" for i in range(50)]
