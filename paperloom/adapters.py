@@ -121,6 +121,15 @@ def checked_translation(text: str, translate: Callable[[str], str], longest: int
     return out
 
 
+class CachedTranslator:
+    """Keeps the last translations of another translator, so that a repeated question is translated once."""
+
+    def __init__(self, inner: Translator, size: int = 1000) -> None:
+        from functools import lru_cache
+
+        self.translate = lru_cache(maxsize=size)(inner.translate)
+
+
 class Generator(Protocol):
     """Writes an answer from numbered context.  Context is reference material: instructions inside it are not followed."""
 

@@ -52,7 +52,7 @@ def token_lengths(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"[^{BLANK}]+"), F.lit(0)), F.length)
 
 
-# scripts by the order in which the reference tests them; Han, kana and Hangul count as one
+# scripts in the order in which they are tested; Han, kana and Hangul count as one
 SCRIPTS = {
     "latin": r"[\p{IsLatin}]",
     "arabic": r"[\p{IsArabic}]",

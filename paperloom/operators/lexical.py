@@ -1,8 +1,9 @@
 """Tokens, postings and BM25 top-k.
 
 The plain tokenizer is a Spark expression.  The exact one (compatibility forms, case folding, Arabic marks,
-stemming) runs on Arrow batches, and stems each distinct word of the vocabulary once.
-Statistics are aggregates over the whole corpus; a query touches only the postings of its own terms.
+stemming) runs on Arrow batches; a task stems each word once while its table of stems has room.
+Statistics are aggregates over the whole corpus.  An index is written once for a corpus; a question then reads only
+the postings of its own terms.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ STOPWORDS = tuple(
     """.split()
 )
 TERM = r"[0-9]+(?:[.:][0-9]+)*|[\p{L}\p{Nl}\p{No}]+"
+# the same shape for Python, and the Arabic lengthening stroke and vowel marks that are dropped before it
+_TERM = re.compile(r"\d+(?:[.:]\d+)*|[^\W\d_]+")
+_MARKS = re.compile("[\u0640\u064b-\u065f\u0670]")
+# end of fixed values
 
 
 def plain_tokens(text: Column) -> Column:
@@ -39,8 +44,6 @@ def plain_tokens(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
-_MARKS = re.compile("[ـً-ٰٟ]")
-_TERM = re.compile(r"\d+(?:[.:]\d+)*|[^\W\d_]+")
 _STOP = frozenset(STOPWORDS)
 
 
@@ -141,18 +144,35 @@ def build_index(tokens: DataFrame, key: str, strict: bool = False, epsilon: floa
     mean = idf.agg(F.avg("idf").alias("m")).first()["m"] or 0.0
     idf = idf.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
     ordered = found.join(idf, "term").select("term", "idf", key, "dl", "tf").repartitionByRange("term", key).sortWithinPartitions("term", key)
-    return LexicalIndex(written(ordered, "lexical-index"), size["avgdl"] or 1.0)
+    return LexicalIndex(written(ordered, "lexical-index", keep=True), size["avgdl"] or 1.0)
+
+
+_INDEXES: dict[tuple, LexicalIndex] = {}
+
 
+def session_index(name: tuple, key: str, tokens, spark: SparkSession) -> LexicalIndex:
+    """The index of that name, made once a session from ``tokens()``; ``name`` changes whenever the corpus does."""
+    name = (spark.sparkContext.applicationId, *name)
+    if name not in _INDEXES:
+        _INDEXES[name] = build_index(tokens(), key)
+    return _INDEXES[name]
 
-def search_index(index: LexicalIndex, key: str, terms: list[str], k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
-    """(rank, key, bm25_score): the best k rows for some terms, repeats counting again; the terms reach the scan."""
+
+def search_index(index: LexicalIndex, key: str, terms: list[str], k: int = 5, k1: float = K1, b: float = B, allowed: DataFrame | None = None) -> DataFrame:
+    """(rank, key, bm25_score): the best k rows for some terms, repeats counting again; the terms reach the scan.
+
+    ``allowed`` has the keys that may be found; the statistics stay those of the whole corpus.
+    """
     times: dict[str, int] = {}
     for t in terms:
         times[t] = times.get(t, 0) + 1
     weight = F.coalesce(*(F.when(F.col("term") == t, n) for t, n in times.items()), F.lit(0)) if times else F.lit(0)
     hits = index.postings.where(F.col("term").isin(*times)) if times else index.postings.limit(0)
     part = F.col("idf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length)))
-    return top_k(hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score")), "bm25_score", key, k).select("rank", key, "bm25_score")
+    scored = hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score"))
+    if allowed is not None:
+        scored = scored.join(allowed.select(key).distinct(), key, "left_semi")
+    return top_k(scored, "bm25_score", key, k).select("rank", key, "bm25_score")
 
 
 def terms_of(spark: SparkSession, query: str, exact: bool = False) -> list[str]:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..adapters import Embedder, embed_rows
 from ..operators import chunking, extraction, sync
 from ..operators.cascade import extract_pages
 from ..session import written
@@ -42,7 +43,7 @@ def accepted_pages(attempts: DataFrame, blank: DataFrame | None = None) -> DataF
     return texts.join(status, ["source", "page", "loader", "score"]).dropDuplicates(["source", "page"])
 
 
-def ingest(spark, folder: str, extractors: list, store: ChunkStore, settings: IngestSettings = IngestSettings(), dry_run: bool = False, allow_delete_all: bool = False) -> DataFrame:
+def ingest(spark, folder: str, extractors: list, store: ChunkStore, settings: IngestSettings = IngestSettings(), dry_run: bool = False, allow_delete_all: bool = False, embedder: Embedder | None = None) -> DataFrame:
     """Synchronises a store with a folder of files and returns the plan.
 
     Hashes come first: files whose hash and version are stored are not extracted again.
@@ -53,19 +54,23 @@ def ingest(spark, folder: str, extractors: list, store: ChunkStore, settings: In
     fresh = changed_files(files, states, settings.stored_version)
     pages = written(accepted_pages(extract_pages(fresh, extractors)), "accepted")
     same = files.join(fresh.select("source"), "source", "left_anti").select("source", "source_hash")
-    return synchronise(pages, present, store, settings, dry_run, allow_delete_all, same)
+    return synchronise(pages, present, store, settings, dry_run, allow_delete_all, same, embedder)
 
 
 STORE_SCHEMA = "chunk_id string, source string, page int, chunk_index int, text string, char_count int, chunk_size int, chunk_overlap int, noise_lines_removed int, source_hash string, pipeline_version string"
 
 
-def synchronise(pages: DataFrame, present: DataFrame, store: ChunkStore, settings: IngestSettings = IngestSettings(), dry_run: bool = False, allow_delete_all: bool = False, unchanged: DataFrame | None = None) -> DataFrame:
+EMBEDDED_SCHEMA = f"{STORE_SCHEMA}, embedding array<float>, embedding_model string, embedding_dimensions int"
+
+
+def synchronise(pages: DataFrame, present: DataFrame, store: ChunkStore, settings: IngestSettings = IngestSettings(), dry_run: bool = False, allow_delete_all: bool = False, unchanged: DataFrame | None = None, embedder: Embedder | None = None) -> DataFrame:
     """Brings the store in step with ``pages`` and returns the plan (source, action).
 
     ``unchanged`` (source, source_hash) names files that were not read again because nothing changed.
     ``present`` (source) lists the files that exist; pages may hold fewer of them.  With nothing present and rows
     stored it raises before any work unless ``allow_delete_all``.  Additions and replacements come before
-    deletions; afterwards no stored source may be absent from ``present``.
+    deletions; afterwards no stored source may be absent from ``present``.  With an ``embedder`` all new rows are
+    embedded before anything is stored; the store then has the columns of ``EMBEDDED_SCHEMA``.
     """
     stored = store.read()
     if present.isEmpty() and not stored.isEmpty() and not allow_delete_all:
@@ -80,7 +85,7 @@ def synchronise(pages: DataFrame, present: DataFrame, store: ChunkStore, setting
     work = plan.where("action IN ('ADD', 'REPLACE', 'REPROCESS')")
     rows = written(chunk_rows(pages.join(work.select("source"), "source", "left_semi"), settings), "new-chunks")
     if not rows.isEmpty():
-        store.replace_sources(rows)
+        store.replace_sources(rows, (lambda df: embed_rows(df, embedder)) if embedder else None)
     gone = plan.where("action = 'DELETE'")
     if not gone.isEmpty():
         store.delete_sources(gone)

@@ -1,4 +1,4 @@
-"""Queries over the reference's own operators, and the SQL they are compared with.
+"""Queries of the retrieval pipeline, and the SQL they are compared with.
 
 Every query reads whole tables.  A query is registered under its name with its SQL, if SQL can express it.
 """
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.quality import text_quality
 from ..operators import chunking, extraction, fusion, lexical, sessions, sync, vectors
-from ..session import read_table, shared_dir
+from ..session import fingerprint, read_table, shared_dir, written
+from ..sources.store import ChunkStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +88,18 @@ def chunk_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.one_row_per_key(read_table(spark, sf_dir, "chunk"), "chunk_id", ["source", "page", "text"])
 
 
+def text_index(spark: SparkSession, sf_dir: str, table: str, key: str, exact: bool = False) -> lexical.LexicalIndex:
+    """The lexical index of a table's texts, made once a session and again only when its files have changed."""
+    rows = lambda: chunk_once(spark, sf_dir) if table == "chunk" else read_table(spark, sf_dir, table)
+    name = (sf_dir, table, exact, *fingerprint(spark, f"{sf_dir.rstrip('/')}/{table}.parquet"))
+    return lexical.session_index(name, key, lambda: lexical.tokenized(rows(), key, exact=exact), spark)
+
+
+def asked(spark: SparkSession, sf_dir: str, table: str, key: str, k: int = 5, exact: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    """The best k rows of a table for the question."""
+    return lexical.search_index(text_index(spark, sf_dir, table, key, exact), key, lexical.terms_of(spark, QUESTION, exact), k=k, allowed=allowed)
+
+
 # ------------------------------------------------------------------------------------------------ scans
 
 
@@ -371,16 +384,16 @@ def action_counts(spark, sf_dir):
     return sync.action_counts(_plan(spark, sf_dir))
 
 
-@query("SELECT DISTINCT source FROM source_state WHERE source NOT IN (SELECT source FROM chunk WHERE source IS NOT NULL)")
+@query("SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM mix_targets WHERE source IS NOT NULL)")
 def missing_sources(spark, sf_dir):
-    """Sources with a stored state but without chunks."""
-    return sync.missing_sources(read_table(spark, sf_dir, "source_state"), read_table(spark, sf_dir, "chunk"))
+    """Sources of stored documents that the list of wanted sources lacks."""
+    return sync.missing_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
 
-@query("SELECT DISTINCT source FROM pages WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM chunk WHERE source IS NOT NULL)")
+@query("SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)")
 def unprocessed_sources(spark, sf_dir):
-    """Sources with pages but without chunks."""
-    return sync.unprocessed_sources(read_table(spark, sf_dir, "pages").where("source IS NOT NULL"), read_table(spark, sf_dir, "chunk"))
+    """Wanted sources without a document."""
+    return sync.unprocessed_sources(read_table(spark, sf_dir, "mix_targets").where("source IS NOT NULL"), read_table(spark, sf_dir, "documents"))
 
 
 _ADDRESS = "sha256(coalesce(source, 'None') || '|' || coalesce(page::VARCHAR, 'None') || '|' || coalesce(chunk_index::VARCHAR, 'None') || '|' || coalesce(text, 'None'))"
@@ -398,10 +411,11 @@ def chunk_violations(spark, sf_dir):
     return sync.chunk_violations(read_table(spark, sf_dir, "chunk"))
 
 
-@query(f"WITH {_VIOLATIONS} SELECT source, violation FROM sv")
+@query(f"WITH chunk AS (SELECT unnest(chunk_ids) AS chunk_id, 'listed' AS text, source, source_hash, pipeline_version, 1 AS page, 0 AS chunk_index FROM source_state), {_VIOLATIONS} SELECT source, violation FROM sv")
 def source_violations(spark, sf_dir):
-    """Sources without exactly one hash and version."""
-    return sync.source_violations(read_table(spark, sf_dir, "chunk"))
+    """Sources whose chunks, over all states that list them, have not exactly one hash and version."""
+    states = read_table(spark, sf_dir, "source_state")
+    return sync.source_violations(states.select(F.explode("chunk_ids").alias("chunk_id"), F.lit("listed").alias("text"), "source", "source_hash", "pipeline_version"))
 
 
 @query(f"""WITH {_VIOLATIONS}, f AS (SELECT count(*) AS chunks, count(DISTINCT nullif(source, '')) AS sources, count(chunk_id) - count(DISTINCT chunk_id) AS duplicate_ids, count(*) FILTER (coalesce(trim(text), '') = '') AS empty_chunks,
@@ -453,12 +467,12 @@ def groupable_chunks(spark, sf_dir):
 @query(f"WITH {_bm25('documents', 'doc_id', chr(39) + QUESTION + chr(39))} SELECT row_number() OVER (ORDER BY score DESC, k) AS rank, k AS doc_id, score AS bm25_score FROM scored ORDER BY score DESC, k LIMIT 5")
 def bm25_topk(spark, sf_dir):
     """The best five documents for a question."""
-    return lexical.bm25_search(read_table(spark, sf_dir, "documents"), QUESTION, "doc_id")
+    return asked(spark, sf_dir, "documents", "doc_id")
 
 
 @query(ORACLE["bm25_topk"])
 def bm25_indexed(spark, sf_dir):
-    """The best five documents for a question, by an index written once and read by term."""
+    """The best five documents for a question, by an index that is written anew."""
     index = lexical.build_index(lexical.tokenized(read_table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
     return lexical.search_index(index, "doc_id", lexical.terms_of(spark, QUESTION))
 
@@ -468,13 +482,13 @@ def bm25_indexed(spark, sf_dir):
 )
 def bm25_source_filtered(spark, sf_dir):
     """The best five chunks of one source; scores are those of the whole corpus."""
-    return lexical.bm25_search(chunk_once(spark, sf_dir), QUESTION, "chunk_id", where=F.col("source") == SOURCE)
+    return asked(spark, sf_dir, "chunk", "chunk_id", allowed=chunk_once(spark, sf_dir).where(F.col("source") == SOURCE))
 
 
 @query()
 def bm25_stemmed(spark, sf_dir):
     """The best twenty documents with the exact tokenizer and stems."""
-    return lexical.bm25_search(read_table(spark, sf_dir, "documents"), QUESTION, "doc_id", k=20, exact=True)
+    return asked(spark, sf_dir, "documents", "doc_id", k=20, exact=True)
 
 
 @query()
@@ -491,13 +505,20 @@ def vocabulary(spark, sf_dir):
     return lexical.postings(tokens, "doc_id").groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE len({_terms(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}) = 0")
-def tokenless_documents(spark, sf_dir):
-    """Documents without a term."""
-    return lexical.tokenless(lexical.tokenized(read_table(spark, sf_dir, "documents"), "doc_id")).select("doc_id")
+@query(f"SELECT DISTINCT source, page FROM pages WHERE len({_terms("coalesce(text, '')")}) = 0")
+def tokenless_pages(spark, sf_dir):
+    """Pages without a term, which an index cannot hold."""
+    rows = read_table(spark, sf_dir, "pages").withColumn("key", F.struct("source", "page"))
+    return lexical.tokenless(lexical.tokenized(rows, "key")).select("key.source", "key.page").distinct()
 
 
-@query()
+@query(f"""WITH tok AS (SELECT doc_id AS k, {_terms("coalesce(text, '')")} AS t FROM documents),
+docs_ AS (SELECT k, t, len(t) AS dl FROM tok WHERE len(t) > 0), size_ AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM docs_),
+post AS (SELECT k, dl, term, count(*) AS tf FROM (SELECT k, dl, unnest(t) AS term FROM docs_) GROUP BY ALL), df_ AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df_, size_), idf_ AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+asked AS (SELECT q, term, count(*) AS times FROM (SELECT doc_id AS q, unnest({_terms("title")}) AS term FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL) GROUP BY q, term),
+scored AS (SELECT q, k, round(sum(idf * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN idf_ USING (term) JOIN asked USING (term), size_ GROUP BY q, k)
+SELECT * FROM (SELECT q AS query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, k) AS rank, k AS doc_id, score AS bm25_score FROM scored) WHERE rank <= 5""")
 def bm25_all_queries(spark, sf_dir):
     """Top five documents for the title of every document whose id is divisible by 100, against all documents."""
     docs = read_table(spark, sf_dir, "documents")
@@ -544,7 +565,7 @@ def _legs(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     rows = read_table(spark, sf_dir, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     near = vectors.vector_search(rows, _query_vector(spark, sf_dir), k=20).withColumnRenamed("vec_id", "doc_id")
-    return near, lexical.bm25_search(docs, QUESTION, "doc_id", k=20)
+    return near, asked(spark, sf_dir, "documents", "doc_id", k=20)
 
 
 @query(f"WITH {_LEGS} SELECT * FROM tx")
@@ -565,10 +586,86 @@ SELECT string_agg('[' || rank || ']' || chr(10) || 'Source: ' || coalesce(source
 def context_build(spark, sf_dir):
     """The numbered context of the best five chunks."""
     chunks = chunk_once(spark, sf_dir)
-    hits = lexical.bm25_search(chunks, QUESTION, "chunk_id").join(chunks, "chunk_id")
+    hits = chunks.join(F.broadcast(asked(spark, sf_dir, "chunk", "chunk_id")), "chunk_id")  # five rows
     return fusion.build_context(hits).select("context", F.size("citations").cast("bigint").alias("citations"))
 
 
+@query(f"""WITH {_bm25('documents', 'doc_id', chr(39) + QUESTION + chr(39))}, h AS (SELECT k, row_number() OVER (ORDER BY score DESC, k) AS hybrid_rank FROM scored ORDER BY score DESC, k LIMIT 20),
+w AS (SELECT list_distinct({_terms(chr(39) + QUESTION + chr(39))}) AS w), s AS (SELECT k AS doc_id, hybrid_rank, round(len(list_intersect(w, t)) / len(w)::DOUBLE, 6) AS rerank_score FROM h JOIN tok USING (k), w)
+SELECT row_number() OVER (ORDER BY rerank_score DESC, hybrid_rank) AS rank, doc_id, rerank_score, hybrid_rank FROM s ORDER BY rerank_score DESC, hybrid_rank LIMIT 5""")
+def reranked_topk(spark, sf_dir):
+    """The best five of twenty candidates by the share of the question's terms that they hold, as a reranker gives them."""
+    docs = read_table(spark, sf_dir, "documents")
+    terms = sorted(set(lexical.terms_of(spark, QUESTION)))
+    hits = written(asked(spark, sf_dir, "documents", "doc_id", k=20), "candidates")  # twenty rows
+    held = F.size(F.array_intersect(lexical.plain_tokens(F.col("text")), F.array(*map(F.lit, terms))))
+    results = docs.join(F.broadcast(hits), "doc_id").select((F.col("rank") - 1).alias("index"), F.round(held / len(terms), 6).alias("rerank_score"))
+    return fusion.reranked(fusion.checked_results(hits, written(results, "reranked")), key="doc_id")
+
+
+@query(ORACLE["context_build"].replace("AS context, count(*) AS citations", "AS context") .replace("SELECT string_agg", f"SELECT '{fusion.GROUNDING}' || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg").replace("AS context FROM", f"|| chr(10) || chr(10) || 'Question: {QUESTION}' AS prompt FROM"))
+def grounded_prompt(spark, sf_dir):
+    """What a generator is asked: the rules, the numbered context of the best five chunks, and the question."""
+    chunks = chunk_once(spark, sf_dir)
+    hits = chunks.join(F.broadcast(asked(spark, sf_dir, "chunk", "chunk_id")), "chunk_id")  # five rows
+    return fusion.build_context(hits).select(fusion.grounded_prompt(F.lit(QUESTION), F.col("context")).alias("prompt"))
+
+
+# ------------------------------------------------------------------------------------------------- store
+
+_STORED = f"{_CHUNK_ONCE}, base AS (SELECT chunk_id, source, text FROM chunk_once WHERE coalesce(trim(source), '') <> '' AND coalesce(trim(text), '') <> '')"
+_SEVERAL = "several AS (SELECT source FROM source_state GROUP BY source HAVING count(DISTINCT source_hash) > 1)"
+
+
+def _base_store(spark, sf_dir):
+    """A new store with every chunk that has a source and a text."""
+    import uuid
+
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    rows = chunk_once(spark, sf_dir).where(filled("source") & filled("text")).select("chunk_id", "source", "text")
+    store = ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "chunk_id string, source string, text string")
+    store.upsert(rows)
+    return store, rows
+
+
+def _several_hashes(spark, sf_dir):
+    states = read_table(spark, sf_dir, "source_state")
+    return states, states.groupBy("source").agg(F.countDistinct("source_hash").alias("n")).where("n > 1").select("source")
+
+
+@query(f"""WITH {_STORED}, c AS (SELECT DISTINCT s.chunk_id AS chunk_id FROM (SELECT unnest(sources) AS s FROM answers)),
+n AS (SELECT chunk_id, source, 'Cited: ' || text AS text FROM base WHERE chunk_id IN (SELECT chunk_id FROM c WHERE chunk_id IS NOT NULL)
+  UNION ALL SELECT x AS chunk_id, min(source) AS source, 'Listed only.' AS text FROM (SELECT source, unnest(chunk_ids) AS x FROM source_state) WHERE x IS NOT NULL AND source IS NOT NULL AND x NOT IN (SELECT chunk_id FROM base) GROUP BY x)
+SELECT chunk_id, source, md5(text) AS text FROM n UNION ALL SELECT chunk_id, source, md5(text) FROM base WHERE chunk_id NOT IN (SELECT chunk_id FROM n)""")
+def store_upsert(spark, sf_dir):
+    """A store of all chunks after cited ones were stored anew and listed ones without a row were added."""
+    store, base = _base_store(spark, sf_dir)
+    cited = read_table(spark, sf_dir, "answers").select(F.explode("sources").alias("s")).select("s.chunk_id").distinct()
+    states = read_table(spark, sf_dir, "source_state").where("source IS NOT NULL").select(F.explode("chunk_ids").alias("chunk_id"), "source").where("chunk_id IS NOT NULL")
+    listed = states.join(base.select("chunk_id"), "chunk_id", "left_anti").groupBy("chunk_id").agg(F.min("source").alias("source")).withColumn("text", F.lit("Listed only."))
+    store.upsert(base.join(cited, "chunk_id", "left_semi").withColumn("text", F.concat(F.lit("Cited: "), "text")).unionByName(listed))
+    return store.read().select("chunk_id", "source", F.md5("text").alias("text"))
+
+
+@query(f"""WITH {_STORED}, {_SEVERAL}, n AS (SELECT DISTINCT x AS chunk_id, source, 'State of ' || source AS text FROM (SELECT source, unnest(chunk_ids) AS x FROM source_state) JOIN several USING (source) WHERE x IS NOT NULL)
+SELECT source, count(*) AS chunks, min(chunk_id) AS first, max(md5(text)) AS text FROM (SELECT * FROM n UNION ALL SELECT * FROM base WHERE source NOT IN (SELECT source FROM several)) GROUP BY source""")
+def store_replace(spark, sf_dir):
+    """Chunks by source after every source with several hashes was replaced by the ids that its states list."""
+    store, _ = _base_store(spark, sf_dir)
+    states, several = _several_hashes(spark, sf_dir)
+    rows = states.join(several, "source").select(F.explode("chunk_ids").alias("chunk_id"), "source", F.concat(F.lit("State of "), "source").alias("text"))
+    store.replace_sources(rows.where("chunk_id IS NOT NULL").distinct())
+    return store.read().groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk_id").alias("first"), F.max(F.md5("text")).alias("text"))
+
+
+@query(f"WITH {_STORED}, {_SEVERAL} SELECT source, count(*) AS chunks FROM base WHERE source NOT IN (SELECT source FROM several) GROUP BY source")
+def store_delete(spark, sf_dir):
+    """Chunks by source after every source with several hashes was deleted."""
+    store, _ = _base_store(spark, sf_dir)
+    store.delete_sources(_several_hashes(spark, sf_dir)[1])
+    return store.read().groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 # ----------------------------------------------------------------------------------------------- answers
 
 _LAST = "la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY received_at DESC, created_at DESC) AS rn FROM answers WHERE answer_id IS NOT NULL) WHERE rn = 1)"
@@ -594,10 +691,10 @@ def history_last5(spark, sf_dir):
     return sessions.latest_history(read_table(spark, sf_dir, "answers"))
 
 
-@query(f"WITH {_LAST} SELECT answer_id, question FROM la WHERE contains(replace(lower(question), 'ß', 'ss'), 'training matrix')")
+@query(f"WITH {_LAST} SELECT answer_id, question FROM la WHERE contains(replace(lower(question), 'ß', 'ss'), 'release record')")
 def history_search(spark, sf_dir):
-    """Answers whose question names the training matrix."""
-    return sessions.search_questions(read_table(spark, sf_dir, "answers"), " Training Matrix ")
+    """Answers whose question names the release record."""
+    return sessions.search_questions(read_table(spark, sf_dir, "answers"), " Release Record ")
 
 
 _CITED = "ci AS (SELECT answer_id, coalesce(s.number, i)::INTEGER AS number, s.source AS source, s.page AS page, s.chunk_id AS chunk_id FROM (SELECT answer_id, unnest(sources) AS s, generate_subscripts(sources, 1) AS i FROM la))"
@@ -673,8 +770,9 @@ def streamed_quality(spark, sf_dir):
 
     from ..streaming.pages import page_stream, quality_by_day
 
-    name = f"streamed_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
     stream = quality_by_day(page_stream(spark, f"{sf_dir}/pages.parquet"))
-    run = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.col("day").cast("timestamp_ntz").alias("day"), "quality", "pages")
+    # the whole result of each trigger takes the place of the one before, as a table
+    table = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/table"))
+    table.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table").select(F.col("day").cast("timestamp_ntz").alias("day"), "quality", "pages")

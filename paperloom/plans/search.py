@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +13,28 @@ from ..adapters import Embedder, Generator, OverlapReranker, Reranker, Translato
 from ..functions import text as X
 from ..operators import fusion, lexical, vectors
 from ..operators.sync import require
+from ..session import written
 
 
 @dataclass
 class HybridSearcher:
-    """Both legs over one corpus (chunk_id, source, page, text, embedding); ``exact`` picks the stemming tokenizer."""
+    """Both legs over one corpus (chunk_id, source, page, text, embedding); ``exact`` picks the stemming tokenizer.
+
+    The first question checks the models of all rows and writes the lexical index; later ones read both legs only.
+    """
 
     corpus: DataFrame
     embedder: Embedder
     translator: Translator | None = None
     exact: bool = False
 
+    @cached_property
+    def index(self) -> lexical.LexicalIndex:
+        """The lexical index, made once, after a check that all vectors are of the query's model."""
+        vectors.require_one_model(self.corpus, self.embedder.name, self.embedder.dimensions)
+        rows = lexical.one_row_per_key(self.corpus, "chunk_id", ["text"])
+        return lexical.build_index(lexical.tokenized(rows, "chunk_id", exact=self.exact), "chunk_id")
+
     def search(self, query: str, k: int = 5, candidates: int = 20, rrf_k: int = fusion.RRF_K) -> DataFrame:
         """(rank, chunk_id, rrf_score, …, source, page, text): the fused top k of ``candidates`` hits a leg.
 
@@ -33,14 +45,15 @@ class HybridSearcher:
         query = query.strip()
         if not query:
             raise ValueError("the query is blank")
-        vectors.require_one_model(self.corpus, self.embedder.name, self.embedder.dimensions)
+        index = self.index
         words = checked_translation(query, self.translator.translate) if self.translator else query
-        lexical_hits = lexical.bm25_search(self.corpus, words, k=candidates, exact=self.exact)
+        lexical_hits = lexical.search_index(index, "chunk_id", lexical.terms_of(self.corpus.sparkSession, words, self.exact), k=candidates)
         near = vectors.vector_search(self.corpus, self.embedder.query(query), "chunk_id", k=candidates)
-        fused = fusion.fuse(near, lexical_hits, k=k, rrf_k=rrf_k)
-        require(fusion.outside_corpus(fused, self.corpus), "hits outside the corpus")
-        texts = self.corpus.select("chunk_id", "source", "page", "text")
-        return fused.join(texts, "chunk_id").dropDuplicates(["chunk_id"]).orderBy("rank")
+        fused = written(fusion.fuse(near, lexical_hits, k=k, rrf_k=rrf_k), "fused")  # k rows
+        texts = self.corpus.select("chunk_id", "source", "page", "text").join(F.broadcast(fused), "chunk_id").dropDuplicates(["chunk_id"])
+        found = written(texts, "hits")
+        require(fusion.outside_corpus(fused, found), "hits outside the corpus")
+        return found.select(*fused.columns, "source", "page", "text").orderBy("rank")
 
 
 def answer(question: str, searcher: HybridSearcher, generator: Generator, reranker: Reranker | None = None, k: int = 5, candidates: int = 20, threshold: float = fusion.EVIDENCE) -> dict:

@@ -47,19 +47,28 @@ def drop_written(spark: SparkSession) -> int:
     return gone
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read again.
 
     Cuts the lineage: what follows reads the files, so a lost executor costs its tasks and no earlier stage.
-    The tables stay until ``drop_written`` or the cluster clears the folder.
+    The tables stay until ``drop_written``, which passes over those to ``keep``, or the cluster clears the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    if not keep:
+        _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(bytes, files, time of the last change) of a stored table: changes when its files do."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(at)
+    return size.getLength(), size.getFileCount(), fs.getFileStatus(at).getModificationTime()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables in a data folder.
 

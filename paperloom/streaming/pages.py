@@ -1,4 +1,4 @@
-"""Incremental page scoring as a stream (an extension: the batch operators are the reference's own work).
+"""Incremental page scoring as a stream, beside the batch operators.
 
 New page files are scored as they arrive; late repeats of a page are dropped within the watermark.
 """

@@ -32,6 +32,25 @@ def test_synchronise(spark, tmp_path):
         pipeline.synchronise(again.limit(0), again.limit(0).select("source"), store)
 
 
+def test_synchronise_embeds_new_rows(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), pipeline.EMBEDDED_SCHEMA, parts=2)
+    pages, embedder = page_rows(spark, "a", "b"), HashEmbedder(16)
+    pipeline.synchronise(pages, pages.select("source"), store, embedder=embedder)
+    rows = store.read().collect()
+    assert rows and all(r["embedding_model"] == "hash-16" and len(r["embedding"]) == 16 for r in rows)
+    hits = HybridSearcher(store.read(), embedder).search("audit plan", 2, 5).collect()
+    assert hits and hits[0]["vector_rank"] is not None
+
+    class Fails(HashEmbedder):
+        def documents(self, texts):
+            raise RuntimeError("no service")
+
+    again = page_rows(spark, "a", "b", hash_="h2")
+    with pytest.raises(Exception, match="no service"):
+        pipeline.synchronise(again, again.select("source"), store, embedder=Fails(16))
+    assert {r["source_hash"] for r in store.read().collect()} == {"h1"}
+
+
 def test_store_writes(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "s"), "chunk_id string, source string, text string", parts=2)
     rows = spark.createDataFrame([("1", "a", "x"), ("2", "a", "y")], "chunk_id string, source string, text string")
@@ -46,6 +65,56 @@ def test_store_writes(spark, tmp_path):
             store.upsert(spark.createDataFrame(bad, "chunk_id string, source string, text string"))
 
 
+ROWS = "chunk_id string, source string, text string"
+
+
+def test_a_lost_writer_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    store = ChunkStore(spark, str(tmp_path / "s"), ROWS, parts=2)
+    store.upsert(spark.createDataFrame([("1", "a", "x"), ("2", "b", "y")], ROWS))
+    rows = lambda: sorted((r["chunk_id"], r["text"]) for r in store.read().collect())
+    before = rows()
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:  # between the data and the list
+        m.setattr(store, "_write_list", dies)
+        with pytest.raises(KeyboardInterrupt):
+            store.replace_source("a", spark.createDataFrame([("9", "a", "n")], ROWS))
+    assert rows() == before and store.exists()
+    (tmp_path / "s" / "state" / "000000000002.json").write_text('{"parts": 2, "fold')  # within the list
+    again = ChunkStore(spark, str(tmp_path / "s"), ROWS, parts=2)
+    assert rows() == before and again.exists()
+    (tmp_path / "s" / "state" / "000000000002.json").unlink()
+    store.replace_source("a", spark.createDataFrame([("9", "a", "n")], ROWS))
+    assert rows() == [("2", "y"), ("9", "n")]
+
+
+def test_of_two_writers_the_second_is_refused(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), ROWS, parts=2)
+    store.upsert(spark.createDataFrame([("1", "a", "x")], ROWS))
+    other = ChunkStore(spark, str(tmp_path / "s"), ROWS)
+
+    def meanwhile(rows):
+        other.upsert(spark.createDataFrame([("5", "c", "z")], ROWS))
+        return rows
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.replace_sources(spark.createDataFrame([("2", "a", "y")], ROWS), embed=meanwhile)
+    assert sorted(r["chunk_id"] for r in store.read().collect()) == ["1", "5"]
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._write_list(1, 2, {})
+
+
+def test_a_store_that_grows_is_laid_out_anew(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), ROWS, parts=1, part_bytes=1500)
+    for n in range(3):
+        store.upsert(spark.createDataFrame([(f"{n}-{i}", f"s{i}", "x" * 50) for i in range(20)], ROWS))
+    assert store.read().count() == 60 and store.parts > 1 and store.of_source("s7").count() == 3
+    used = {v.split("/")[0] for _, state in store._versions() for v in state["folders"].values()}
+    assert len(store._versions()) <= 2 and used
+
+
 def test_source_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"one")
     (tmp_path / "b.txt").write_bytes(b"two")
@@ -96,6 +165,11 @@ def test_answer(spark):
     corpus = embed_rows(rows, HashEmbedder(32)).cache()
     got = answer("Who keeps the audit plan?", HybridSearcher(corpus, HashEmbedder(32)), FirstBlockGenerator(), k=3, candidates=10)
     assert got["evidence_passed"] and got["answer"].endswith("[1]") and got["sources"][0]["chunk_id"] == "c0"
+    searcher = HybridSearcher(corpus, HashEmbedder(32))
+    first, index = [tuple(r) for r in searcher.search("audit plan").collect()], searcher.index
+    assert [tuple(r) for r in searcher.search("audit plan").collect()] == first and searcher.index is index and len(first) == 3
+    with pytest.raises(RuntimeError):
+        HybridSearcher(corpus, HashEmbedder(16)).search("audit plan")
     none = answer("zebra giraffe", HybridSearcher(corpus, HashEmbedder(32)), FirstBlockGenerator(), candidates=10)
     assert not none["evidence_passed"] and none["sources"] == []
 
@@ -119,6 +193,43 @@ def test_drop_written(spark):
     assert df.count() == 3 and drop_written(spark) == 1 and drop_written(spark) == 0
 
 
+def test_rerank_results_are_checked(spark):
+    from paperloom.operators import fusion
+
+    hits = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "chunk_id string, rank int")
+    of = lambda *rows: spark.createDataFrame(list(rows), "index int, rerank_score double")
+    out = fusion.reranked(fusion.checked_results(hits, of((0, 0.1), (1, 0.9), (2, 0.1))), n=2).collect()
+    assert [(r["rank"], r["chunk_id"], r["hybrid_rank"]) for r in out] == [(1, "b", 2), (2, "a", 1)]
+    for bad in ([(0, 0.1), (1, 0.9), (3, 0.1)], [(0, 0.1), (1, 0.9), (1, 0.1), (2, 0.3)], [(0, 0.1), (1, 0.9)]):
+        with pytest.raises(RuntimeError):
+            fusion.checked_results(hits, of(*bad))
+
+
+def test_vectors_of_several_lengths(spark):
+    from paperloom.operators.vectors import nearest_for_all
+
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [5.0, 5.0]), (3, [1.0, 1.0, 1.0]), (4, [1.0, 1.0, 2.0]), (5, None), (6, []), (7, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query"], r["rank"]): (r["vec_id"], r["distance"]) for r in nearest_for_all(df, df, k=2).collect()}
+    assert got[0, 1] == (7, 0.0) and got[0, 2] == (1, 1.0) and got[3, 1] == (4, 1.0) and (3, 2) not in got and (5, 1) not in got
+    assert got == {(r["query"], r["rank"]): (r["vec_id"], r["distance"]) for r in nearest_for_all(df, df, k=2, sent_bytes=40).collect()}
+
+
+def test_cached_translation():
+    from paperloom.adapters import CachedTranslator
+
+    class Counting:
+        asked = 0
+
+        def translate(self, text):
+            self.asked += 1
+            return text.upper()
+
+    inner = Counting()
+    cached = CachedTranslator(inner)
+    assert [cached.translate("x"), cached.translate("x"), cached.translate("y")] == ["X", "X", "Y"] and inner.asked == 2
+
+
 def test_registry(spark, data):
     import __spark_entry__ as entry
 
