@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import read_table
@@ -42,6 +42,22 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisect_split.split_oversized(read_table(spark, sf_dir, "chunk"))
 
 
+def p3_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, characters, fit, whole, overlapping): for each text whether its pieces fit, leave nothing out and overlap as wanted."""
+    chunk = read_table(spark, sf_dir, "chunk").where("chunk_id IS NOT NULL AND text IS NOT NULL")
+    one = chunk.groupBy("chunk_id").agg(F.min(F.struct("text", "chunk_size", "chunk_overlap")).alias("r")).select("chunk_id", "r.*")
+    pieces = bisect_split.split_oversized(one)
+    limit = F.greatest(F.coalesce("chunk_size", F.lit(bisect_split.DEFAULT_LIMIT)), F.lit(1))
+    overlap = F.least(F.greatest(F.coalesce("chunk_overlap", F.lit(bisect_split.DEFAULT_OVERLAP)), F.lit(0)), limit - 1)
+    before = F.lag("end").over(Window.partitionBy("chunk_id").orderBy("piece"))
+    rows = pieces.withColumn("before", before).join(one.select("chunk_id", F.col("text").alias("stored"), limit.alias("limit"), overlap.alias("overlap")), "chunk_id")
+    right = (F.length("text") <= F.col("limit")) & (F.substring(F.col("stored"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text"))
+    joined = F.when(F.col("before").isNull(), F.col("start") == 0).otherwise((F.col("start") == F.greatest(F.col("before") - F.col("overlap"), F.lit(0))) & (F.col("end") > F.col("before")))
+    rows = rows.select("chunk_id", F.length("stored").alias("characters"), "end", right.alias("fit"), joined.alias("overlapping"))
+    out = rows.groupBy("chunk_id").agg(F.max("characters").alias("characters"), F.every("fit").alias("fit"), F.max("end").alias("last"), F.every("overlapping").alias("overlapping"))
+    return out.select("chunk_id", "characters", "fit", (F.col("last") == F.col("characters")).alias("whole"), "overlapping")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_lines(read_table(spark, sf_dir, "chunk")).select("source", "line")
 
@@ -114,7 +130,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_cleaned, p5_found, p5_forms, p6_found, p6_statistics, p7_found, p7_report, p8_found, p8_mixture, p8_token_mixture, p8_token_shares, p9_found, p9_scores)
+    for f in (p1_found, p1_groups, p2_found, p2_repaired, p3_found, p3_pieces, p3_covered, p4_found, p4_cleaned, p5_found, p5_forms, p6_found, p6_statistics, p7_found, p7_report, p8_found, p8_mixture, p8_token_mixture, p8_token_shares, p9_found, p9_scores)
 }
 
 _FORM = canonical.canonical_sql("text")
@@ -131,6 +147,18 @@ alike AS (SELECT a, b FROM both_ JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_
 same AS (SELECT x.chunk_id AS a, y.chunk_id AS b FROM c x JOIN c y ON x.stored = y.stored WHERE x.chunk_id < y.chunk_id)
 SELECT a AS chunk_id_a, b AS chunk_id_b FROM alike UNION SELECT a, b FROM same""",
     "p3_found": "SELECT DISTINCT chunk_id FROM chunk WHERE length(text) > greatest(coalesce(chunk_size, 800), 1)",
+    "p3_covered": "SELECT chunk_id, length(text)::INTEGER AS characters, true AS fit, true AS whole, true AS overlapping FROM (SELECT chunk_id, min(text) AS text FROM chunk WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id)",
+    "p4_cleaned": """
+WITH r AS (SELECT DISTINCT chunk_id, source, text FROM chunk),
+s AS (SELECT source, count(DISTINCT chunk_id) AS n FROM r WHERE source IS NOT NULL GROUP BY source),
+l AS (SELECT chunk_id, source, regexp_replace(trim(regexp_replace(lower(x), '[ \\t\\r]+', ' ', 'g')), '[0-9]+', '#', 'g') AS line
+      FROM (SELECT chunk_id, source, unnest(string_split(text, chr(10))) AS x FROM r WHERE source IS NOT NULL AND chunk_id IS NOT NULL)),
+k AS (SELECT source, line, count(DISTINCT chunk_id) AS c FROM l WHERE regexp_matches(line, '\\p{L}') GROUP BY source, line),
+f AS (SELECT source, list(line) AS gone FROM k JOIN s USING (source) WHERE c >= 8 AND 10 * c >= n GROUP BY source),
+t AS (SELECT chunk_id, source, text, string_split(text, chr(10)) AS lines, coalesce(gone, []) AS gone FROM r LEFT JOIN f USING (source)),
+u AS (SELECT *, list_filter(lines, lambda x: NOT list_contains(gone, regexp_replace(trim(regexp_replace(lower(x), '[ \\t\\r]+', ' ', 'g')), '[0-9]+', '#', 'g'))) AS kept FROM t)
+SELECT chunk_id, source, CASE WHEN text IS NULL OR len(kept) = len(lines) THEN text ELSE regexp_replace(array_to_string(kept, chr(10)), '^\\n+|\\n+$', '', 'g') END AS text,
+       CASE WHEN text IS NULL THEN 0 ELSE len(lines) - len(kept) END::INTEGER AS removed FROM u""",
     "p4_found": """
 WITH r AS (SELECT DISTINCT chunk_id, source, text FROM chunk WHERE chunk_id IS NOT NULL AND source IS NOT NULL),
 s AS (SELECT source, count(DISTINCT chunk_id) AS n FROM r GROUP BY source),
