@@ -130,10 +130,11 @@ def _count_pieces(batches):
         sources = np.asarray(batch.column(1)) if batch.num_rows else None
         for a, b, codes, offsets in _slices(batch, 0):
             hashes, texts, _, _ = content_pieces(codes, offsets)
-            once = np.unique(np.stack([hashes, texts.astype(np.uint64)], axis=1), axis=0)
-            pairs = np.stack([sources[a:b][once[:, 1].astype(np.int64)].view(np.uint64), once[:, 0]], axis=1)
-            pairs, counts = np.unique(pairs, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64)), pa.array(counts.astype(np.int32))], ["source_hash", "piece", "documents"])
+            # sorts of single 64-bit keys; a piece counts once a text, then its texts are counted by source
+            once = np.unique(V.mix(hashes + V.mix(V.spread(texts))), return_index=True)[1]
+            hashes, source = hashes[once], sources[a:b][texts[once]]
+            _, first, counts = np.unique(V.mix(hashes + V.mix(source.view(np.uint64))), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(source[first]), pa.array(hashes[first].view(np.int64)), pa.array(counts.astype(np.int32))], ["source_hash", "piece", "documents"])
 
 
 def _lines(codes: np.ndarray, offsets: np.ndarray):

@@ -70,6 +70,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spread(numbers: np.ndarray) -> np.ndarray:
+    """Small numbers far from those that other hashes start from, so that no sum of two hashes meets its mirror image."""
+    return numbers.astype(np.uint64) ^ np.uint64(_SEEDS[3])
+
+
 def slices(column: pa.Array | pa.ChunkedArray, chars: int = SLICE_CHARS):
     """Row ranges (first, end) of a string column with about ``chars`` bytes of text each."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
