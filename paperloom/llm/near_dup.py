@@ -178,6 +178,11 @@ def _paths(coordinates: np.ndarray, s: JoinSettings, large: list[KeyFilter]) ->
     return np.concatenate(done_nodes), np.concatenate(done_rows), np.concatenate(done_last)
 
 
+def _once(nodes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the distinct (node, row) pairs, by one sort of 64-bit keys."""
+    return np.unique(V.mix(nodes ^ V.mix(V.spread(rows))), return_index=True)[1]
+
+
 def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), dtype).reshape(len(values), width)
@@ -210,9 +215,9 @@ def _leaves(sets: DataFrame, s: JoinSettings, large: list[KeyFilter], shared: li
                 nodes, rows = nodes[met], rows[met]
                 bits = _matrix(batch.column(2), np.int64, 2)
                 ids = np.asarray(batch.column(0))
-                pairs = np.unique(np.stack([nodes.view(np.int64), rows], axis=1), axis=0)
-                at = pairs[:, 1]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[:, 0], ids[at], bits[at, 0], bits[at, 1])], ["node", "id", "bits_a", "bits_b"])
+                once = _once(nodes, rows)
+                at = rows[once]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[once].view(np.int64), ids[at], bits[at, 0], bits[at, 1])], ["node", "id", "bits_a", "bits_b"])
 
     return sets.select("id", "coordinates", "bits").mapInArrow(run, "node bigint, id bigint, bits_a bigint, bits_b bigint")
 
@@ -316,9 +321,9 @@ def _walked(sets: DataFrame, s: JoinSettings) -> tuple[DataFrame, DataFrame | No
                 else:
                     nodes = np.asarray(batch.column(0)).view(np.uint64)
                 nodes, rows = _children(coordinates, nodes, rows, depth, s.branches), np.tile(rows, s.branches)
-                pairs = np.unique(np.stack([nodes.view(np.int64), rows], axis=1), axis=0)
-                at = pa.array(pairs[:, 1])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), *(batch.column(k).take(at) for k in (1, 2, 3))], ["node", "id", "coordinates", "bits"])
+                once = _once(nodes, rows)
+                at = pa.array(rows[once])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[once].view(np.int64)), *(batch.column(k).take(at) for k in (1, 2, 3))], ["node", "id", "coordinates", "bits"])
 
         return run
 
