@@ -81,7 +81,7 @@ def keyword_cover(hashes: np.ndarray, docs: np.ndarray, words: np.ndarray) -> np
     pairs, at = V.ngrams(hashes, docs, 2)
     if not len(at):
         return covered
-    keys = V.mix(pairs + docs[at].astype(np.uint64))  # equal pairs of one page have equal keys
+    keys = V.mix(pairs + V.mix(V.spread(docs[at])))  # equal pairs of one page have equal keys
     order = np.argsort(keys, kind="stable")
     keys, place = keys[order], at[order]
     again = np.r_[False, keys[1:] == keys[:-1]]
