@@ -114,18 +114,24 @@ def ink_share(pixels: np.ndarray) -> float:
     return float((small < WHITE).mean()) if small.size else 0.0
 
 
-def blank_pages(images: DataFrame) -> DataFrame:
-    """(source, page): pages whose grey image (source, page, width, height, pixels) has hardly any ink.
+def blank_checks(images: DataFrame) -> DataFrame:
+    """(source, page, blank, error): whether a grey image (source, page, width, height, pixels) has hardly any ink.
 
-    An image that is missing or of the wrong size is not blank.
+    An image that is missing or of the wrong size is not blank and has an error.
     """
 
     def run(batches):
         for batch in batches:
-            keep = []
+            blank, errors = [], []
             for width, height, raw in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                ok = raw is not None and width and height and len(raw) == width * height
-                keep.append(bool(ok) and ink_share(np.frombuffer(raw, np.uint8).reshape(height, width).astype(float)) <= INK_SHARE)
-            yield batch.select(["source", "page"]).filter(pa.array(keep, pa.bool_()))
+                error = "no image" if raw is None else None if width and height and len(raw) == width * height else "the image has another size than stated"
+                errors.append(error)
+                blank.append(error is None and ink_share(np.frombuffer(raw, np.uint8).reshape(height, width).astype(float)) <= INK_SHARE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blank, pa.bool_()), pa.array(errors, pa.string())], ["source", "page", "blank", "error"])
+
+    return images.select("source", "page", "width", "height", "pixels").mapInArrow(run, "source string, page int, blank boolean, error string")
 
-    return images.select("source", "page", "width", "height", "pixels").mapInArrow(run, "source string, page int").distinct()
+
+def blank_pages(images: DataFrame) -> DataFrame:
+    """(source, page): pages whose grey image has hardly any ink."""
+    return blank_checks(images).where("blank").select("source", "page").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Text of a page that failed without any message.
 NO_TEXT = "No usable text was extracted from the page."
+CHECK_FAILED = "Visual blank-page check failed: "
 LOADERS = ("pypdf", "pymupdf", "tesseract")
 
 
@@ -50,11 +51,17 @@ def attempt_records(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("source", "page").agg(F.sort_array(F.collect_list(record)).alias("attempts"))
 
 
-def attempt_errors(attempts: DataFrame, fallback: str = NO_TEXT) -> DataFrame:
-    """(source, page, error): the messages of a page in stage order, joined by '; '; else the fallback text."""
+def attempt_errors(attempts: DataFrame, fallback: str = NO_TEXT, checks: DataFrame | None = None) -> DataFrame:
+    """(source, page, error): the messages of a page in stage order, joined by '; '; else why its check for a blank
+    page failed, which ``checks`` (source, page, error) tells; else the fallback text."""
     told = F.when(F.trim("error") != "", F.struct("stage_ord", F.trim("error").alias("error")))
     out = attempts.groupBy("source", "page").agg(F.sort_array(F.collect_list(told)).alias("e"))
-    return out.select("source", "page", F.coalesce(F.nullif(F.array_join(F.transform("e", lambda x: x["error"]), "; "), F.lit("")), F.lit(fallback)).alias("error"))
+    told = F.nullif(F.array_join(F.transform("e", lambda x: x["error"]), "; "), F.lit(""))
+    if checks is None:
+        return out.select("source", "page", F.coalesce(told, F.lit(fallback)).alias("error"))
+    failed = checks.where("error IS NOT NULL").groupBy("source", "page").agg(F.concat(F.lit(CHECK_FAILED), F.min("error")).alias("check"))
+    same = out["source"].eqNullSafe(failed["source"]) & out["page"].eqNullSafe(failed["page"])
+    return out.join(failed, same, "left").select(out["source"], out["page"], F.coalesce(told, "check", F.lit(fallback)).alias("error"))
 
 
 def page_status(attempts: DataFrame, blank: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ..adapters import Embedder, embed_rows
 from ..operators import chunking, extraction, sync
 from ..operators.cascade import extract_pages
 from ..session import written
-from ..sources.files import changed_files, source_files
+from ..sources.files import changed_files, failed_files, listed_files, source_files
 from ..sources.store import ChunkStore
 
 
@@ -46,15 +46,18 @@ def accepted_pages(attempts: DataFrame, blank: DataFrame | None = None) -> DataF
 def ingest(spark, folder: str, extractors: list, store: ChunkStore, settings: IngestSettings = IngestSettings(), dry_run: bool = False, allow_delete_all: bool = False, embedder: Embedder | None = None) -> DataFrame:
     """Synchronises a store with a folder of files and returns the plan.
 
-    Hashes come first: files whose hash and version are stored are not extracted again.
+    Hashes come first: files whose hash and version are stored are not extracted again.  Files that cannot be read
+    are in the plan as FAILED and keep what is stored of them.
     """
-    files = source_files(spark, folder)
-    present = files.select("source")
+    files, listed = source_files(spark, folder), listed_files(spark, folder)
+    present = listed.select("source")
+    hashed = written(files.select("source", "path", "source_hash"), "hashes")
+    failed = written(failed_files(listed, hashed).select("source", F.lit("FAILED").alias("action")), "failed-files")
     states = sync.source_states(store.read())
     fresh = changed_files(files, states, settings.stored_version)
     pages = written(accepted_pages(extract_pages(fresh, extractors)), "accepted")
-    same = files.join(fresh.select("source"), "source", "left_anti").select("source", "source_hash")
-    return synchronise(pages, present, store, settings, dry_run, allow_delete_all, same, embedder)
+    same = hashed.join(changed_files(hashed, states, settings.stored_version).select("source"), "source", "left_anti").select("source", "source_hash")
+    return synchronise(pages, present, store, settings, dry_run, allow_delete_all, same, embedder).unionByName(failed)
 
 
 STORE_SCHEMA = "chunk_id string, source string, page int, chunk_index int, text string, char_count int, chunk_size int, chunk_overlap int, noise_lines_removed int, source_hash string, pipeline_version string"

@@ -151,6 +151,36 @@ def test_ingest_folder(spark, tmp_path):
     assert {r["page"] for r in store.read().collect()} == {1}
 
 
+def test_unreadable_files_do_not_stop_an_ingestion(spark, tmp_path):
+    from paperloom.operators.cascade import FormFeedText
+    from paperloom.sources.files import failed_files, listed_files
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.pdf").write_text("The audit plan is kept by the lead of the site. " * 4)
+    (tmp_path / "docs" / "b.pdf").write_text("x" * 5000)
+    store = ChunkStore(spark, str(tmp_path / "store"), pipeline.STORE_SCHEMA, parts=2)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        folder = str(tmp_path / "docs")
+        failed = failed_files(listed_files(spark, folder), source_files(spark, folder)).collect()
+        assert [(r["source"], r["error"]) for r in failed] == [("b.pdf", "SHA-256 failed: the file is too long")]
+        plan = pipeline.ingest(spark, folder, [FormFeedText()], store)
+        assert {r["source"]: r["action"] for r in plan.collect()} == {"a.pdf": "ADD", "b.pdf": "FAILED"}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_blank_check_errors(spark):
+    from paperloom.operators.cascade import blank_checks
+    from paperloom.operators.extraction import NO_TEXT, attempt_errors
+
+    rows = [("a", 1, 2, 2, bytearray(b"1234")), ("a", 2, 2, 2, bytearray(b"123")), ("a", 3, None, None, None)]
+    checks = blank_checks(spark.createDataFrame(rows, "source string, page int, width int, height int, pixels binary"))
+    attempts = spark.createDataFrame([("a", p, 1, e) for p, e in ((1, None), (2, " "), (3, None), (4, "broken"), (2, None))], "source string, page int, stage_ord int, error string")
+    got = {r["page"]: r["error"] for r in attempt_errors(attempts, checks=checks).collect()}
+    assert got == {1: NO_TEXT, 2: "Visual blank-page check failed: the image has another size than stated", 3: "Visual blank-page check failed: no image", 4: "broken"}
+
+
 def test_blank_pages(spark):
     from paperloom.operators.cascade import blank_pages
 
