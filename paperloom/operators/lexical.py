@@ -123,28 +123,36 @@ def bm25_scores(tokens: DataFrame, key: str, terms: list[str], k1: float = K1, b
 
 @dataclass
 class LexicalIndex:
-    """Postings sorted by term with their idf, and the mean length of a row."""
+    """Postings and weights of all terms, both sorted by term within their files, the mean length of a row, and the
+    weight of terms that most rows hold."""
 
-    postings: DataFrame  # term, idf, key, dl, tf
+    postings: DataFrame  # term, key, dl, tf
+    idf: DataFrame  # term, idf
     mean_length: float
+    floor: float
+
+
+#: Parts of one term's postings, so that a term of very many rows is written and read by several tasks.
+TERM_PARTS = 16
 
 
 def build_index(tokens: DataFrame, key: str, strict: bool = False, epsilon: float = EPSILON) -> LexicalIndex:
-    """Writes the postings of a corpus, range-partitioned and sorted by term: a search reads only the row groups
-    that may hold its terms.  Rows without terms are left out; ``strict`` raises on them instead."""
+    """Writes the postings of a corpus, parted and sorted by term: a search reads only the row groups that may hold
+    its terms.  Rows without terms are left out; ``strict`` raises on them instead."""
     if strict:
         bad = tokenless(tokens).limit(3).collect()
         if bad:
             raise ValueError(f"rows without any term: {[r[key] for r in bad]}")
     rows = tokens.where(F.size("terms") > 0)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms").cast("double")).alias("avgdl")).first()
-    found = written(postings(tokens, key).withColumnRenamed("doc_len", "dl"), "postings")
+    found = postings(tokens, key).select("term", key, F.col("doc_len").alias("dl"), "tf")
+    found = found.repartition("term", F.pmod(F.xxhash64(key), F.lit(TERM_PARTS))).sortWithinPartitions("term")
+    found = written(found, "lexical-index", keep=True)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = written(df.select("term", (F.log(F.lit(size["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "idf")
+    idf = df.select("term", (F.log(F.lit(size["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    idf = written(idf.sortWithinPartitions("term"), "lexical-weights", keep=True)
     mean = idf.agg(F.avg("idf").alias("m")).first()["m"] or 0.0
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
-    ordered = found.join(idf, "term").select("term", "idf", key, "dl", "tf").repartitionByRange("term", key).sortWithinPartitions("term", key)
-    return LexicalIndex(written(ordered, "lexical-index", keep=True), size["avgdl"] or 1.0)
+    return LexicalIndex(found, idf, size["avgdl"] or 1.0, epsilon * mean)
 
 
 _INDEXES: dict[tuple, LexicalIndex] = {}
@@ -167,8 +175,11 @@ def search_index(index: LexicalIndex, key: str, terms: list[str], k: int = 5, k1
     for t in terms:
         times[t] = times.get(t, 0) + 1
     weight = F.coalesce(*(F.when(F.col("term") == t, n) for t, n in times.items()), F.lit(0)) if times else F.lit(0)
-    hits = index.postings.where(F.col("term").isin(*times)) if times else index.postings.limit(0)
-    part = F.col("idf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length)))
+    chosen = F.col("term").isin(*times) if times else F.lit(False)
+    # no more rows than the question has terms
+    weights = F.broadcast(index.idf.where(chosen).select("term", (F.when(F.col("idf") < 0, F.lit(index.floor)).otherwise(F.col("idf")) * weight).alias("w")))
+    hits = index.postings.where(chosen).join(weights, "term")
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length)))
     scored = hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score"))
     if allowed is not None:
         scored = scored.join(allowed.select(key).distinct(), key, "left_semi")
