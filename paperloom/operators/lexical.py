@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem
-from ..session import written
+from ..session import stored, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -159,9 +159,12 @@ _INDEXES: dict[tuple, LexicalIndex] = {}
 
 
 def session_index(name: tuple, key: str, tokens, spark: SparkSession) -> LexicalIndex:
-    """The index of that name, made once a session from ``tokens()``; ``name`` changes whenever the corpus does."""
+    """The index of that name, made once a session from ``tokens()``; ``name`` changes whenever the corpus does.
+
+    It is made again if the shared folder has been cleared since.
+    """
     name = (spark.sparkContext.applicationId, *name)
-    if name not in _INDEXES:
+    if name not in _INDEXES or not (stored(_INDEXES[name].postings) and stored(_INDEXES[name].idf)):
         _INDEXES[name] = build_index(tokens(), key)
     return _INDEXES[name]
 

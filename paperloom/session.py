@@ -61,6 +61,13 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> bool:
+    """Whether the files that a written table reads are all still there."""
+    spark = df.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return bool(paths) and all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths[:1] + paths[-1:])
+
+
 def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """(bytes, files, time of the last change) of a stored table: changes when its files do."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -133,3 +133,17 @@ def test_history(spark):
     assert rows(sessions.latest_history(df), "place", "answer_id") == [(1, 6), (2, 5), (3, 4), (4, 3), (5, 2)]
     assert {tuple(r)[1:] for r in sessions.citation_report(df).collect()} == {(2, 1, 1)}
     assert sessions.latest_history(df.limit(0)).count() == 0
+
+
+def test_session_index_is_made_once_and_again_when_its_files_are_gone(spark, data):
+    from paperloom.plans import registry
+    from paperloom.session import drop_written
+
+    first = registry.text_index(spark, data, "documents", "doc_id")
+    drop_written(spark)  # what a session keeps stays
+    assert registry.text_index(spark, data, "documents", "doc_id") is first
+    before = [tuple(r) for r in registry.QUERIES["bm25_topk"](spark, data).collect()]
+    at = spark._jvm.org.apache.hadoop.fs.Path(first.postings.inputFiles()[0]).getParent()
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    again = registry.text_index(spark, data, "documents", "doc_id")
+    assert again is not first and [tuple(r) for r in registry.QUERIES["bm25_topk"](spark, data).collect()] == before
