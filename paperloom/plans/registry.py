@@ -220,8 +220,7 @@ def page_quality(spark, sf_dir):
     return text_quality(read_table(spark, sf_dir, "pages").select("source", "page", "ingested_at", "text")).select("source", "page", "ingested_at", "score", "quality", F.array_join("reasons", " ").alias("reasons"))
 
 
-_NOISE_ANY = "regexp_matches(f, '(?i)^©\\s*ISO\\b.*all rights reserved.*$') OR regexp_matches(f, '(?i)^ISO\\s+\\d{3,6}:\\d{4}\\s*\\d{4}-\\d{2}$')"
-_NOISE_EDGE = "regexp_matches(f, '(?i)^ISO\\s+\\d{3,6}:\\d{4}\\s*\\([a-z]{1,3}\\)$') OR regexp_matches(f, '^\\d{1,4}$') OR regexp_matches(f, '(?i)^[ivxlcdm]{1,8}$')"
+_NOISE_ANY, _NOISE_EDGE = (" OR ".join(f"regexp_matches(f, '{p}')" for p in shapes) for shapes in (chunking.NOISE_ANYWHERE, chunking.NOISE_AT_EDGE))
 
 
 @query(f"""
@@ -722,7 +721,13 @@ def citation_groups(spark, sf_dir):
     return sessions.citation_report(read_table(spark, sf_dir, "answers"))
 
 
-@query()
+_GROUP = "\\[[0-9]{1,3}(?:\\s*,\\s*[0-9]{1,3})*\\]"
+_NUMBERS = "list_transform(string_split(x[2:-2], ','), lambda y: trim(y))"
+
+
+@query(f"""WITH {_LAST}, p AS (SELECT answer_id, string_split(regexp_replace(answer, '({_GROUP})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p, list_transform(coalesce(sources, []), lambda s, i: coalesce(s.number, i)::VARCHAR) AS known FROM la)
+SELECT answer_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN regexp_full_match(x, '{_GROUP}') AND NOT starts_with(coalesce(p[i + 1], ''), '(') AND len(list_filter({_NUMBERS}, lambda n: NOT list_contains(known, n))) = 0
+  THEN array_to_string(list_transform({_NUMBERS}, lambda n: '[[' || n || ']](#' || 'source-' || regexp_replace(answer_id::VARCHAR, '[^a-zA-Z0-9_-]', '-', 'g') || '-' || n || ')'), ' ') ELSE x END), '') AS linked FROM p""")
 def linked_answers(spark, sf_dir):
     """Answers with links to their sources."""
     return sessions.linked_answers(read_table(spark, sf_dir, "answers"))

@@ -62,7 +62,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 def stored(df: DataFrame) -> bool:
-    """Whether the files that a written table reads are all still there."""
+    """Whether the files of a written table are still there; its first and its last one are looked for."""
     spark = df.sparkSession
     paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
     return bool(paths) and all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths[:1] + paths[-1:])
