@@ -126,33 +126,40 @@ class LexicalIndex:
     """Postings and weights of all terms, both sorted by term within their files, the mean length of a row, and the
     weight of terms that most rows hold."""
 
-    postings: DataFrame  # term, key, dl, tf
+    postings: DataFrame  # term, key, dl, tf, bucket
     idf: DataFrame  # term, idf
     mean_length: float
     floor: float
+    buckets: int
 
 
-#: Parts of one term's postings, so that a term of very many rows is written and read by several tasks.
-TERM_PARTS = 16
+#: Terms in the corpus for each folder of an index, at most so many folders, and parts of one folder, so that a term of
+#: very many rows is written and read by several tasks.
+BUCKET_TERMS, BUCKETS, TERM_PARTS = 20_000_000, 256, 16
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def build_index(tokens: DataFrame, key: str, strict: bool = False, epsilon: float = EPSILON) -> LexicalIndex:
-    """Writes the postings of a corpus, parted and sorted by term: a search reads only the row groups that may hold
-    its terms.  Rows without terms are left out; ``strict`` raises on them instead."""
+    """Writes the postings of a corpus, in folders by term and sorted by it: a search opens only the folders of its
+    terms and there reads the row groups that may hold them.  Rows without terms are left out; ``strict`` raises on them instead."""
     if strict:
         bad = tokenless(tokens).limit(3).collect()
         if bad:
             raise ValueError(f"rows without any term: {[r[key] for r in bad]}")
     rows = tokens.where(F.size("terms") > 0)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms").cast("double")).alias("avgdl")).first()
+    buckets = min(BUCKETS, 1 + int(size["n"] * (size["avgdl"] or 0) / BUCKET_TERMS))
     found = postings(tokens, key).select("term", key, F.col("doc_len").alias("dl"), "tf")
-    found = found.repartition("term", F.pmod(F.xxhash64(key), F.lit(TERM_PARTS))).sortWithinPartitions("term")
-    found = written(found, "lexical-index", keep=True)
+    found = found.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(TERM_PARTS)))
+    found = written(found.sortWithinPartitions("bucket", "term"), "lexical-index", keep=True, by="bucket")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", (F.log(F.lit(size["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     idf = written(idf.sortWithinPartitions("term"), "lexical-weights", keep=True)
     mean = idf.agg(F.avg("idf").alias("m")).first()["m"] or 0.0
-    return LexicalIndex(found, idf, size["avgdl"] or 1.0, epsilon * mean)
+    return LexicalIndex(found, idf, size["avgdl"] or 1.0, epsilon * mean, buckets)
 
 
 _INDEXES: dict[tuple, LexicalIndex] = {}
@@ -179,9 +186,12 @@ def search_index(index: LexicalIndex, key: str, terms: list[str], k: int = 5, k1
         times[t] = times.get(t, 0) + 1
     weight = F.coalesce(*(F.when(F.col("term") == t, n) for t, n in times.items()), F.lit(0)) if times else F.lit(0)
     chosen = F.col("term").isin(*times) if times else F.lit(False)
+    folders = F.lit(False)
+    for t in times:  # constants, which prune the folders
+        folders = folders | (F.col("bucket") == _bucket(F.lit(t), index.buckets))
     # no more rows than the question has terms
     weights = F.broadcast(index.idf.where(chosen).select("term", (F.when(F.col("idf") < 0, F.lit(index.floor)).otherwise(F.col("idf")) * weight).alias("w")))
-    hits = index.postings.where(chosen).join(weights, "term")
+    hits = index.postings.where(folders & chosen).join(weights, "term")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length)))
     scored = hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("bm25_score"))
     if allowed is not None:

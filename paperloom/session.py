@@ -47,15 +47,17 @@ def drop_written(spark: SparkSession) -> int:
     return gone
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read again.
 
     Cuts the lineage: what follows reads the files, so a lost executor costs its tasks and no earlier stage.
+    With ``by`` the rows lie in one folder for each value of that column, and a filter on it reads these folders only.
     The tables stay until ``drop_written``, which passes over those to ``keep``, or the cluster clears the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     if not keep:
         _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -147,3 +147,16 @@ def test_session_index_is_made_once_and_again_when_its_files_are_gone(spark, dat
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     again = registry.text_index(spark, data, "documents", "doc_id")
     assert again is not first and [tuple(r) for r in registry.QUERIES["bm25_topk"](spark, data).collect()] == before
+
+
+def test_index_in_several_folders_finds_the_same(spark, data, monkeypatch):
+    from paperloom.session import read_table
+
+    tokens = lexical.tokenized(read_table(spark, data, "documents"), "doc_id")
+    terms = ["audit", "plan", "audit", "the", "xyzzy"]
+    found = []
+    for size in (10**9, 500):
+        monkeypatch.setattr(lexical, "BUCKET_TERMS", size)
+        index = lexical.build_index(tokens, "doc_id")
+        found.append((index.buckets, [tuple(r) for r in lexical.search_index(index, "doc_id", terms, k=20).collect()]))
+    assert found[0][0] == 1 < found[1][0] and found[0][1] == found[1][1] and len(found[0][1]) == 20
