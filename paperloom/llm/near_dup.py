@@ -351,21 +351,32 @@ def _unpacked(batches):
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), batch.column(batch.schema.get_field_index("id")), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["node", "id", "bits_a", "bits_b"])
 
 
+def _parted(hot: KeyFilter, wanted: bool):
+    """The rows whose node the filter takes for one of its own, or the others."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(hot.maybe(np.asarray(batch.column(0))) == wanted))
+
+    return run
+
+
 def candidate_pairs(sets: DataFrame, s: JoinSettings, block: int = 8192) -> DataFrame:
     """(id_a, id_b) of sets whose sketches agree, found through the trees; ``sets`` has id, coordinates, bits."""
     leaves, counts = _counted(sets, s) or _walked(sets, s)
-    small, hot = leaves, None
+    small, rows = leaves, None
     if counts is not None:
         # leaves of the last depth that hold more than a block of records go through block against block
-        hot = counts.where(F.col("records") > block)
-        if hot.isEmpty():
-            hot = None
-    if hot is not None:
-        nodes = hot.select("node", F.ceil(F.col("records") / block).cast("int").alias("blocks"))
-        small = leaves.join(nodes, "node", "left_anti")
+        nodes = counts.where(F.col("records") > block).select("node", F.ceil(F.col("records") / block).cast("int").alias("blocks"))
+        if many := nodes.count():
+            # A filter parts the rows, not a join: the planner takes the partitions and the order of a join for those asked
+            # for, and when adaptive execution plans the join anew, leaves are torn.  A few small ones pass as one block.
+            hot = key_filter(nodes.select("node"), "node", 100 * many)
+            small = leaves.mapInArrow(_parted(hot, False), leaves.schema)
+            rows = leaves.mapInArrow(_parted(hot, True), leaves.schema).join(nodes, "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     found = small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_sorted(s.bits), "id_a bigint, id_b bigint")
-    if hot is not None:
-        rows = leaves.join(nodes, "node").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
+    if rows is not None:
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
         pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pairs = pairs.select(
             "node", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"),
@@ -465,25 +476,27 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", column: str = "text",
     return NearDuplicates(heads, written(several, "several"), links, linked, key)
 
 
-#: Exact copies of one text are paired with each other up to this number; of more, the first speaks for all.
-EXPANDED = 200
 #: Records of one class that one task pairs with as many others.
 PAIRED = 2000
 
 
-def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", column: str = "text", settings: JoinSettings = JoinSettings(), expanded: int = EXPANDED) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", column: str = "text", settings: JoinSettings = JoinSettings(), expanded: int | None = None) -> DataFrame:
     """(key_a, key_b): pairs of records at or above the threshold, the smaller key first.
 
-    Every link between different texts is there: all records of a class (equal shingle sets) are paired with each
-    other and with all records of linked classes.  Only exact copies of one stored text, where there are more than
-    ``expanded``, are spoken for by the first of them, which is paired with each of the others, so that copies never
-    multiply; ``class_links`` gives the class of every record.
+    All records of a class (equal shingle sets) are paired with each other and with all records of linked classes,
+    however many copies there are; the rows grow with the square of the copies.  With ``expanded`` the exact copies
+    of one stored text, where there are more than that, are spoken for by the first of them, which is paired with
+    each of the others; ``class_links`` gives the class of every record in one row each.
     """
     found = near_duplicates(df, key, column, settings)
-    copies = written(found.several.groupBy("id", "stored").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("n")), "copies")
-    many = copies.where(F.col("n") > expanded).select("id", "stored", "head")
-    rest = found.several.join(many.select("id", "stored"), ["id", "stored"], "left_anti").select("id", F.col(key).alias("k"))
-    several = written(rest.unionByName(many.select("id", F.col("head").alias("k"))).distinct(), "several-speaking")
+    several, spokes = found.several.select("id", F.col(key).alias("k")).distinct(), None
+    if expanded is not None:
+        copies = written(found.several.groupBy("id", "stored").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("n")), "copies")
+        many = copies.where(F.col("n") > expanded).select("id", "stored", "head")
+        rest = found.several.join(many.select("id", "stored"), ["id", "stored"], "left_anti").select("id", F.col(key).alias("k"))
+        several = rest.unionByName(many.select("id", F.col("head").alias("k"))).distinct()
+        spokes = found.several.join(many, ["id", "stored"]).select(F.col("head").alias("a"), F.col(key).alias("b"))
+    several = written(several, "several-speaking")
     alone = found.linked.where("rows = 1").select("id", F.col("head").alias("k"))
     speaking = alone.unionByName(several)
     a, b = (speaking.select(F.col("id").alias(f"id_{x}"), F.col("k").alias(x)) for x in "ab")
@@ -494,9 +507,13 @@ def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", column: str = "te
     own = sized.select("id", F.col("k").alias("a"), F.pmod(F.xxhash64("k"), F.col("blocks").cast("bigint")).cast("int").alias("block"))
     other = sized.select("id", F.col("k").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     within = own.join(other, ["id", "block"]).where("a < b").select("a", "b")
-    spokes = found.several.join(many, ["id", "stored"]).select(F.col("head").alias("a"), F.col(key).alias("b"))
-    pairs = between.unionByName(within).unionByName(spokes).where("a <> b")
-    return pairs.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
+    pairs = between.unionByName(within)
+    if spokes is not None:
+        pairs = pairs.unionByName(spokes)
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b"))
+    # a pair comes twice only by a spoke or where a key is in several classes; else the rows, which may be far more than the records, need no shuffle
+    once = spokes is None and speaking.groupBy("k").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").isEmpty()
+    return pairs if once else pairs.distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of similar chunks; of more than 200 exact copies of one text the first is paired with each other one."""
+    """All pairs of similar chunks, exact copies of one text too, however many there are."""
     return near_dup.near_duplicate_pairs(read_table(spark, sf_dir, "chunk"))
 
 

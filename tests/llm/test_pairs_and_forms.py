@@ -94,6 +94,17 @@ def test_many_copies_do_not_multiply(spark):
     assert groups["near"] == groups["c5"] == ("c0", 10) and groups["x2"][1] == 4
 
 
+def test_all_copies_are_paired_however_many(spark):
+    """More copies of one text than the 200 up to which they once were paired; a key of two texts brings no pair twice."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(f"c{i:03d}", text) for i in range(205)] + [("n1", text + " w30"), ("n2", text + " w30 w31")]
+    keys = sorted(k for k, _ in rows)
+    want = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+    for more in ([], [("c000", text + " w30")]):
+        got = near_dup.near_duplicate_pairs(spark.createDataFrame(rows + more, SCHEMA)).collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_different_texts_of_one_class_are_all_paired(spark):
     """Texts that differ in punctuation only have one triple set; none of their links is lost where copies are many."""
     words = [f"w{i}" for i in range(20)]
@@ -157,6 +168,26 @@ def test_large_leaves_go_by_blocks(spark):
     assert len(want - got) <= 0.01 * len(want)
 
 
+def test_small_leaves_stay_whole_beside_large_ones(spark):
+    """A group of records fills large leaves; pairs of small ones are found as well, and the partitioning they need is asked for, not taken over from a join."""
+    base = [f"w{i}" for i in range(40)]
+    alike = [(f"z{i:03d}", " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(40)]
+    rows = documents(400, 3) + alike
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = near_dup.sketch_texts(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", 3).withColumn("id", F.xxhash64("chunk_id")).persist()
+        names = {r["id"]: r["chunk_id"] for r in sets.select("id", "chunk_id").collect()}
+        s = near_dup.JoinSettings(leaf_size=0, max_depth=3)
+        found = near_dup.candidate_pairs(sets, s, block=16)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(sorted((names[r["id_a"]], names[r["id_b"]]))) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = brute(rows)
+    assert "REPARTITION_BY_COL" in plan and len(want - got) <= 0.01 * len(want)
+
+
 def test_walk_by_joins_finds_the_same(spark):
     rows = documents(120, 8)
     sets = near_dup.sketch_texts(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", 3).withColumn("id", F.xxhash64("chunk_id")).persist()
