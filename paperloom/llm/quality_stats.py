@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -125,15 +125,14 @@ class Lines:
 
     def text(self, i: int) -> str:
         """The i-th line as stored, trimmed."""
-        return self.codes[self.starts[i] : self.ends[i]].tobytes().decode("utf-32-le", "replace")
+        return self._stored[self.starts[i] : self.ends[i]]
 
-
-KINDS = ("prose", "list", "contents", "table", "unreadable")
+    @cached_property
+    def _stored(self) -> str:
+        return self.codes.tobytes().decode("utf-32-le", "replace")
 
 
-def _ranges_any(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.r_[0, np.cumsum(flags)]
-    return total[ends] - total[starts]
+KINDS = ("prose", "list", "contents", "table", "unreadable")
 
 
 def _in_rows(flags: np.ndarray, pages: np.ndarray, least: int) -> np.ndarray:
@@ -162,26 +161,20 @@ def read_lines(texts: pa.Array, function_words: np.ndarray) -> Lines:
     newline = (codes == 10) | (codes == 13) | (codes == 0x85) | (codes == 0x2028)
     space = classes == 7
     starts, ends, pages = V.runs(~newline, offsets)
-    solid = np.r_[0, np.cumsum(~space)]
-    keep = solid[ends] > solid[starts]
-    starts, ends, pages = starts[keep], ends[keep], pages[keep]
-    if len(starts):  # trim
-        where = np.flatnonzero(~space)
-        starts, ends = where[solid[starts]], where[solid[ends] - 1] + 1
+    where = np.flatnonzero(~space)
+    left, right = np.searchsorted(where, starts), np.searchsorted(where, ends)
+    keep = right > left
+    starts, ends, pages = where[left[keep]], where[right[keep] - 1] + 1, pages[keep]  # trimmed
     lines = len(starts)
-    line_of = np.zeros(n + 1, np.int64)
-    line_of[starts] = 1
-    line_of = np.cumsum(line_of)[:n] - 1
-    inside = np.zeros(n + 1, np.int64)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
-    at = np.flatnonzero(np.cumsum(inside)[:n] > 0)
+    length = ends - starts
+    at = np.repeat(starts - np.cumsum(length) + length, length)
+    at += np.arange(len(at))
     k = len(CHAR_CLASSES)
-    chars = np.bincount(line_of[at] * k + classes[at], minlength=lines * k).reshape(lines, k).astype(float) if lines else np.zeros((0, k))
+    chars = np.bincount(np.repeat(np.arange(lines) * k, length) + classes[at], minlength=lines * k).reshape(lines, k).astype(float) if lines else np.zeros((0, k))
     hashes, _, word_starts, word_ends = V.words(codes, offsets)
-    word_line = np.searchsorted(starts, word_starts, side="right") - 1
+    word_line = np.repeat(np.arange(lines), np.diff(np.searchsorted(word_starts, starts), append=len(word_starts)))
     size = word_ends - word_starts
-    is_function = np.isin(hashes, function_words)
+    is_function = V.is_in(hashes, function_words)
     kind = np.where(is_function, 0, np.where(size <= 3, 1, np.where(size <= 9, 2, np.where(size <= 18, 3, 4))))
     m = len(WORD_CLASSES)
     words = np.bincount(word_line * m + kind, minlength=lines * m).reshape(lines, m).astype(float) if lines else np.zeros((0, m))
@@ -193,18 +186,24 @@ def read_lines(texts: pa.Array, function_words: np.ndarray) -> Lines:
     char_shares = (chars / np.maximum(chars.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     word_total = words.sum(axis=1)
     word_shares = (words / np.maximum(word_total[:, None], 1)).astype(np.float32)
-    of_chars, of_words = entropy(char_shares), entropy(word_shares)
-
-    def apart(k: int, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
-        """Divergences of the characters and of the words of lines to a profile; lines without words are far from any."""
-        return divergence(char_shares[at], char_profiles[k], of_chars[at]), np.where(word_total[at] > 0, divergence(word_shares[at], word_profiles[k], of_words[at]), 1.0)
-
-    def nearest(which: slice) -> np.ndarray:
-        if not lines:
-            return np.zeros(0)
-        return np.min([0.6 * c + 0.4 * w for c, w in (apart(k) for k in range(which.start, which.stop))], axis=0)
 
-    prose, junk = nearest(PROSE), nearest(UNREADABLE)
+    def apart(which, at: np.ndarray):
+        """Divergences of the characters and of the words of lines to profiles; lines without words are far from any."""
+        own_chars, own_words, some = char_shares[at], word_shares[at], word_total[at] > 0
+        of_chars, of_words = entropy(own_chars), entropy(own_words)
+        for k in which:
+            yield divergence(own_chars, char_profiles[k], of_chars), np.where(some, divergence(own_words, word_profiles[k], of_words), 1.0)
+
+    def nearest(at: np.ndarray) -> None:
+        """Fills in how far lines are from prose and from unreadable text."""
+        both = [0.6 * c + 0.4 * w for c, w in apart(range(PROSE.start, UNREADABLE.stop), at)]
+        prose[at], junk[at] = np.min(both[: PROSE.stop], axis=0), np.min(both[PROSE.stop :], axis=0)
+
+    # lines with function words are asked only where they carry a mark of layout
+    prose, junk = np.full(lines, np.inf), np.full(lines, np.inf)
+    bare_words = (words[:, 0] <= 1) | (words[:, 0] <= 0.08 * word_total)
+    if bare_words.any():
+        nearest(np.flatnonzero(bare_words))
     last = codes[ends - 1] if lines else np.zeros(0, np.uint32)
     full_stop = np.isin(last, [ord(c) for c in ".!?؟。:"])
     # basic counts
@@ -217,12 +216,13 @@ def read_lines(texts: pa.Array, function_words: np.ndarray) -> Lines:
     wide = gap.copy()
     if n > 2:
         wide[1:] &= ~gap[:-1]  # one per run of blanks
-        wide[2:] &= ~np.isin(codes[:-2], [ord(c) for c in ".!?؟:"])  # two blanks after a sentence
-    cells = _ranges_any((codes == ord("|")) | (codes == 9), starts, ends)
-    semicolons = _ranges_any((codes == ord(";")) & ~np.r_[space[1:], True], starts, ends) if n else np.zeros(0, np.int64)
-    gaps = _ranges_any(wide, starts, ends)
-    dots = _ranges_any((codes == 46) & np.r_[False, codes[:-1] == 46], starts, ends) if n else np.zeros(0, np.int64)
-    commas = _ranges_any((codes == 44) & np.r_[space[1:], False] & np.r_[classes[2:] == 6, False, False], starts, ends) if n > 2 else np.zeros(lines, np.int64)
+        some = np.flatnonzero(wide[2:])
+        wide[2 + some[np.isin(codes[some], [ord(c) for c in ".!?؟:"])]] = False  # two blanks after a sentence
+    cells = V.counts_in((codes == ord("|")) | (codes == 9), starts, ends)
+    semicolons = V.counts_in((codes == ord(";")) & ~np.r_[space[1:], True], starts, ends) if n else np.zeros(0, np.int64)
+    gaps = V.counts_in(wide, starts, ends)
+    dots = V.counts_in((codes == 46) & np.r_[False, codes[:-1] == 46], starts, ends) if n else np.zeros(0, np.int64)
+    commas = V.counts_in((codes == 44) & np.r_[space[1:], False] & np.r_[classes[2:] == 6, False, False], starts, ends) if n > 2 else np.zeros(lines, np.int64)
     ends_digit = (classes[ends - 1] == 6) if lines else np.zeros(0, bool)
     table = (cells >= 1) | (semicolons >= 2) | ((gaps >= 1) & (prose > 0.03) & (words[:, 0] <= 1))
     table |= (gaps >= 2) & (word_total <= 6 * (gaps + 1))
@@ -250,10 +250,12 @@ def read_lines(texts: pa.Array, function_words: np.ndarray) -> Lines:
         layout = marks[at] / marks[at].sum(axis=1, keepdims=True)
         of_layout = entropy(layout)
         far = np.stack([WEIGHTS[2] * divergence(layout, np.array(x, np.float32), of_layout) for x in LAYOUTS], axis=1)
+        if not bare_words[at].all():
+            nearest(at[~bare_words[at]])
         far[:, 0] += sum(WEIGHTS[:2]) * prose[at]
         far[:, 4] += sum(WEIGHTS[:2]) * junk[at]
-        for kind, k in enumerate(STRUCTURED, 1):
-            far[:, kind] += sum(w * d for w, d in zip(WEIGHTS, apart(k, at)))
+        for kind, both in enumerate(apart(STRUCTURED, at), 1):
+            far[:, kind] += sum(w * d for w, d in zip(WEIGHTS, both))
         out[at] = far.argmin(axis=1)
     edge = np.minimum(from_top, from_bottom) <= 1
     third = codes[np.minimum(starts + 2, n - 1)] if lines else np.zeros(0, np.uint32)

@@ -39,6 +39,13 @@ def space_table() -> np.ndarray:
     return np.array([chr(i).isspace() for i in range(_TABLE)], dtype=bool)
 
 
+def char_table(chars: str) -> np.ndarray:
+    """Whether a code point is one of ``chars``."""
+    out = np.zeros(_TABLE, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
 def look_up(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """table[codes]; code points beyond the table count as the last one, U+323FF, which is unassigned."""
     return table.take(codes, mode="clip")
@@ -46,8 +53,11 @@ def look_up(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def lower(codes: np.ndarray) -> np.ndarray:
     """Lower-case form of an array of code points."""
-    table = lower_table()
-    return np.where(codes < _TABLE, table.take(codes, mode="clip"), codes)
+    out = lower_table().take(codes, mode="clip")
+    if len(codes) and codes.max() >= _TABLE:
+        beyond = codes >= _TABLE
+        out[beyond] = codes[beyond]
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -65,9 +75,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finisher: spreads each bit of a 64-bit value over the whole word."""
     x = np.atleast_1d(x)  # arrays wrap around silently, NumPy scalars warn
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(_SEEDS[0])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(_SEEDS[1])
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= np.uint64(_SEEDS[0])
+    moved = out >> np.uint64(27)
+    out ^= moved
+    out *= np.uint64(_SEEDS[1])
+    np.right_shift(out, np.uint64(31), out=moved)
+    out ^= moved
+    return out
 
 
 def spread(numbers: np.ndarray) -> np.ndarray:
@@ -98,10 +114,15 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     if at[-1] == at[0]:
         return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-    raw = column.buffers()[2].to_pybytes()[at[0] : at[-1]]
+    # only the bytes of these texts: a slice shares the buffer of its whole batch
+    raw = column.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])).to_pybytes()
     codes = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) == len(raw):
         return codes, at - at[0]
+    offsets = np.zeros(n + 1, np.int64)
+    np.cumsum(np.asarray(pc.utf8_length(column)), out=offsets[1:])
+    if offsets[-1] == len(codes):
+        return codes, offsets
     lead = np.zeros(len(raw) + 1, np.int64)
     np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=lead[1:])
     return codes, lead[at - at[0]]
@@ -114,23 +135,46 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    before = np.zeros(n, bool)
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.zeros(n, bool)
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    # between two characters of a run lies a joint: no text begins there
+    joint = np.zeros(n + 1, bool)
+    np.logical_and(inside[1:], inside[:-1], out=joint[1:n])
+    joint &= ~edge
+    starts = np.flatnonzero(inside & ~joint[:-1])
+    ends = np.flatnonzero(inside & ~joint[1:]) + 1
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans [start, end); equal spans have equal hashes wherever they stand."""
     up, down = powers(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
+    total = np.empty(len(codes) + 1, np.uint64)
+    total[0] = 0
+    terms = total[1:]
+    terms[:] = codes
+    terms += np.uint64(1)
+    terms *= up[: len(codes)]
+    np.cumsum(terms, out=terms)
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def counts_in(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many flags are set in each of the spans [start, end)."""
+    at = np.flatnonzero(flags)
+    return np.searchsorted(at, ends) - np.searchsorted(at, starts)
+
+
+def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of an array of mixed hashes is one of the ``known`` ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    low = np.zeros(1 << 16, bool)
+    low[(known & np.uint64(0xFFFF)).view(np.int64)] = True
+    out = low[(values & np.uint64(0xFFFF)).view(np.int64)]
+    at = np.flatnonzero(out)  # few others have the low bits of a known one
+    out[at] = known.take(np.searchsorted(known, values[at]), mode="clip") == values[at]
+    return out
+
+
 def words(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, runs of letters or digits in lower case: hashes, text numbers, starts and ends."""
     low = lower(codes)

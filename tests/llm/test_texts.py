@@ -340,3 +340,13 @@ def test_copies_share_one_cap(spark):
     got = {r["text"]: (r["uses"], r["most"]) for r in out}
     assert got["many copies of one text"] == (3, 1) and got["alone"] == (3, 3)
     assert all(got[f"text {k} in four copies"] == (3, 1) for k in range(1, 5)) and max(x for x, _ in got.values()) <= 3
+
+
+def test_lines_of_function_words_ask_no_profile(monkeypatch):
+    asked, real = [], quality_stats.divergence
+    monkeypatch.setattr(quality_stats, "divergence", lambda rows, profile, own=None: asked.append(len(rows)) or real(rows, profile, own))
+    common = quality_stats.word_keys(["the", "of", "and", "is"])
+    page = "The end of the road is near and dear.\n" * 50
+    assert not quality_stats.read_lines(pa.array([page]), common).kinds.any() and sum(asked) == 0
+    # a mark of layout, or no function word, and they are asked
+    assert quality_stats.read_lines(pa.array([page + "- the end of the road is here and there"]), common).kinds[-1] == 1 and sum(asked) > 0
