@@ -23,6 +23,8 @@ from .keyfilter import KeyFilter, key_filter
 HASH_WIDTH, WINDOW = 8, 32
 MIN_DOCUMENTS, MIN_SHARE = 8, 0.1
 _RUN = HASH_WIDTH + WINDOW
+#: Windows that are worked on at once: their hashes stay in the cache of a core.
+_BLOCK = 1 << 15
 
 
 def comparable(codes: np.ndarray, offsets: np.ndarray):
@@ -36,38 +38,54 @@ def _comparable(codes: np.ndarray, offsets: np.ndarray):
     n = len(low)
     if n == 0:
         return low, offsets, np.zeros(0, np.int64)
-    first = np.zeros(n + 1, bool)
-    first[offsets] = True
-    same = np.zeros(n, bool)  # the character before belongs to the same text
-    same[1:] = ~first[1:n]
-    blank, digit, newline = (low == 32) | (low == 9) | (low == 13), (low >= 48) & (low <= 57), low == 10
-    before = lambda x: np.r_[False, x[:-1]] & same
-    keep = ~((blank & before(blank)) | (digit & before(digit)))
-    out = np.where(blank, 32, np.where(digit, 35, low)).astype(np.uint32)
-    kept = np.r_[0, np.cumsum(keep)]
-    places = np.flatnonzero(keep)
-    low, offsets = out[keep], kept[offsets]
-    n = len(low)
-    first = np.zeros(n + 1, bool)
-    first[offsets] = True
-    edge_before, edge_after = first[:n].copy(), first[1:].copy()
-    newline = low == 10
-    edge_before[1:] |= newline[:-1]
-    edge_after[:-1] |= newline[1:]
-    keep = ~((low == 32) & (edge_before | edge_after))
-    kept = np.r_[0, np.cumsum(keep)]
-    return low[keep], kept[offsets], places[keep]
+    blank, digit = (low == 32) | (low == 9) | (low == 13), (low >= 48) & (low <= 57)
+    again = np.zeros(n, bool)  # goes on with the blanks or digits before it, in the same text
+    np.logical_and(blank[1:], blank[:-1], out=again[1:])
+    again[1:] |= digit[1:] & digit[:-1]
+    again[offsets[:-1][offsets[:-1] < n]] = False
+    low[blank] = 32
+    low[digit] = 35
+    # a blank at the edge of a line goes too: the last of its run, after a line end or before one
+    kept = np.flatnonzero(~again)
+    out, begin = low[kept], np.searchsorted(kept, offsets)
+    edge = np.zeros(len(out) + 1, bool)
+    edge[begin] = True
+    newline = out == 10
+    edge[1:] |= newline
+    edge[:-1] |= newline
+    at = np.flatnonzero(out == 32)
+    at = at[edge[at] | edge[at + 1]]
+    keep = np.ones(len(out), bool)
+    keep[at] = False
+    return out[keep], begin - np.searchsorted(at, begin), kept[keep]
 
 
 def rolling_hashes(stream: np.ndarray) -> np.ndarray:
     """Hash of the HASH_WIDTH characters from each place on."""
-    size = max(0, len(stream) - HASH_WIDTH + 1)
-    out = np.zeros(size, np.uint64)
-    for k in range(HASH_WIDTH):
-        out = out * np.uint64(0x100000001B3) + stream[k : size + k]
+    if len(stream) < HASH_WIDTH:
+        return np.zeros(0, np.uint64)
+    out, factor, width = stream.astype(np.uint64), 0x100000001B3, 1
+    while width < HASH_WIDTH:  # twice as many characters each time
+        left = out[:-width] * np.uint64(factor)
+        left += out[width:]
+        out, factor, width = left, factor * factor & 0xFFFFFFFFFFFFFFFF, 2 * width
     return out
 
 
+def _smallest(stream: np.ndarray, first: int) -> np.ndarray:
+    """Places of the smallest hash of each window of a part of a stream that begins at ``first``, the last one of
+    equals; the place in the low bits breaks ties."""
+    order = V.mix(rolling_hashes(stream))
+    order &= np.uint64(0xFFFFFFFF00000000)
+    order |= np.arange(0xFFFFFFFF - first, 0xFFFFFFFF - first - len(order), -1).view(np.uint64)
+    span = 1
+    while span < WINDOW:
+        order = np.minimum(order[:-span], order[span:])
+        span *= 2
+    order = order[np.flatnonzero(np.r_[True, order[1:] != order[:-1]])]  # many windows have one smallest
+    return (np.uint64(0xFFFFFFFF) - (order & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
+
 def content_pieces(codes: np.ndarray, offsets: np.ndarray):
     """Content-defined pieces of comparable texts.
 
@@ -76,42 +94,32 @@ def content_pieces(codes: np.ndarray, offsets: np.ndarray):
     """
     n, texts = len(codes), len(offsets) - 1
     # stream: each newline, and each end of a text, becomes a run of newlines
-    repeats = np.where(codes == 10, _RUN, 1)
-    starts = np.r_[0, np.cumsum(repeats)]
-    begin = starts[offsets[:-1]] + _RUN * (2 * np.arange(texts) + 1)
-    place = starts[:-1] + _RUN * (2 * np.repeat(np.arange(texts), np.diff(offsets)) + 1)
-    size = int(starts[-1]) + 2 * _RUN * texts
+    newline = codes == 10
+    jump = np.empty(n + 1, np.int64)
+    jump[0] = _RUN
+    jump[1:] = 1
+    jump[1:][newline] = _RUN
+    np.add.at(jump, offsets[1:-1], 2 * _RUN)
+    place = np.cumsum(jump, out=jump)[:-1]
+    breaks = np.flatnonzero(newline)
+    text_begin = offsets[:-1] + (_RUN - 1) * np.searchsorted(breaks, offsets[:-1]) + 2 * _RUN * np.arange(texts)
+    size = n + (_RUN - 1) * len(breaks) + 2 * _RUN * texts
     stream = np.full(size, 10, np.uint32)
     stream[place] = codes  # the rest of each run is newlines already
-    origin = np.full(size, -1, np.int64)
-    origin[place] = np.arange(n)
-    origin[stream == 10] = -1
-    text_begin = begin - _RUN
-    text_of = np.zeros(size, np.int64)
-    text_of[text_begin[1:]] = 1
-    text_of = np.cumsum(text_of)
-    rolling = rolling_hashes(stream)
-    # smallest hash of each window, the last one of equals; position in the low bits breaks ties
-    spot = np.arange(len(rolling), dtype=np.uint64)
-    order = (V.mix(rolling) & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - spot)
-    span = 1
-    while span < WINDOW:
-        order = np.minimum(order[:-span], order[span:])
-        span *= 2
     cut = np.zeros(size + 1, bool)
-    cut[(np.uint64(0xFFFFFFFF) - (order & np.uint64(0xFFFFFFFF))).astype(np.int64)] = True
+    for k in range(0, size - HASH_WIDTH - WINDOW + 2, _BLOCK):
+        cut[_smallest(stream[k : k + _BLOCK + HASH_WIDTH + WINDOW - 2], k)] = True
     cut[text_begin] = True
     cut[size] = True
     edges = np.flatnonzero(cut)
+    character = np.flatnonzero(~newline)
+    before = np.r_[0, np.cumsum(stream != 10, dtype=np.int32)][edges]
     a, b = edges[:-1], edges[1:]
-    inside = np.r_[0, np.cumsum(origin >= 0)]
-    real = inside[b] > inside[a]
+    real = before[1:] > before[:-1]
     a, b = a[real], b[real]
     hashes = V.span_hashes(stream, a, b)
-    at = np.flatnonzero(origin >= 0)
-    first = origin[at[inside[a]]]
-    end = origin[at[inside[b] - 1]] + 1
-    return hashes, text_of[a], first, end
+    first, end = character[before[:-1][real]], character[before[1:][real] - 1] + 1
+    return hashes, np.searchsorted(text_begin, a, side="right") - 1, first, end
 
 
 def _slices(batch: pa.RecordBatch, column: int):
@@ -124,6 +132,14 @@ def _keys(source_hash: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return V.mix(source_hash.view(np.uint64) + V.mix(piece)).view(np.int64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each of the different keys, and how many there are of it; equal keys may stand for each other."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return order[first], np.diff(first, append=len(keys))
+
+
 def _count_pieces(batches):
     """(source_hash, piece, documents): in how many rows of the batch a piece occurs."""
     for batch in batches:
@@ -131,9 +147,9 @@ def _count_pieces(batches):
         for a, b, codes, offsets in _slices(batch, 0):
             hashes, texts, _, _ = content_pieces(codes, offsets)
             # sorts of single 64-bit keys; a piece counts once a text, then its texts are counted by source
-            once = np.unique(V.mix(hashes + V.mix(V.spread(texts))), return_index=True)[1]
+            once, _ = _distinct(V.mix(hashes + V.mix(V.spread(texts))))
             hashes, source = hashes[once], sources[a:b][texts[once]]
-            _, first, counts = np.unique(V.mix(hashes + V.mix(source.view(np.uint64))), return_index=True, return_counts=True)
+            first, counts = _distinct(V.mix(hashes + V.mix(source.view(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(source[first]), pa.array(hashes[first].view(np.int64)), pa.array(counts.astype(np.int32))], ["source_hash", "piece", "documents"])
 
 

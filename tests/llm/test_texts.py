@@ -1,12 +1,13 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from paperloom.llm import bisect_split, leak_scan, mixing, ocr_repair, quality_stats, site_lines, spam_pages
+from paperloom.llm import bisect_split, leak_scan, mixing, ocr_repair, quality_stats, site_lines, spam_pages, vectext
 
 
 def test_cuts_cover_and_fit():
@@ -350,3 +351,31 @@ def test_lines_of_function_words_ask_no_profile(monkeypatch):
     assert not quality_stats.read_lines(pa.array([page]), common).kinds.any() and sum(asked) == 0
     # a mark of layout, or no function word, and they are asked
     assert quality_stats.read_lines(pa.array([page + "- the end of the road is here and there"]), common).kinds[-1] == 1 and sum(asked) > 0
+
+
+def test_pieces_need_few_passes():
+    """The cuts follow the plain definition, and the arrays made on the way stay few."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcde \n") for _ in range(n)) for n in (0, 3, 39, 40, 41, 700, 40_000, 0)]
+    codes, offsets = site_lines.comparable(*vectext.code_points(pa.array(texts)))
+    stream = np.array([c for a, b in zip(offsets, offsets[1:]) for c in [10] * 40 + [x for c in codes[a:b].tolist() for x in ([10] * 40 if c == 10 else [c])] + [10] * 40], np.uint32)
+    plain = np.zeros(len(stream) - 7, np.uint64)
+    for k in range(8):
+        plain = plain * np.uint64(0x100000001B3) + stream[k : len(plain) + k]
+    assert np.array_equal(site_lines.rolling_hashes(stream), plain)
+    high = vectext.mix(plain) >> np.uint64(32)
+    cuts = {k + 31 - int(np.argmin(high[k : k + 32][::-1])) for k in range(len(high) - 31)}
+    _, owner, first, end = site_lines.content_pieces(codes, offsets)
+    at = np.flatnonzero(stream != 10)  # places of the characters
+    of = np.searchsorted(np.cumsum(codes != 10), np.arange(len(at)), side="right")
+    place = dict(zip(of.tolist(), at.tolist()))
+    begins = {place[int(f)] for f in first}
+    assert all((place[int(f)] in cuts or stream[place[int(f)] - 1] == 10) and codes[f] != 10 and codes[e - 1] != 10 for f, e in zip(first, end))
+    assert np.array_equal(owner, np.searchsorted(offsets, first, side="right") - 1)
+    inside = [c for c in sorted(cuts) if stream[c - 1] != 10 and stream[c] != 10]
+    assert set(inside) <= begins
+    tracemalloc.start()
+    site_lines.content_pieces(codes, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * len(stream)
