@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,12 @@ _ITEMS = re.compile(r"[,،;؛|•·●▪#/]|\s[-–—*]\s|^\s*(?:[-–—*•
 _HREF = re.compile(r"<a\s[^>]*href\s*=[^>]*>(.*?)</a>", re.I | re.S)
 
 
+@lru_cache(maxsize=1)
+def _edge_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Characters that may be full stops, and those that may follow one."""
+    return V.char_table(".!?؟。"), V.space_table() | V.char_table("<\"')]»”")
+
+
 def outside_sentences(codes: np.ndarray, offsets: np.ndarray):
     """(words, words in sentences) of each text, and of each word its hash, text and whether it is in a sentence;
     markup and line ends close a stretch, full stops a sentence."""
@@ -54,24 +61,23 @@ def outside_sentences(codes: np.ndarray, offsets: np.ndarray):
     hashes, docs, starts, _ = V.words(codes, offsets)
     words = np.bincount(docs, minlength=texts)
     n = len(codes)
-    stop = np.isin(codes, [ord(c) for c in ".!?؟。"])
-    space = V.look_up(V.space_table(), codes) | np.isin(codes, [ord(c) for c in "<\"')]»”"])
-    follows = np.ones(n, bool)
-    if n:
-        follows[:-1] = space[1:]
-    follows[offsets[1:][offsets[1:] > 0] - 1] = True
-    full = stop & follows
+    stops, closing = _edge_tables()
+    full = V.look_up(stops, codes)
+    at = np.flatnonzero(full)
+    last = np.zeros(n + 1, bool)
+    last[offsets[1:]] = True
+    full[at] = last[at + 1] | V.look_up(closing, codes[np.minimum(at + 1, n - 1)])
     edge = full | (codes == 10) | (codes == 60)
-    ends = np.unique(np.concatenate([np.flatnonzero(edge), offsets[1:] - 1]))
-    ends = ends[ends >= 0]
+    edge[offsets[1:][offsets[1:] > 0] - 1] = True
+    ends = np.flatnonzero(edge)
     if not len(starts) or not len(ends):
         return words, np.zeros(texts, np.int64), hashes, docs, np.zeros(len(starts), bool)
-    stretch = np.searchsorted(ends, starts, side="left")
-    size = np.bincount(stretch, minlength=len(ends))
-    slash = np.r_[0, np.cumsum((codes == 47) | (codes == 35))]
+    # words from one end to the next
+    until = np.searchsorted(starts, ends, side="right")
+    size = np.diff(until, prepend=0)
     begin = np.r_[0, ends[:-1] + 1]
-    good = full[ends] & (size >= SENTENCE_WORDS) & (slash[ends + 1] - slash[begin] < 2)
-    in_sentence = good[stretch]
+    good = full[ends] & (size >= SENTENCE_WORDS) & (V.counts_in((codes == 47) | (codes == 35), begin, ends + 1) < 2)
+    in_sentence = np.repeat(good, size)
     return words, np.bincount(docs, weights=in_sentence, minlength=texts).astype(np.int64), hashes, docs, in_sentence
 
 
@@ -82,6 +88,15 @@ def keyword_cover(hashes: np.ndarray, docs: np.ndarray, words: np.ndarray) -> np
     if not len(at):
         return covered
     keys = V.mix(pairs + V.mix(V.spread(docs[at])))  # equal pairs of one page have equal keys
+    # only keys that come again so often so near can be keywords; the pairs of one page stand in a row
+    again = np.zeros(len(keys), bool)
+    for far in range(1, min(KEYWORD_NEAR + 1, len(keys))):
+        again[far:] |= keys[far:] == keys[:-far]
+    often, close = np.unique(keys[again], return_counts=True)
+    some = np.flatnonzero(V.is_in(keys, often[close >= KEYWORD_COUNT - 1]))
+    if not len(some):
+        return covered
+    keys, at = keys[some], at[some]
     order = np.argsort(keys, kind="stable")
     keys, place = keys[order], at[order]
     again = np.r_[False, keys[1:] == keys[:-1]]
@@ -103,6 +118,13 @@ def without_markup(text: str) -> str:
     return _MARKUP.sub("\n", text)
 
 
+@lru_cache(maxsize=100_000)
+def _entry(text: str) -> tuple[str, int]:
+    """The words of an entry of a list, and how many they are."""
+    words = _WORD.findall(text)
+    return " ".join(words), len(words)
+
+
 def page_evidence(text: str) -> tuple[int, int, list[tuple[str, bool]]]:
     """(words, words of lists, stretches) of one page.
 
@@ -117,8 +139,8 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[str, bool]]]:
         if not words:
             continue
         total += len(words)
-        in_links = sum(len(_WORD.findall(x)) for x in _LINK.findall(line))
-        tags = _TAG.findall(line)
+        in_links = sum(len(_WORD.findall(x)) for x in _LINK.findall(line)) if "." in line or "//" in line else 0
+        tags = _TAG.findall(line) if "#" in line else []
         if in_links * 3 >= len(words) or tags and 2 * len(tags) >= len(words):
             listed += len(words)
             stretches.append((line, False))
@@ -130,8 +152,8 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[str, bool]]]:
                 last = stop.end()
             begin = stop.end()
         stretches.append((line[last:], True))
-    parts = [(_WORD.findall(x.lower()), [y for y in map(str.strip, _ITEMS.split(x.strip().lower())) if y] if loose else [], loose) for x, loose in stretches if x.strip()]
-    items = Counter(" ".join(_WORD.findall(x)) for _, y, _ in parts for x in y)
+    parts = [(_WORD.findall(x.lower()), [_entry(y) for y in map(str.strip, _ITEMS.split(x.strip().lower())) if y] if loose else [], loose) for x, loose in stretches if x.strip()]
+    items = Counter(x for _, y, _ in parts for x, _ in y)
     pairs = Counter(p for words, _, loose in parts if loose for p in zip(words, words[1:]))
     everywhere = " ".join(" ".join(words) for words, _, _ in parts)
     hashes, docs, _, _ = V.words(*V.code_points(pa.array([everywhere])))
@@ -151,7 +173,7 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[str, bool]]]:
             listed += len(words)
             out.append((" ".join(words), False))
             continue
-        repeated = sum(n for x in entries if (n := len(_WORD.findall(x))) <= 8 and items[" ".join(_WORD.findall(x))] >= 3)
+        repeated = sum(n for x, n in entries if n <= 8 and items[x] >= 3)
         covered = inside.copy()
         for i, p in enumerate(zip(words, words[1:])):
             if pairs[p] >= 4:

@@ -379,3 +379,35 @@ def test_pieces_need_few_passes():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 50 * len(stream)
+
+
+def test_a_slice_reads_its_own_bytes_only():
+    texts = pa.array(["plain words " * 80, "mots accentués " * 80] * 10_000)  # 20 MB
+    for first in (0, 9_000):
+        part = texts[first : first + 10]
+        tracemalloc.start()
+        codes, offsets = vectext.code_points(part)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert codes.tobytes().decode("utf-32-le") == "".join(part.to_pylist())
+        assert np.diff(offsets).tolist() == [len(t) for t in part.to_pylist()] and peak < 1 << 20
+
+
+def test_keywords_against_plain_counts():
+    r = random.Random(4)
+    texts = [" ".join(r.choice("ab cd ef gh ij kl mn op".split()[: r.choice((2, 4, 8))]) for _ in range(r.choice((0, 1, 2, 12, 60)))) for _ in range(60)]
+    hashes, docs, _, _ = vectext.words(*vectext.code_points(pa.array(texts)))
+    sizes = np.array([len(t.split()) for t in texts])
+    want = []
+    for text in texts:
+        words, places = text.split(), defaultdict(list)
+        for k, pair in enumerate(zip(words, words[1:])):
+            places[pair].append(k)
+        under = [False] * len(words)
+        for at in places.values():
+            near = sum(b - a <= spam_pages.KEYWORD_NEAR for a, b in zip(at, at[1:]))
+            if near >= spam_pages.KEYWORD_COUNT - 1 and 2 * len(at) >= spam_pages.KEYWORD_SHARE * len(words):
+                for k in at:
+                    under[k] = under[k + 1] = True
+        want += under
+    assert spam_pages.keyword_cover(hashes, docs, sizes).tolist() == want and any(want) and not all(want)
